@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .sharding import shard_by_bytes
 from .shared import table
+from .simhash import near_duplicates
 from .url_filter import judge_urls
 
 #: The rules that op8 applies.
@@ -21,6 +22,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash of 3-word shingles and its component."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL against the five rules."""
     rules = spark.createDataFrame(URL_RULES, "action string, rule string")
@@ -29,6 +35,7 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op8_url_filters": op8_url_filters,
 }
 
