@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode, encode
 from .sharding import shard_by_bytes
 from .shared import table
 from .simhash import near_duplicates
@@ -33,10 +34,18 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op9_bpe_encoding_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and what they decode to, as digests."""
+    out = decode(encode(table(spark, sf_dir, "documents")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op8_url_filters": op8_url_filters,
+    "op9_bpe_encoding_decoding": op9_bpe_encoding_decoding,
 }
 
 ORACLES: dict[str, str] = {
