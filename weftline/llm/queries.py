@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import decode, encode
+from .packing import pack_documents
 from .sharding import shard_by_bytes
 from .shared import table
 from .simhash import near_duplicates
@@ -17,6 +18,11 @@ from .url_filter import judge_urls
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents into sequences of 2048 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 40 shards under the law `bytes`."""
     out = shard_by_bytes(table(spark, sf_dir, "documents"), 40)
@@ -42,6 +48,7 @@ def op9_bpe_encoding_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op3_sharding": op3_sharding,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op8_url_filters": op8_url_filters,
