@@ -40,7 +40,7 @@ def test_tables_differ_only_where_unassigned():
 @pytest.mark.parametrize("lexicon", [False, True])
 def test_encoder_equals_library(lexicon):
     words = [w.encode() for t in texts()[:150] for w in regex.findall(B.WORDS, t) if len(w.encode()) <= B.SHORT_WORD]
-    lex = B.Lexicon.build(zip(w := sorted(set(words)), MODEL.merge(w), strict=True)) if lexicon else None
+    lex = B.Lexicon.compile(sorted(set(words)), MODEL) if lexicon else None
     encoder = B.Encoder(MODEL, lex, SOURCE)
     ids, counts = encoder.encode(texts())
     at = 0

@@ -9,6 +9,7 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,9 @@ LEXICON_WORDS = 1 << 16
 #: Bytes of the longest word in the lexicon, or merged together with others.
 SHORT_WORD = 32
 #: Distinct words that a task remembers before it begins anew.
-REMEMBERED = 400_000
-NONE = np.int64(1) << 40
+REMEMBERED = 250_000
+#: The rank of a pair that isn't merged.
+NONE = np.int32(1 << 30)
 
 
 def default_path() -> str:
@@ -62,7 +64,7 @@ class Model:
         keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
         into = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
-        self.pair_keys, self.pair_ranks, self.pair_into = keys[order], order.astype(np.int64), into[order]
+        self.pair_keys, self.pair_ranks, self.pair_into = keys[order], order.astype(np.int32), into[order]
         self.piece_ends = np.cumsum([len(p) for p in self.pieces])
         self.piece_bytes = np.frombuffer(b"".join(self.pieces), np.uint8)
 
@@ -71,8 +73,8 @@ class Model:
         return {k: (r, t) for k, r, t in zip(self.pair_keys.tolist(), self.pair_ranks.tolist(), self.pair_into.tolist(), strict=True)}
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Place of each pair's merge among the keys by rank, NONE where there is none or an id is negative."""
-        key = a << 32 | b
+        """The rank of each pair's merge, NONE where there is none or an id is negative."""
+        key = a.astype(np.int64) << 32 | b
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where((self.pair_keys[at] == key) & (a >= 0) & (b >= 0), self.pair_ranks[at], NONE)
 
@@ -104,42 +106,46 @@ class Model:
                 offer(before[i], i)
         return [x for x in ids if x >= 0]
 
-    def merge(self, words: list[bytes]) -> list[list[int]]:
-        """Exact merges of many words, the short ones together: each round merges the first best pair of every word."""
-        out: list[list[int]] = [[]] * len(words)
-        short = sorted((i for i, w in enumerate(words) if len(w) <= SHORT_WORD), key=lambda i: len(words[i]))
-        for i, w in enumerate(words):
-            if len(w) > SHORT_WORD:
-                out[i] = self.merge_long(w)
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each word): exact merges, of short words together. Each round merges the first best pair of every word."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        parts, owners = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for i in np.flatnonzero(sizes > SHORT_WORD).tolist():
+            parts.append(np.array(self.merge_long(words[i]), np.int32))
+            owners.append(np.full(len(parts[-1]), i))
+        short = np.argsort(sizes, kind="stable")[: int((sizes <= SHORT_WORD).sum())]
         for at in range(0, len(short), 16384):
             some = short[at : at + 16384]
-            sizes = np.array([len(words[i]) for i in some])
-            width = int(sizes.max(initial=1))
-            ids = np.full((len(some), width + 1), -1, np.int64)
-            ids[np.arange(width + 1) < sizes[:, None]] = self.byte_ids[np.frombuffer(b"".join(words[i] for i in some), np.uint8)]
+            width = max(1, int(sizes[some].max()))
+            columns = np.arange(width + 1)
+            ids = np.full((len(some), width + 1), -1, np.int32)
+            ids[columns < sizes[some][:, None]] = self.byte_ids[np.frombuffer(b"".join([words[i] for i in some.tolist()]), np.uint8)]
             rank = self.ranks(ids[:, :-1], ids[:, 1:])
-            live, columns = np.arange(len(some)), np.arange(width + 1)
-            while len(live):
-                best = rank[live].argmin(axis=1)
-                least = rank[live, best]
+            live = np.arange(len(some))
+            row, ranks = ids, rank
+            while True:
+                best = ranks.argmin(axis=1)
+                least = ranks[np.arange(len(live)), best]
                 on = least < NONE
-                live, best, least = live[on], best[on], least[on]
-                if not len(live):
+                ids[live[~on]] = row[~on]
+                if not on.any():
                     break
+                live, row, ranks, best, least = live[on], row[on], ranks[on], best[on], least[on]
+                each = np.arange(len(live))
                 shift = np.minimum(columns + (columns > best[:, None]), width)
-                row = np.take_along_axis(ids[live], shift, 1)
+                row = np.take_along_axis(row, shift, 1)
                 row[:, -1] = -1
-                row[np.arange(len(live)), best] = self.by_rank[least]
-                ranks = np.take_along_axis(rank[live], np.minimum(shift[:, :-1], width - 1), 1)
-                each = np.arange(len(live))
+                row[each, best] = self.by_rank[least]
+                ranks = np.take_along_axis(ranks, np.minimum(shift[:, :-1], width - 1), 1)
+                ranks[:, -1] = NONE
                 ranks[each, best] = self.ranks(row[each, best], row[each, best + 1])
-                left = best > 0
-                ranks[each[left], best[left] - 1] = self.ranks(row[each[left], best[left] - 1], row[each[left], best[left]])
-                ranks[row[:, 1:] < 0] = NONE
-                ids[live], rank[live] = row, ranks
-            for i, row in zip(some, ids.tolist(), strict=True):
-                out[i] = row[: row.index(-1)]
-        return out
+                left = np.flatnonzero(best > 0)
+                ranks[left, best[left] - 1] = self.ranks(row[left, best[left] - 1], row[left, best[left]])
+            there = ids >= 0
+            parts.append(ids[there])
+            owners.append(np.repeat(some, there.sum(axis=1)))
+        order = np.argsort(owner := np.concatenate(owners), kind="stable")
+        return np.concatenate(parts)[order], np.bincount(owner, minlength=len(words)).astype(np.int64)
 
     def bytes_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all bytes, bytes of each id) of the pieces."""
@@ -211,6 +217,12 @@ class Lexicon:
             ids=np.array([i for _, ids in entries for i in ids], np.int32),
         )
 
+    @classmethod
+    def compile(cls, words: list[bytes], model: Model) -> Lexicon:
+        """The words with the ids that the model merges them to."""
+        ids, counts = model.merge(words)
+        return cls.build(zip(words, (x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])), strict=True) if words else [])
+
     def to_bytes(self) -> bytes:
         parts = [np.ascontiguousarray(getattr(self, k)) for k in self.PARTS]
         pads = [p.tobytes() + b"\0" * (-p.nbytes % 8) for p in parts]
@@ -292,39 +304,40 @@ class Encoder:
         if odd:
             self.odd.update(w for w in new if not odd.isdisjoint(w))
         raw = [w.encode() for w in new]
-        found: list = [None] * len(new)
+        place = np.full(len(new), -1, np.int64) if self.lexicon is None else self.lexicon.find(raw)
+        special = [i for i, w in enumerate(new) if w in self.model.special]
+        place[special] = -1
+        rest = np.flatnonzero(place < 0).tolist()
+        ids, counts = self.model.merge([raw[i] for i in rest])
+        at, more = len(self.number), np.empty(len(new), np.int64)
+        more[rest] = counts
         if self.lexicon is not None:
-            for i, n in enumerate(self.lexicon.find(raw).tolist()):
-                if n >= 0:
-                    found[i] = self.lexicon.ids[self.lexicon.offsets[n] : self.lexicon.offsets[n + 1]]
-        for i, w in enumerate(new):
-            if w in self.model.special:
-                found[i] = [self.model.special[w]]
-        rest = [i for i, x in enumerate(found) if x is None]
-        for i, ids in zip(rest, self.model.merge([raw[i] for i in rest]), strict=True):
-            found[i] = ids
-        at, more = len(self.number), np.array([len(x) for x in found], np.int64)
+            first = self.lexicon.offsets[np.maximum(place, 0)]
+            more[place >= 0] = (self.lexicon.offsets[np.maximum(place, 0) + 1] - first)[place >= 0]
         total = int(more.sum())
         while self.used + total > len(self.table):
             self.table = np.concatenate([self.table, np.empty_like(self.table)])
         while at + len(new) > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.sizes))
-        self.sizes[at : at + len(new)] = more
-        self.starts[at : at + len(new)] = self.used + np.cumsum(more) - more
-        self.table[self.used : self.used + total] = np.concatenate([np.asarray(x, np.int32) for x in found]) if found else []
+        starts = self.used + np.cumsum(more) - more
+        self.sizes[at : at + len(new)], self.starts[at : at + len(new)] = more, starts
+        self.table[_ranges(starts[rest], more[rest])] = ids
+        if self.lexicon is not None:
+            known = place >= 0
+            self.table[_ranges(starts[known], more[known])] = self.lexicon.ids[_ranges(first[known], more[known])]
+        for i in special:  # one id instead of what was merged
+            self.table[starts[i]], self.sizes[at + i] = self.model.special[new[i]], 1
         self.used += total
-        self.number.update((w, at + i) for i, w in enumerate(new))
+        self.number.update(zip(new, range(at, at + len(new)), strict=True))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text)."""
         if len(self.number) > REMEMBERED:
             self.forget()
         parted = [self.split(t) for t in texts]
-        new = list(dict.fromkeys(w for words in parted for w in words if w not in self.number))
-        if new:
+        if new := list(set(chain.from_iterable(parted)).difference(self.number)):
             self.learn(new)
-        number = self.number
-        at = np.fromiter((number[w] for words in parted for w in words), np.int64, sum(map(len, parted)))
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(parted)), np.int64, sum(map(len, parted)))
         sizes = self.sizes[at]
         ids = self.table[_ranges(self.starts[at], sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, parted)])]
@@ -370,15 +383,18 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         import regex
 
         words, seen = regex.compile(WORDS), Counter()
-        told = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+        def told() -> pa.RecordBatch:
+            short = {w: n for w, n in seen.items() if len(w) <= SHORT_WORD}
+            return pa.RecordBatch.from_arrays([pa.array(list(short), pa.string()), pa.array(list(short.values()), pa.int64())], ["word", "n"])
+
         for batch in batches:
             for x in batch.column(0):
-                seen.update(w for w in words.findall(x.as_py() or "") if len(w) <= SHORT_WORD)
+                seen.update(words.findall(x.as_py() or ""))
                 if len(seen) > REMEMBERED:
                     yield told()
                     seen.clear()
-        if seen:
-            yield told()
+        yield told()
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -422,7 +438,7 @@ def encode(docs: DataFrame, path: str | None = None, lexicon_words: int = LEXICO
     source = open(path or default_path(), encoding="utf-8").read()
     model = _model(source)
     frequent = [w.encode() for w in frequent_words(docs, lexicon_words, text_col)]
-    name = share_lexicon(spark, Lexicon.build(zip(frequent, model.merge(frequent), strict=True)))
+    name = share_lexicon(spark, Lexicon.compile(frequent, model))
     held = spark.sparkContext.broadcast(source)  # a vocabulary file: its size doesn't follow the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,19 +457,23 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """`encoded` (doc_id, ids) with the text that the ids stand for; broken UTF-8 becomes U+FFFD, null ids an empty text."""
     held = encoded.sparkSession.sparkContext.broadcast(open(path or default_path(), encoding="utf-8").read())
 
+    def told(model: Model, batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(1)
+        counts = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
+        data, sizes = model.bytes_of(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *counts])]
+        raw = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.array(ends, pa.int32()).buffers()[1], pa.py_buffer(data)])
+        try:
+            text = raw.cast(pa.string())
+        except pa.ArrowInvalid:
+            text = pa.array([x.as_py().decode("utf-8", "replace") for x in raw], pa.string())
+        return pa.RecordBatch.from_arrays([batch.column(0), lists, text], ["doc_id", "ids", "text"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(held.value)
         for batch in batches:
-            lists = batch.column(1)
-            counts = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
-            data, sizes = model.bytes_of(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-            ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *counts])]
-            raw = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.array(ends, pa.int32()).buffers()[1], pa.py_buffer(data)])
-            try:
-                text = raw.cast(pa.string())
-            except pa.ArrowInvalid:
-                text = pa.array([x.as_py().decode("utf-8", "replace") for x in raw], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, text], ["doc_id", "ids", "text"])
+            for at in range(0, len(batch), 256):
+                yield told(model, batch.slice(at, 256))
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")
