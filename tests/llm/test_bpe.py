@@ -29,6 +29,15 @@ def test_patterns_are_the_same():
     assert B.WORDS == public_tokenizers.PATTERN
 
 
+def test_splitter_equals_the_pattern():
+    split = B.word_splitter()
+    for c in [*range(0x300), *range(0x1E00, 0x2100), 0x3000, 0x660, 0x2160]:
+        for s in (f"a{chr(c)}1{chr(c)}! {chr(c)} a_b ' 's{chr(c)}{chr(c)}", f"{chr(c)} {chr(c)}"):
+            assert split(s) == regex.findall(B.WORDS, s), hex(c)
+    for t in texts():
+        assert split(t) == regex.findall(B.WORDS, t)
+
+
 def test_tables_differ_only_where_unassigned():
     words = regex.compile(B.WORDS)
     for c in [*range(0x0, 0xD800, 7), *range(0xE000, 0x110000, 997), 0x558, 0x88F, 0x107BB]:
