@@ -12,6 +12,7 @@ from .packing import pack_documents
 from .sharding import shard_by_bytes
 from .shared import table
 from .simhash import near_duplicates
+from .toxicity import toxicity
 from .url_filter import judge_urls
 
 #: The rules that op8 applies.
@@ -23,6 +24,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from the labels that aren't held out."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 40 shards under the law `bytes`."""
     out = shard_by_bytes(table(spark, sf_dir, "documents"), 40)
@@ -49,6 +55,7 @@ def op9_bpe_encoding_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op8_url_filters": op8_url_filters,
