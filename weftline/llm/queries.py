@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .audio import decode_audio, store_audio
 from .bpe import decode, encode
 from .packing import pack_documents
 from .sharding import shard_by_bytes
@@ -53,6 +54,22 @@ def op9_bpe_encoding_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as telephony audio, stored, read back and described."""
+    out = decode_audio(store_audio(table(spark, sf_dir, "documents")), pcm=False)
+    size = lambda c: F.octet_length(c).cast("long")
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        size("payload").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"),
+        size("media").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
@@ -60,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op8_url_filters": op8_url_filters,
     "op9_bpe_encoding_decoding": op9_bpe_encoding_decoding,
+    "op10_media_columns": op10_media_columns,
 }
 
 ORACLES: dict[str, str] = {
