@@ -20,7 +20,7 @@ SHORTEST, LONGEST = 3, 5
 #: Words in a bag, which is averaged over so many places: a word that comes again, or a place that none takes, adds nothing. A text is as toxic as its most toxic bag, so that long texts don't thin out what one passage says.
 BAG = 12
 #: Most labelled documents to learn from, of each label: those of the least hash.
-MOST_PER_LABEL = 3000
+MOST_PER_LABEL = 1500
 #: An n-gram of words in fewer texts isn't learned: it would only tell those texts apart.
 LEAST_TEXTS = 3
 #: The biases that training begins with: a bag of which nothing is known is hardly toxic, so that common words needn't speak against it.
@@ -120,22 +120,34 @@ def train(texts: list[str], labels: list[int], rounds: int = 250, rate: float =
     embeddings = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     weights = np.array([-1, 1], np.float32)[:, None] * rng.normal(0, 0.5, WIDTH).astype(np.float32)
     biases = np.array([START, -START], np.float32)
-    parted = _parted(texts)
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return Model(embeddings * 0, weights, np.array([-3, 3], np.float32) if len(y) and y.min() == 1 else np.array([3, -3], np.float32))
-    number = {w: i for i, w in enumerate(dict.fromkeys(w for t in parted for w in t))}
-    buckets, per_word = features(list(number))
-    used, buckets = np.unique(buckets, return_inverse=True)
-    words = np.fromiter(map(number.__getitem__, chain.from_iterable(parted)), np.int64)
-    words, bag_of, bags_of_text = _bags(words, np.array([len(t) for t in parted]))
-    text_of_bag = np.repeat(np.arange(len(parted)), bags_of_text)
+    number: dict[str, int] = {}
+    indexed = [np.array([number.setdefault(w, len(number)) for w in tokens(x) or [""]], np.int32) for x in texts]
+    counts = np.array([len(x) for x in indexed])
+    words, bag_of, bags_of_text = _bags(np.concatenate(indexed), counts)
+    words, bag_of = words.astype(np.int32), bag_of.astype(np.int32)
+    listed = list(number)
+    buckets, per_word = [], []
+    for i in range(0, len(listed), 20_000):
+        some, n = features(listed[i : i + 20_000])
+        buckets.append(some.astype(np.int32))
+        per_word.append(n)
+    del indexed, number, listed
+    buckets, per_word = np.concatenate(buckets), np.concatenate(per_word)
+    used = np.flatnonzero(np.bincount(buckets, minlength=BUCKETS))
+    renumbered = np.zeros(BUCKETS, np.int32)
+    renumbered[used] = np.arange(len(used))
+    buckets = renumbered[buckets]
+    text_of_bag = np.repeat(np.arange(len(counts)), bags_of_text)
     sizes = np.bincount(bag_of)
-    by_word, by_bucket = np.argsort(words, kind="stable"), np.argsort(buckets, kind="stable")
+    by_word, by_bucket = np.argsort(words, kind="stable").astype(np.int32), np.argsort(buckets, kind="stable").astype(np.int32)
     word_counts, bucket_counts = np.bincount(words), np.bincount(buckets)
-    word_of_bucket = np.repeat(np.arange(len(per_word)), per_word)[by_bucket]
+    word_of_bucket = np.repeat(np.arange(len(per_word), dtype=np.int32), per_word)[by_bucket]
     bag_of = bag_of[by_word]
-    text_counts = np.bincount(np.unique(text_of_bag[bag_of] << 32 | words[by_word]) & 0xFFFFFFFF, minlength=len(per_word))
+    del by_bucket
+    text_counts = np.bincount(np.unique(text_of_bag[bag_of] << 32 | words[by_word].astype(np.int64)) & 0xFFFFFFFF, minlength=len(per_word))
     common = (_sums(text_counts[word_of_bucket], bucket_counts) >= LEAST_TEXTS).astype(np.float32)
     each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()).astype(np.float32)
     state = [embeddings[used] * common[:, None], weights, biases]
@@ -211,9 +223,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_per_label: int = MOST_PER_LABEL
     for label in (0, 1):
         some = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_per_label)
         chosen = some if chosen is None else chosen.union(some)
-    # two lists of bounded length, so that the documents needn't be shuffled
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * most_per_label).collect()
-    return train([r.text or "" for r in rows], [r.toxic for r in rows])
+    # two lists of bounded length, so that the documents needn't be shuffled; of repeated ids the least text counts
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).toArrow().sort_by("doc_id")
+    return train([x or "" for x in rows["text"].to_pylist()], rows["toxic"].to_pylist())
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
