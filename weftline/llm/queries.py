@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .audio import decode_audio, store_audio
 from .bpe import decode, encode
+from .digest import compare_with_next
 from .packing import pack_documents
 from .sharding import shard_by_bytes
 from .shared import table
@@ -41,6 +42,11 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's digest beside its edited text's and the next document's."""
+    return compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL against the five rules."""
     rules = spark.createDataFrame(URL_RULES, "action string, rule string")
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op7_document_fingerprints": op7_document_fingerprints,
     "op8_url_filters": op8_url_filters,
     "op9_bpe_encoding_decoding": op9_bpe_encoding_decoding,
     "op10_media_columns": op10_media_columns,
