@@ -11,6 +11,7 @@ from .audio import decode_audio, store_audio
 from .bpe import decode, encode
 from .digest import compare_with_next
 from .packing import pack_documents
+from .pii import BASE, find_pii, told
 from .sharding import shard_by_bytes
 from .shared import table
 from .simhash import near_duplicates
@@ -42,6 +43,14 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: counts and digest of the base spans, and all spans."""
+    out = find_pii(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *map(count, BASE), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's digest beside its edited text's and the next document's."""
     return compare_with_next(table(spark, sf_dir, "documents"))
@@ -81,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op6_pii": op6_pii,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_url_filters": op8_url_filters,
     "op9_bpe_encoding_decoding": op9_bpe_encoding_decoding,
