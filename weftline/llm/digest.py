@@ -65,10 +65,13 @@ class Digest:
         cuts = np.partition(counts, at)[at]
         return cls((counts[:, None] > cuts).sum(axis=1).astype(np.uint8), min(255, int(math.log(len(data)) / LENGTH_BASE) + 1) if len(data) else 0)
 
-    def __str__(self) -> str:
-        """Two hex digits of the length code, then four buckets in each two."""
+    def __bytes__(self) -> bytes:
+        """The length code, then four buckets in each byte."""
         four = self.quartiles.reshape(-1, 4)
-        return f"{self.length:02x}" + (four[:, 0] << 6 | four[:, 1] << 4 | four[:, 2] << 2 | four[:, 3]).astype(np.uint8).tobytes().hex()
+        return bytes([self.length]) + (four[:, 0] << 6 | four[:, 1] << 4 | four[:, 2] << 2 | four[:, 3]).astype(np.uint8).tobytes()
+
+    def __str__(self) -> str:
+        return bytes(self).hex()
 
     @classmethod
     def parse(cls, text: str) -> Digest:
@@ -98,7 +101,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fingerprint string")
 
 
-_FIELDS = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_FIELDS = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 _NAMES = [x.split()[0] for x in _FIELDS.split(", ")]
 
 
@@ -106,7 +109,7 @@ def _compared(text: str, own: Digest, follower: str, follows: Digest) -> tuple:
     cut = len(text) // 3
     edited = text[: len(text) - cut] + follower[:cut]
     changed = Digest.of(edited)
-    return len(text), hashlib.sha256(edited.encode()).hexdigest(), str(own), str(changed), likeness(own, changed), likeness(own, follows)
+    return len(text), hashlib.sha256(edited.encode()).digest(), bytes(own), bytes(changed), likeness(own, changed), likeness(own, follows)
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,16 +121,26 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     neighbours as they pass. The first and last row of each range, two for each
     partition, are kept with their texts and compared with each other after.
 
-    Null text counts as empty; rows with equal ids follow each other by text,
-    null ids come last; a single row follows itself; repeated rows stay; an
+    Texts travel compressed. Null text counts as empty; rows with equal ids
+    follow each other in an order that their texts fix, null ids come last; a single row follows itself; repeated rows stay; an
     empty table gives no rows; other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze((x.as_py() or "").encode()) for x in batch.column(1)], pa.binary())], ["doc_id", "packed"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         part = TaskContext.get().partitionId()
         ids, last, digest = [], "", None
-        schema = pa.schema([("doc_id", id_type[0]), ("at", pa.int64()), ("text", pa.string()), *((n, pa.int64() if k == 0 else pa.float64() if k > 3 else pa.string()) for k, n in enumerate(_NAMES))])
+        schema = pa.schema([("doc_id", id_type[0]), ("at", pa.int64()), ("text", pa.string()), *((n, pa.int64() if k == 0 else pa.float64() if k > 3 else pa.binary()) for k, n in enumerate(_NAMES))])
         rows: list[tuple] = []
         ends = lambda place, i, text: (i, 2 * part + place, text, *[None] * len(_NAMES))
 
@@ -136,7 +149,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
         for batch in batches:
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = x.as_py() or ""
+                text = unpack(x.as_py()).decode()
                 now = digest if digest is not None and text == last else Digest.of(text)
                 if digest is None:
                     rows.append(ends(0, i, text))
@@ -152,9 +165,9 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if rows:
             yield told()
 
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(shrink, f"doc_id {kind}, packed binary")
     id_type = [to_arrow_type(chosen.schema["doc_id"].dataType)]
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
+    order = [F.col("doc_id").desc_nulls_last(), F.col("packed")]
     passed = settle(chosen.repartitionByRange(F.col("doc_id").desc_nulls_last()).sortWithinPartitions(*order).mapInArrow(run, f"doc_id {kind}, at long, text string, {_FIELDS}"))
     # two rows of each partition: at most twice as many rows as partitions come together here
     ring = passed.where("at is not null").select("doc_id", "at", "text")
@@ -168,4 +181,5 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in zip(*rows, strict=True))], ["doc_id", *_NAMES])
 
-    return passed.where("at is null").select("doc_id", *_NAMES).union(pairs.mapInArrow(close, f"doc_id {kind}, {_FIELDS}"))
+    out = passed.where("at is null").select("doc_id", *_NAMES).union(pairs.mapInArrow(close, f"doc_id {kind}, {_FIELDS}"))
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
