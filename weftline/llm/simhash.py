@@ -200,10 +200,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the component's id only if it has no other; an empty table gives no rows;
     other columns are ignored.
     """
+    return _grouped(docs, id_col, text_col, shingle, longest).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, longest: int) -> DataFrame:
+    """(fp, doc_id, root, component_id) of each document; root: the least fingerprint of its component."""
     marked = settle(fingerprints(docs, id_col, text_col, shingle))
     classes = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     stars = components(links(classes.select("fp"), longest))
     rooted = classes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = settle(rooted)
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp").select("fp", "doc_id", "root", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, longest: int = LONGEST_LIST) -> DataFrame:
+    """`docs`, all columns, with one document of each component of `near_duplicates`: that of the least id.
+
+    Where rows share that id, or have none, one of them stays for each component.
+    """
+    grouped = settle(_grouped(docs, id_col, text_col, shingle, longest))
+    by_id = grouped.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component_id"))
+    alone = by_id.where("n = 1 and doc_id = component_id").select("doc_id")
+    kept = docs.join(alone.withColumnRenamed("doc_id", "_alone"), F.col(id_col) == F.col("_alone"), "left_semi")
+    shared = settle(by_id.where("n > 1 or doc_id is null").select("doc_id"))
+    if shared.isEmpty():
+        return kept
+    # of these rows, the fingerprint says which component each is of
+    at, names, kind = docs.columns.index(text_col), docs.columns, ", ".join(f"`c{i}` {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
+    own = names.index(id_col)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([_signed(fingerprint(x.as_py(), shingle)) for x in batch.column(at)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*(f"c{i}" for i in range(len(names))), "fp"])
+
+    rows = docs.join(shared.withColumnRenamed("doc_id", "_shared"), F.col(id_col).eqNullSafe(F.col("_shared")), "left_semi").mapInArrow(mark, f"{kind}, fp long")
+    least = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), "root").distinct()
+    rows = rows.join(least, (F.col("fp") == F.col("_fp")) & F.col(f"c{own}").eqNullSafe(F.col("_id"))).dropDuplicates(["root"])
+    return kept.union(rows.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names))))

@@ -228,8 +228,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_per_label: int = MOST_PER_LABEL
     return train([x or "" for x in rows["text"].to_pylist()], rows["toxic"].to_pylist())
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of `docs` and `toxicity`, 0 to 1, of each whole text; null counts as empty, which has a score too."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "toxicity") -> DataFrame:
+    """All columns of `docs` and `into`, 0 to 1, of each whole text; null counts as empty, which has a score too."""
     held = docs.sparkSession.sparkContext.broadcast(model.folded())  # BUCKETS numbers
     at = docs.columns.index(text_col)
 
@@ -237,12 +237,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         scorer = Scorer(held.value)
         for batch in batches:
             found = [scorer.scores([x.as_py() or "" for x in batch.column(at).slice(i, 512)]) for i in range(0, len(batch), 512)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else [], pa.float64())], [*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else [], pa.float64())], [*batch.schema.names, into])
 
-    if "toxicity" in docs.columns:
-        raise ValueError("the documents have a column named toxicity")
+    if into in docs.columns:
+        raise ValueError(f"the documents have a column named {into}")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, toxicity double")
+    return docs.mapInArrow(run, f"{kinds}, `{into}` double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most_per_label: int = MOST_PER_LABEL, threshold: float = THRESHOLD) -> DataFrame:
@@ -255,3 +255,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_per_label: int = MOST_PER_
     """
     scored = score(docs.select("doc_id", "text"), fit(docs, labels, most_per_label))
     return scored.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, most_per_label: int = MOST_PER_LABEL, threshold: float = THRESHOLD) -> DataFrame:
+    """`docs`, all columns, without the documents whose score reaches the threshold; the model is fit on those labels."""
+    into = "toxicity" + "_" * max((len(c) for c in docs.columns), default=0)
+    return score(docs, fit(docs, labels, most_per_label), into=into).where(F.col(into) < threshold).select(*docs.columns)
