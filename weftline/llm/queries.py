@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .audio import decode_audio, store_audio
 from .bpe import decode, encode
 from .digest import compare_with_next
+from .lm_score import score_documents
 from .packing import pack_documents
 from .pii import BASE, find_pii, told
 from .sharding import shard_by_bytes
@@ -43,6 +44,12 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's loss under the model of documents of good quality less that under the model of all others."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return score_documents(table(spark, sf_dir, "documents"), good)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's personal data: counts and digest of the base spans, and all spans."""
     out = find_pii(table(spark, sf_dir, "documents"))
@@ -90,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_pii": op6_pii,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_url_filters": op8_url_filters,
