@@ -1,10 +1,695 @@
-"""The registered queries of the corpus operators, and their SQL."""
+"""The registered queries of the corpus operators, and SQL that says the same.
+
+A corpus record is a row of `documents`, its language `lang` and its place in
+the source `doc_id`. Labels and predictions are `labels.quality` and
+`labels.toxic`. Numbers that stand for chance come from hashes that both engines
+have.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import align, control, corpus, fuse, langid, mask, metrics, order, stats, subword
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+LANGUAGES = ("en", "es", "fr", "de")
+HOW = corpus.Preparation(languages=LANGUAGES, seed=42)
+TRAIN, VALIDATION = T.split_bounds(HOW.validation, HOW.test)
+
+# --- what the SQL has in common -------------------------------------------------
+_UNIT = "('0x' || substr(sha256('42' || chr(0) || language || chr(0) || text), 1, 16))::ubigint::double / 18446744073709551616.0"
+_PREPARED = rf"""
+raw AS (SELECT doc_id, lang AS language, text FROM documents WHERE text IS NOT NULL AND text <> ''),
+plain AS (SELECT doc_id, language, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM raw),
+prepared AS (SELECT *, CASE WHEN u < {TRAIN!r} THEN 'train' WHEN u < {VALIDATION!r} THEN 'validation' ELSE 'test' END AS split
+             FROM (SELECT *, {_UNIT} AS u FROM plain WHERE length(text) BETWEEN 1 AND 1000000))"""
+_PLACE = "list_position(['en', 'es', 'fr', 'de'], language)"
+
+
+def _number(key: str) -> str:
+    return f"(('0x' || substr(md5({key}), 1, 8))::bigint / 4294967296.0)"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language"), "text")
+
+
+def _prepared(spark: SparkSession, sf_dir: str, how: corpus.Preparation = HOW) -> DataFrame:
+    return corpus.prepare(_records(spark, sf_dir), how)
+
+
+def _r(c: str | Column, n: int = 6) -> Column:
+    return F.round(c, n)
+
+
+# --- the corpus -----------------------------------------------------------------
+@query("corpus_scan_stats", "SELECT lang AS language, count(*)::bigint AS documents, sum(length(text))::bigint AS characters, sum(strlen(text))::bigint AS text_bytes FROM documents GROUP BY 1")
+def corpus_scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.language_totals(_records(spark, sf_dir))
+
+
+@query(
+    "source_byte_balance",
+    "WITH t AS (SELECT sum(strlen(text))::bigint AS b FROM documents GROUP BY lang) SELECT min(b)::bigint AS least_bytes, max(b)::bigint AS most_bytes, sum(b)::bigint AS all_bytes, (max(b) - min(b))::bigint AS spread, max(b) - min(b) <= 100000 AS balanced FROM t",
+)
+def source_byte_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.byte_balance(_records(spark, sf_dir), 100_000)
+
+
+@query("corpus_normalize", f"WITH {_PREPARED} SELECT doc_id, language, text, length(text)::bigint AS n_chars FROM prepared")
+def corpus_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prepared(spark, sf_dir).select("doc_id", "language", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("corpus_length_filter", f"WITH {_PREPARED} SELECT doc_id, length(text)::bigint AS n_chars FROM prepared WHERE length(text) BETWEEN 50 AND 5000")
+def corpus_length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _prepared(spark, sf_dir, corpus.Preparation(languages=LANGUAGES, low=50, high=5000))
+    return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("corpus_split", f"WITH {_PREPARED} SELECT doc_id, language, split, round(u, 9) AS share FROM prepared")
+def corpus_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prepared(spark, sf_dir).select("doc_id", "language", "split", _r(T.hash_fraction("42", F.col("language"), F.col("text")), 9).alias("share"))
+
+
+@query("corpus_split_summary", f"WITH {_PREPARED} SELECT language, split, count(*)::bigint AS documents, sum(length(text))::bigint AS characters, sum(strlen(text))::bigint AS text_bytes FROM prepared GROUP BY 1, 2")
+def corpus_split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _prepared(spark, sf_dir)
+    return rows.groupBy("language", "split").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("text")).cast("long").alias("characters"), F.sum(F.octet_length("text")).cast("long").alias("text_bytes"))
+
+
+_TURNS = f"turns AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY doc_id) AS nth FROM prepared), stream AS (SELECT *, row_number() OVER (ORDER BY nth, {_PLACE}) - 1 AS position FROM turns)"
+
+
+@query("corpus_round_robin", f"WITH {_PREPARED}, {_TURNS} SELECT doc_id, language, nth::bigint AS nth, position::bigint AS position FROM stream")
+def corpus_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.prepared_stream(_prepared(spark, sf_dir), HOW, "doc_id")
+
+
+@query("corpus_sequential", f"WITH {_PREPARED}, one AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY doc_id) AS nth FROM prepared WHERE split = 'validation') SELECT doc_id, language, nth::bigint AS nth, (row_number() OVER (ORDER BY {_PLACE}, doc_id) - 1)::bigint AS position FROM one")
+def corpus_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.prepared_stream(_prepared(spark, sf_dir), HOW, "doc_id", split="validation", balanced=False)
+
+
+@query(
+    "corpus_byte_cap",
+    """WITH t AS (SELECT doc_id, lang AS language, row_number() OVER w AS nth, sum(strlen(text)) OVER (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS running
+       FROM documents WHERE text <> '' WINDOW w AS (PARTITION BY lang ORDER BY doc_id))
+       SELECT doc_id, language, nth::bigint AS nth, running::bigint AS running FROM t WHERE running <= 200000""",
+)
+def corpus_byte_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.byte_cap(_records(spark, sf_dir), 200_000, "doc_id")
+
+
+_BUDGET = f"""budget AS (SELECT doc_id, language, nth, running, row_number() OVER (ORDER BY nth, {_PLACE}) - 1 AS position FROM (
+  SELECT *, row_number() OVER (PARTITION BY language ORDER BY doc_id) AS nth, sum(strlen(text)) OVER (PARTITION BY language ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS running
+  FROM prepared WHERE split = 'train') WHERE running <= 150000)"""
+
+
+@query("corpus_budget", f"WITH {_PREPARED}, {_BUDGET} SELECT doc_id, language, nth::bigint AS nth, running::bigint AS running, position::bigint AS position FROM budget")
+def corpus_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.training_budget(_prepared(spark, sf_dir), HOW, 150_000, "doc_id").select("doc_id", "language", "nth", "running", "position")
+
+
+@query("corpus_shards", f"WITH {_PREPARED}, {_TURNS} SELECT doc_id, language, ((nth - 1) // 100)::bigint AS shard, ((nth - 1) % 100)::bigint AS row_in_shard FROM turns")
+def corpus_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = order.ranked(_prepared(spark, sf_dir).select("doc_id", "language"), "language", "doc_id")
+    return order.shards(rows, 100).select("doc_id", "language", "shard", "row_in_shard")
+
+
+@query("corpus_first_n", f"WITH {_PREPARED}, {_TURNS} SELECT doc_id, language, nth::bigint AS nth FROM turns WHERE nth <= 25")
+def corpus_first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.first_per_language(_prepared(spark, sf_dir), 25, "doc_id").select("doc_id", "language", "nth")
+
+
+@query("corpus_batches", f"WITH {_PREPARED}, {_TURNS} SELECT doc_id, position::bigint AS position, (position // 32)::bigint AS batch FROM stream")
+def corpus_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.batches(corpus_round_robin(spark, sf_dir), 32).select("doc_id", "position", "batch")
+
+
+@query("corpus_epochs", f"WITH {_PREPARED}, {_TURNS}, n AS (SELECT max(position) // 32 + 1 AS n FROM stream) SELECT doc_id, epoch::int AS epoch, (epoch * n + position // 32)::bigint AS batch FROM stream, n, range(3) e(epoch)")
+def corpus_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus_batches(spark, sf_dir)
+    n = rows.agg(F.max("batch") + 1).first()[0] or 0
+    return order.epochs(rows, 3).select("doc_id", "epoch", (F.col("epoch") * n + F.col("batch")).cast("long").alias("batch"))
+
+
+@query("corpus_resume", f"WITH {_PREPARED}, {_TURNS} SELECT doc_id, (position // 32)::bigint AS batch FROM stream WHERE position // 32 >= 7")
+def corpus_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.resume(corpus_batches(spark, sf_dir), 7).select("doc_id", "batch")
+
+
+# --- labels and metrics ---------------------------------------------------------
+@query("label_vocabulary", "WITH l AS (SELECT event_type AS label FROM events UNION SELECT o_orderpriority FROM orders) SELECT label, (row_number() OVER (ORDER BY label) - 1)::bigint AS label_id FROM l WHERE label IS NOT NULL")
+def label_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = _table(spark, sf_dir, "events").select(F.col("event_type").alias("label")).union(_table(spark, sf_dir, "orders").select("o_orderpriority"))
+    return metrics.label_vocabulary(seen)
+
+
+@query("label_ids", "WITH l AS (SELECT DISTINCT event_type AS label FROM events WHERE event_type IS NOT NULL), v AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS id FROM l) SELECT event_id, id::bigint AS label_id FROM events JOIN v ON event_type = label")
+def label_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("label"))
+    return rows.join(metrics.label_vocabulary(rows), "label").select("event_id", "label_id")
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"), F.col("toxic").alias("prediction"))
+
+
+@query("confusion_matrix", "SELECT quality AS label, toxic AS prediction, count(*)::bigint AS n FROM labels GROUP BY 1, 2")
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.confusion(_labels(spark, sf_dir))
+
+
+def _f1(pairs: str, by: str = "") -> str:
+    comma = f"{by}, " if by else ""
+    group = f"GROUP BY {by}" if by else ""
+    return f"""sides AS (SELECT {comma}label AS class, (label = prediction)::int AS tp, 1 AS real, 0 AS said FROM {pairs} UNION ALL SELECT {comma}prediction, 0, 0, 1 FROM {pairs}),
+classes AS (SELECT {comma}class, sum(tp) AS tp, sum(real) AS real, sum(said) AS said FROM sides GROUP BY {comma}class),
+score AS (SELECT {comma}round(sum(tp)::double / sum(real), 6) AS accuracy, round(avg(2.0 * tp / (real + said)), 6) AS macro_f1, round(sum(tp)::double / sum(real), 6) AS micro_f1, sum(real)::bigint AS examples FROM classes {group})"""
+
+
+def _rounded(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.withColumns({c: _r(c) for c in columns})
+
+
+@query("classification_metrics", f"WITH pairs AS (SELECT quality AS label, toxic AS prediction FROM labels), {_f1('pairs')} SELECT * FROM score")
+def classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.classification_metrics(_labels(spark, sf_dir)), "accuracy", "macro_f1", "micro_f1")
+
+
+_WORDS = f"WITH {_PREPARED}, listed AS (SELECT doc_id, language, string_split(text, ' ') AS words FROM prepared WHERE text <> ''), tokens AS (SELECT doc_id, language, unnest(words) AS word, unnest(range(len(words))) AS pos FROM listed)"
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prepared(spark, sf_dir).select("doc_id", "language", T.words(F.col("text")).alias("words"))
+
+
+@query(
+    "token_metrics",
+    _WORDS + f", pairs AS (SELECT language, CASE WHEN length(word) < 2 THEN -100 ELSE length(word) % 5 END AS label, (length(word) + (ascii(word) % 3 = 0)::int) % 5 AS prediction, doc_id FROM tokens), kept AS (SELECT * FROM pairs WHERE label <> -100), {_f1('kept', 'language')} SELECT language, accuracy, macro_f1, micro_f1, examples AS labeled_tokens FROM score",
+)
+def token_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _words(spark, sf_dir)
+    label = F.transform("words", lambda w: F.when(F.length(w) < 2, F.lit(metrics.IGNORED)).otherwise(F.length(w) % 5))
+    prediction = F.transform("words", lambda w: (F.length(w) + (F.ascii(w) % 3 == 0).cast("int")) % 5)
+    out = metrics.token_metrics(rows.select("language", label.alias("labels"), prediction.alias("predictions")), by=["language"])
+    return _rounded(out, "accuracy", "macro_f1", "micro_f1")
+
+
+@query("eval_macro_loss", f"WITH {_PREPARED}, {_TURNS}, b AS (SELECT language, (nth - 1) // 8 AS batch, avg({_number('doc_id::varchar')}) AS m FROM turns GROUP BY 1, 2) SELECT language, round(avg(m), 6) AS loss, count(*)::bigint AS batches FROM b WHERE batch < 5 GROUP BY 1")
+def eval_macro_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = order.ranked(_prepared(spark, sf_dir).select("doc_id", "language"), "language", "doc_id")
+    rows = rows.withColumn("batch", F.floor((F.col("nth") - 1) / 8)).withColumn("loss", T.hash_number(F.col("doc_id")))
+    return _rounded(metrics.mean_of_batch_means(rows, "loss", "batch", ["language"], 5), "loss")
+
+
+@query(
+    "accumulation_metrics",
+    f"""WITH {_PREPARED}, {_TURNS}, b AS (SELECT position // 8 AS batch, avg({_number('doc_id::varchar')}) AS loss, sum(length(text)) AS tokens, count(*) AS masked, sum((doc_id % 3 = 0)::int) AS hit FROM stream GROUP BY 1),
+    s AS (SELECT batch // 4 AS step, avg(loss) AS loss, sum(hit)::double / greatest(sum(masked), 1) AS masked_accuracy, sum(tokens) AS tokens, count(*) AS microbatches FROM b GROUP BY 1)
+    SELECT step::bigint AS step, round(loss, 6) AS loss, round(masked_accuracy, 6) AS masked_accuracy, tokens::bigint AS tokens, microbatches::bigint AS microbatches, (sum(tokens) OVER (ORDER BY step))::bigint AS tokens_so_far FROM s""",
+)
+def accumulation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = _prepared(spark, sf_dir).select("doc_id", F.length("text").alias("size"))
+    rows = order.batches(corpus_round_robin(spark, sf_dir), 8).join(sizes, "doc_id")
+    per_batch = rows.groupBy("batch").agg(F.avg(T.hash_number(F.col("doc_id"))).alias("loss"), F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("masked"), F.sum((F.col("doc_id") % 3 == 0).cast("int")).alias("hit"))
+    return _rounded(metrics.accumulated(per_batch, 4, "batch", "loss", "hit", "masked", "tokens"), "loss", "masked_accuracy")
+
+
+@query("mean_pool", "SELECT label::bigint AS label, (i - 1)::bigint AS dim, round(avg(embedding[i]::double), 6) AS value FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2")
+def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.mean_vector(_table(spark, sf_dir, "embeddings"), "embedding", ["label"])
+    return out.select(F.col("label").cast("long").alias("label"), F.col("dim").cast("long").alias("dim"), _r("value").alias("value"))
+
+
+# --- names and splits -----------------------------------------------------------
+REPOSITORIES = ["org/mix_NER_EN_HI", "org/mix_POS_EN_HI_UD", "org/mix_POS_EN_HI_FG", "org/a b_SENTIMENT_EN_ES"]
+_REPOSITORIES = "(VALUES " + ", ".join(f"('{r}')" for r in REPOSITORIES) + ") r(repository)"
+
+
+def _repositories(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(r,) for r in REPOSITORIES], "repository string")
+
+
+@query("task_inference", f"SELECT repository, CASE WHEN contains(upper(repository), '_NER_') THEN 'ner' WHEN contains(upper(repository), '_POS_') THEN 'pos' ELSE 'sentiment' END AS task FROM {_REPOSITORIES}")
+def task_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repositories(spark).withColumn("task", T.repository_task(F.col("repository")))
+
+
+@query("language_pair", f"SELECT repository, lower(string_split(repository, '_')[-2] || '-' || string_split(repository, '_')[-1]) AS language_pair FROM {_REPOSITORIES}")
+def language_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repositories(spark).withColumn("language_pair", T.language_pair(F.col("repository")))
+
+
+@query("safe_name", f"SELECT repository, replace(replace(repository, '/', '__'), ' ', '_') AS name FROM {_REPOSITORIES}")
+def safe_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repositories(spark).withColumn("name", T.safe_name(F.col("repository")))
+
+
+SPLITS = [("a", "train", 0), ("a", "validation", 1), ("a", "test", 2), ("b", "Test_x", 0), ("b", "dev", 1), ("b", "valid2", 2), ("b", "train_1", 3), ("b", "train_2", 4)]
+
+
+@query(
+    "split_resolution",
+    "WITH s(repository, name, position) AS (VALUES " + ", ".join(f"('{a}', '{b}', {c})" for a, b, c in SPLITS) + """)
+    SELECT repository, min_by(name, position) FILTER (lower(name) LIKE 'train%') AS train, min_by(name, position) FILTER (lower(name) LIKE 'dev%' OR lower(name) LIKE 'valid%') AS validation, min_by(name, position) FILTER (lower(name) LIKE 'test%') AS test FROM s GROUP BY 1""",
+)
+def split_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return control.resolve_splits(spark.createDataFrame(SPLITS, "repository string, name string, position int"), ["repository"])
+
+
+# --- words, spans, alignment ----------------------------------------------------
+_SPANS = _WORDS + ", spans AS (SELECT doc_id, language, pos, word, coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start FROM tokens), whole AS (SELECT *, start + length(word) AS \"end\" FROM spans)"
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _words(spark, sf_dir).select("doc_id", "language", F.posexplode(F.arrays_zip("words", T.word_spans(F.col("words")).alias("spans"))).alias("pos", "x"))
+    return rows.select("doc_id", "language", F.col("pos").cast("long").alias("pos"), F.col("x.words").alias("word"), F.col("x.spans.start").cast("long").alias("start"), F.col("x.spans.end").cast("long").alias("end"))
+
+
+@query("word_spans", _SPANS + ' SELECT doc_id, pos::bigint AS pos, word, start::bigint AS start, "end"::bigint AS "end" FROM whole')
+def word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(spark, sf_dir).select("doc_id", "pos", "word", "start", "end")
+
+
+#: Characters of the tokens that stand for another segmentation.
+CHUNK = 7
+_CHUNKS = f", sizes AS (SELECT doc_id, length(text) AS n FROM prepared), chunks AS (SELECT doc_id, unnest(range((n + {CHUNK - 1}) // {CHUNK})) AS pos, n FROM sizes), cut AS (SELECT doc_id, pos, pos * {CHUNK} AS start, least(n, (pos + 1) * {CHUNK}) AS \"end\" FROM chunks)"
+_EDGES = _SPANS + _CHUNKS + ', edges AS (SELECT c.doc_id, c.pos AS l_pos, w.pos AS r_pos, w.word, least(c."end", w."end") - greatest(c.start, w.start) AS weight FROM cut c JOIN whole w ON c.doc_id = w.doc_id AND c.start < w."end" AND c."end" > w.start)'
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = _prepared(spark, sf_dir).select("doc_id", F.length("text").alias("n")).where("n > 0")
+    cut = sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK).cast("long"))).alias("pos"))
+    return cut.select("doc_id", "pos", (F.col("pos") * CHUNK).alias("start"), F.least(F.col("n").cast("long"), (F.col("pos") + 1) * CHUNK).alias("end"))
+
+
+@query("alignment_edges", _EDGES + " SELECT doc_id, l_pos::bigint AS l_pos, r_pos::bigint AS r_pos, weight::bigint AS weight FROM edges")
+def alignment_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _spans(spark, sf_dir).select("doc_id", "pos", "start", "end")
+    return align.overlaps(_chunks(spark, sf_dir), words, ["doc_id"]).select("doc_id", "l_pos", "r_pos", "weight")
+
+
+@query(
+    "alignment_projection",
+    _EDGES + """, p AS (SELECT e.doc_id, e.r_pos, sum(e.weight * v.embedding[1]::double) / sum(e.weight) AS x FROM edges e JOIN embeddings v ON v.vec_id = (e.doc_id + e.l_pos) % 500 GROUP BY 1, 2)
+    SELECT doc_id, count(*)::bigint AS words, round(sum(x), 4) AS total FROM p GROUP BY 1""",
+)
+def alignment_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id"), F.slice("embedding", 1, 1).alias("vector"))
+    pick = lambda rows, pos: rows.join(vectors, F.pmod(F.col("doc_id") + F.col(pos), F.lit(500)) == F.col("vec_id"))
+    words = _spans(spark, sf_dir).select("doc_id", "pos", "start", "end")
+    chunks = _chunks(spark, sf_dir)
+    edges = align.overlaps(chunks, words, ["doc_id"])
+    out = align.project(edges, pick(chunks, "pos").select("doc_id", "pos", "vector"), pick(words, "pos").select("doc_id", "pos", "vector"), ["doc_id"])
+    return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), _r(F.sum("value"), 4).alias("total"))
+
+
+@query(
+    "token_label_transfer",
+    _EDGES + """, first AS (SELECT doc_id, l_pos, min(r_pos) AS r_pos FROM edges GROUP BY 1, 2),
+    given AS (SELECT f.doc_id, f.l_pos, w.word, row_number() OVER (PARTITION BY f.doc_id, f.r_pos ORDER BY f.l_pos) AS rn FROM first f JOIN whole w ON w.doc_id = f.doc_id AND w.pos = f.r_pos)
+    SELECT c.doc_id, c.pos::bigint AS pos, coalesce(CASE WHEN rn = 1 THEN length(word) % 5 END, -100)::int AS label FROM cut c LEFT JOIN given g ON g.doc_id = c.doc_id AND g.l_pos = c.pos""",
+)
+def token_label_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _spans(spark, sf_dir).select("doc_id", F.col("pos").alias("idx"), "start", "end", (F.length("word") % 5).alias("label"))
+    return align.transfer_labels(_chunks(spark, sf_dir), words, ["doc_id"])
+
+
+MASK = dict(seed=42, share=0.15, mask_id=4, vocabulary=1000)
+_DRAWN = f""", drawn AS (SELECT doc_id, pos, length(word) AS token, start, "end", {_number("'42|mask|' || doc_id || '|' || pos")} < 0.15 AS hit, {_number("'42|replace|' || doc_id || '|' || pos")} AS u2, {_number("'42|token|' || doc_id || '|' || pos")} AS u3 FROM whole),
+masked AS (SELECT *, hit OR (NOT bool_or(hit) OVER (PARTITION BY doc_id) AND pos = min(pos) OVER (PARTITION BY doc_id)) AS masked FROM drawn)"""
+
+
+def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = _spans(spark, sf_dir).select("doc_id", "pos", F.length("word").alias("token"), "start", "end")
+    return mask.mask_tokens(tokens, ["doc_id"], **MASK)
+
+
+@query("mlm_mask", _SPANS + _DRAWN + " SELECT doc_id, pos::bigint AS pos, masked, (CASE WHEN NOT masked THEN token WHEN u2 < 0.8 THEN 4 WHEN u2 < 0.9 THEN floor(u3 * 1000)::int ELSE token END)::int AS input_id, (CASE WHEN masked THEN token ELSE -100 END)::int AS label FROM masked")
+def mlm_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _masked(spark, sf_dir).select("doc_id", "pos", "masked", F.col("input_id").cast("int").alias("input_id"), F.col("label").cast("int").alias("label"))
+
+
+@query(
+    "candidate_mask_propagation",
+    _SPANS + _CHUNKS + _DRAWN + """, met AS (SELECT c.doc_id, c.pos, min_by(m.u2, m.pos) AS u2, min(m.pos) AS ref FROM cut c JOIN masked m ON m.masked AND m.doc_id = c.doc_id AND c.start < m."end" AND c."end" > m.start GROUP BY 1, 2)
+    SELECT doc_id, pos::bigint AS pos, ref::bigint AS reference_pos, round(u2, 9) AS decision FROM met""",
+)
+def candidate_mask_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hidden = _masked(spark, sf_dir).where("masked").select("doc_id", "pos", "start", "end", "decision")
+    candidates = _chunks(spark, sf_dir).withColumn("candidate", F.lit(1))
+    return align.propagate_masks(candidates, hidden, ["doc_id"]).select("doc_id", "pos", "reference_pos", _r("decision", 9).alias("decision"))
+
+
+@query(
+    "padding_plan",
+    f"WITH {_PREPARED}, {_TURNS}, s AS (SELECT doc_id, position // 16 AS batch, len(string_split(text, ' ')) AS n FROM stream) SELECT doc_id, batch::bigint AS batch, n::bigint AS tokens, (max(n) OVER (PARTITION BY batch) - n)::bigint AS padding FROM s",
+)
+def padding_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = _words(spark, sf_dir).select("doc_id", F.transform("words", lambda w: F.length(w)).alias("ids"))
+    rows = mask.pad(order.batches(corpus_round_robin(spark, sf_dir), 16).join(ids, "doc_id"), "batch", "ids")
+    tokens = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
+    return rows.select("doc_id", "batch", tokens.cast("long").alias("tokens"), (F.size("input_ids") - tokens).cast("long").alias("padding"))
+
+
+@query("char_ngrams", f"WITH {_PREPARED}, g AS (SELECT language, unnest(range(1, length(text) + 1)) AS i, text FROM prepared), n AS (SELECT language, text[i:i + 1] AS gram FROM g WHERE i + 1 <= length(text) UNION ALL SELECT language, text[i:i + 2] FROM g WHERE i + 2 <= length(text)) SELECT language, gram, count(*)::bigint AS n FROM n GROUP BY 1, 2")
+def char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prepared(spark, sf_dir).select("language", F.explode(T.char_ngrams(F.col("text"), 2, 3)).alias("gram")).groupBy("language", "gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- scripts, scores, fusion ----------------------------------------------------
+_PROFILE = rf", profile AS (SELECT doc_id, len(string_split(text, ' ')) AS pieces, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(regexp_replace(text, '[^\p{{L}}]', '', 'g'), '[^\p{{Latin}}]', '', 'g')) AS latin, 0 AS devanagari, length(regexp_replace(lower(text), '[^áéíóúüñ]', '', 'g')) AS marks, length(replace(text, ' ', '')) AS solid FROM prepared)"
+
+
+@query("script_profile", f"WITH {_PREPARED}{_PROFILE} SELECT doc_id, letters::bigint AS letters, latin::bigint AS latin, devanagari::bigint AS devanagari, marks::bigint AS marks FROM profile")
+def script_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _prepared(spark, sf_dir)
+    return rows.select("doc_id", *(e.cast("long").alias(k) for k, e in fuse.script_profile(F.col("text")).items()))
+
+
+def _evidence_sql(source: str) -> str:
+    return f""", e AS (SELECT *, greatest(0.05, latin - marks + 1.0) * (1 + 0.03 * mpl) AS a, greatest(0.05, latin * (1 + 0.5 * marks) + 0.5) * (1 + 0.05 / greatest(1, pieces)) AS b, greatest(0.05, devanagari + 1.0) * (1 + 0.02 * mpl) AS c FROM (SELECT *, solid::double / greatest(1, pieces) AS mpl FROM {source}))"""
+
+
+@query("language_evidence", f"WITH {_PREPARED}{_PROFILE}{_evidence_sql('profile')} SELECT doc_id, round(a / (a + b + c), 6) AS english, round(b / (a + b + c), 6) AS spanish, round(c / (a + b + c), 6) AS hindi FROM e")
+def language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _prepared(spark, sf_dir).select("doc_id", "text", F.size(T.words(F.col("text"))).alias("pieces"))
+    p = fuse.script_profile(F.col("text"))
+    solid = F.length(F.replace("text", F.lit(" "), F.lit("")))
+    e = fuse.language_evidence(p["latin"], p["devanagari"], p["marks"], solid / F.greatest("pieces", F.lit(1)), F.col("pieces"))
+    return rows.select("doc_id", e.alias("e")).select("doc_id", *(_r(F.col("e")[i]).alias(n) for i, n in enumerate(("english", "spanish", "hindi"))))
+
+
+_SCORES = "WITH c AS (SELECT doc_id, candidate FROM documents, range(4) r(candidate)), s AS (SELECT doc_id, candidate, -3 * " + _number("doc_id || '|score|' || candidate") + " AS score FROM c), p AS (SELECT doc_id, candidate, exp((score - max(score) OVER w) / 0.7) AS e FROM s WINDOW w AS (PARTITION BY doc_id)), soft AS (SELECT doc_id, candidate, e / sum(e) OVER (PARTITION BY doc_id) AS probability FROM p)"
+
+
+def _candidates(spark: SparkSession, sf_dir: str, n: int = 4) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("candidate"))
+
+
+@query(
+    "candidate_softmax",
+    _SCORES + """, ok AS (SELECT *, probability >= 0.3 AS ok, bool_or(probability >= 0.3) OVER (PARTITION BY doc_id) AS any_ok FROM soft), kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY candidate) AS rn FROM ok WHERE ok OR (NOT any_ok AND candidate = 0))
+    SELECT doc_id, candidate::int AS candidate, round(probability / sum(probability) OVER (PARTITION BY doc_id), 6) AS probability FROM kept WHERE rn <= 3""",
+)
+def candidate_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _candidates(spark, sf_dir).withColumn("score", -3 * T.hash_number(F.col("doc_id"), "score", F.col("candidate")))
+    soft = fuse.softmax(rows, "score", ["doc_id"], 0.7)
+    return fuse.retain(soft, ["doc_id"], "candidate", 0.3, 3).select("doc_id", "candidate", _r("probability").alias("probability"))
+
+
+_SHARES = "WITH x AS (SELECT doc_id, " + ", ".join(f"{_number(f'doc_id || {chr(39)}|{k}{chr(39)}')} AS x{k}" for k in range(3)) + " FROM documents), s AS (SELECT doc_id, x0 / (x0 + x1 + x2) AS p0, x1 / (x0 + x1 + x2) AS p1, x2 / (x0 + x1 + x2) AS p2 FROM x)"
+
+
+def _shares(rows: DataFrame) -> DataFrame:
+    raw = [T.hash_number(F.col("doc_id"), str(k)) for k in range(3)]
+    return rows.withColumn("shares", F.array(*(x / (raw[0] + raw[1] + raw[2]) for x in raw)))
+
+
+@query(
+    "language_threshold",
+    _SHARES + """, c AS (SELECT doc_id, p0, p1, p2, CASE WHEN p0 >= .4 THEN p0 ELSE 0 END AS c0, CASE WHEN p1 >= .4 THEN p1 ELSE 0 END AS c1, CASE WHEN p2 >= .4 THEN p2 ELSE 0 END AS c2 FROM s)
+    SELECT doc_id, round(CASE WHEN c0 + c1 + c2 > 0 THEN c0 / (c0 + c1 + c2) ELSE p0 END, 6) AS first, round(CASE WHEN c0 + c1 + c2 > 0 THEN c1 / (c0 + c1 + c2) ELSE p1 END, 6) AS second, round(CASE WHEN c0 + c1 + c2 > 0 THEN c2 / (c0 + c1 + c2) ELSE p2 END, 6) AS third FROM c""",
+)
+def language_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _shares(_table(spark, sf_dir, "documents").select("doc_id")).withColumn("kept", fuse.language_threshold(F.col("shares"), 0.4))
+    return rows.select("doc_id", *(_r(F.col("kept")[i]).alias(n) for i, n in enumerate(("first", "second", "third"))))
+
+
+@query("routing_entropy", _SHARES + " SELECT round(avg(-(p0 * ln(greatest(p0, 1e-8)) + p1 * ln(greatest(p1, 1e-8)) + p2 * ln(greatest(p2, 1e-8)))), 6) AS entropy, round(avg(p0), 6) AS first, round(avg(p1), 6) AS second, round(avg(p2), 6) AS third FROM s")
+def routing_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _shares(_table(spark, sf_dir, "documents").select("doc_id"))
+    return rows.agg(_r(F.avg(metrics.entropy(F.col("shares")))).alias("entropy"), *(_r(F.avg(F.col("shares")[i])).alias(n) for i, n in enumerate(("first", "second", "third"))))
+
+
+@query(
+    "fusion_weights",
+    _SHARES + """, c AS (SELECT s.*, r.candidate, """ + _number("s.doc_id || '|prior|' || r.candidate") + """ AS prior, v.embedding[1]::double AS gate FROM s, range(3) r(candidate) JOIN embeddings v ON v.vec_id = (s.doc_id + r.candidate) % 500),
+    l AS (SELECT doc_id, candidate, ln(greatest(prior, 1.1920928955078125e-07)) + 2 * (CASE candidate WHEN 0 THEN .8 * p0 + .1 * p1 + .1 * p2 WHEN 1 THEN .1 * p0 + .8 * p1 + .1 * p2 ELSE .1 * p0 + .1 * p1 + .8 * p2 END) + gate AS logit FROM c),
+    z AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY doc_id)) AS e FROM l) SELECT doc_id, candidate::int AS candidate, round(e / sum(e) OVER (PARTITION BY doc_id), 6) AS weight FROM z""",
+)
+def fusion_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gates = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("gate"))
+    rows = _shares(_candidates(spark, sf_dir, 3)).withColumn("prior", T.hash_number(F.col("doc_id"), "prior", F.col("candidate")))
+    rows = rows.withColumn("evidence", F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.when(i == F.col("candidate"), 0.8).otherwise(0.1)))
+    rows = rows.join(gates, F.pmod(F.col("doc_id") + F.col("candidate"), F.lit(500)) == F.col("vec_id"))
+    out = fuse.fusion_weights(rows, ["doc_id"], "prior", "evidence", "shares", F.col("gate"), beta=2.0)
+    return out.select("doc_id", "candidate", _r("weight").alias("weight"))
+
+
+# --- subword vocabularies -------------------------------------------------------
+#: Pieces and scores of the small vocabulary that the segmentation query uses; single letters are added at -4.
+TOY = [("th", -1.5), ("er", -1.75), ("in", -2.0), ("on", -2.0), ("an", -2.25), ("re", -2.5), ("the", -1.25), ("ion", -2.25), ("ti", -2.75), ("at", -2.5), ("st", -3.0), ("ed", -3.0)]
+
+
+def toy_lattice() -> subword.Lattice:
+    return subword.Lattice([*((s, 0.0) for s in subword.SPECIALS), *TOY, *((c, -4.0) for c in "abcdefghijklmnopqrstuvwxyz")])
+
+
+@query("lattice_kbest")
+def lattice_kbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    distinct = _words(spark, sf_dir).select(F.explode("words").alias("word")).distinct()
+    out = subword.word_segmentations(distinct, toy_lattice(), 3)
+    return out.select("word", "candidate", "score", F.array_join("pieces", " ").alias("pieces"))
+
+
+def _fitted(spark: SparkSession, sf_dir: str, vocabulary: int) -> tuple[DataFrame, subword.Merges]:
+    """The prepared corpus, and merges fitted on the counts of its words that occur twice at least."""
+    rows = _prepared(spark, sf_dir)
+    counts = subword.word_counts(rows).where("n >= 2").orderBy(F.desc("n"), "word").limit(50_000)
+    return rows, subword.fit_merges([(r.word, r.n) for r in counts.collect()], vocabulary)
+
+
+@query("bpe_vocab")
+def bpe_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, merges = _fitted(spark, sf_dir, 1000)
+    return spark.createDataFrame([(i, p, len(p)) for i, p in enumerate(merges.pieces)], "token_id int, piece string, size int")
+
+
+@query("bpe_token_balance")
+def bpe_token_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, merges = _fitted(spark, sf_dir, 1000)
+    return token_balance(subword.merge_token_counts(rows, merges, ["language"]))
+
+
+def token_balance(counts: DataFrame) -> DataFrame:
+    """(language, tokens) with each language's share and how far it is from an equal one; a row for each language comes together."""
+    from pyspark.sql import Window
+
+    whole = Window.partitionBy()
+    share = F.col("tokens") / F.greatest(F.sum("tokens").over(whole), F.lit(1))
+    out = counts.withColumn("token_share", share).withColumn("_off", F.abs(F.col("token_share") - 1 / F.count(F.lit(1)).over(whole)))
+    return out.withColumn("largest_deviation", F.max("_off").over(whole)).drop("_off")
+
+
+@query("token_balance_words", _WORDS + ", n AS (SELECT language, count(*) AS tokens FROM tokens GROUP BY 1), s AS (SELECT language, tokens, tokens::double / sum(tokens) OVER () AS token_share, count(*) OVER () AS k FROM n) SELECT language, tokens::bigint AS tokens, round(token_share, 6) AS token_share, round(max(abs(token_share - 1.0 / k)) OVER (), 6) AS largest_deviation FROM s")
+def token_balance_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _words(spark, sf_dir).groupBy("language").agg(F.sum(F.size("words")).cast("long").alias("tokens"))
+    return _rounded(token_balance(counts), "token_share", "largest_deviation")
+
+
+def _lattice(spark: SparkSession, sf_dir: str, vocabulary: int = 600) -> tuple[DataFrame, subword.Lattice]:
+    rows = _prepared(spark, sf_dir)
+    frequent = subword.word_counts(rows).where("n >= 3")
+    return rows, subword.fit_lattice(frequent, vocabulary, longest=8, rounds=1, seeds=3 * vocabulary)
+
+
+@query("unigram_candidates")
+def unigram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, lattice = _lattice(spark, sf_dir)
+    policy = subword.Policy()
+    paths = subword.candidate_paths(rows, lattice, policy)
+    profile = rows.select("doc_id", *(e.alias(k) for k, e in fuse.script_profile(F.col("text")).items()))
+    told = paths.join(profile, "doc_id")
+    pieces = F.greatest(F.size("input_ids") - 2, F.lit(1))
+    spanned = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0), lambda s, x: s + x)
+    evidence = fuse.language_evidence(F.col("latin"), F.col("devanagari"), F.col("marks"), spanned / pieces, F.size("input_ids") - 2)
+    out = subword.weigh_candidates(told, evidence, None, policy)
+    return out.select("doc_id", "candidate", _r("token_score").alias("token_score"), _r("prior_probability").alias("prior_probability"), F.size("input_ids").alias("n_ids"))
+
+
+@query("tokenizer_diagnostics")
+def tokenizer_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, merges = _fitted(spark, sf_dir, 1000)
+    held = rows.where("split = 'validation'")
+    sizes = held.agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("text")).cast("long").alias("characters"))
+    tokens = subword.merge_token_counts(held.withColumn("arm", F.lit("merges")), merges, ["arm"])
+    words = held.select(F.lit("words").alias("arm"), F.size(T.words(F.col("text"))).alias("n")).groupBy("arm").agg(F.sum("n").cast("long").alias("tokens"))
+    both = tokens.union(words).join(F.broadcast(sizes))  # one row
+    return both.withColumn("tokens_per_document", _r(F.col("tokens") / F.col("documents"))).withColumn("characters_per_token", _r(F.col("characters") / F.greatest("tokens", F.lit(1))))
+
+
+@query("language_prior")
+def language_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _prepared(spark, sf_dir)
+    place = corpus.prepared_stream(rows, HOW, "doc_id", split="train").drop("language")
+    prior = langid.fit_language_prior(rows.join(place, "doc_id"), LANGUAGES, per_language=60, buckets=1 << 16)
+    told = langid.predict_language(rows.select("doc_id", "language", "text"), prior)
+    best = F.element_at(F.array(*map(F.lit, LANGUAGES)), metrics.argmax(F.col("shares")) + 1)
+    return told.select("doc_id", "language", best.alias("predicted"), _r(F.array_max("shares"), 4).alias("share"))
+
+
+# --- statistics -----------------------------------------------------------------
+_ACCURACY = "acc AS (SELECT doc_id % 5 + 1 AS seed, avg((quality = toxic)::int) AS baseline, avg((quality = 1)::int) AS proposed FROM labels GROUP BY 1)"
+#: The quantile of t with 4 degrees of freedom that leaves 2.5 % above.
+_T4 = "2.7764451051977987"
+
+
+def _arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _labels(spark, sf_dir).groupBy((F.col("doc_id") % 5 + 1).alias("seed")).agg(F.avg((F.col("label") == F.col("prediction")).cast("int")).alias("baseline"), F.avg((F.col("label") == 1).cast("int")).alias("proposed"))
+    return rows.select(F.lit("quality").alias("task"), "seed", F.explode(F.map_from_arrays(F.array(F.lit("baseline"), F.lit("proposed")), F.array("baseline", "proposed"))).alias("arm", "score"))
+
+
+@query("seed_summary", f"WITH {_ACCURACY}, a AS (SELECT 'baseline' AS arm, baseline AS score FROM acc UNION ALL SELECT 'proposed', proposed FROM acc) SELECT arm, count(*)::bigint AS n, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS sd, round(avg(score) - {_T4} * stddev_samp(score) / sqrt(5), 6) AS lower, round(avg(score) + {_T4} * stddev_samp(score) / sqrt(5), 6) AS upper FROM a GROUP BY 1")
+def seed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(stats.seed_summary(_arms(spark, sf_dir), ["arm"]), "mean", "sd", "lower", "upper")
+
+
+@query(
+    "paired_seed_test",
+    f"WITH {_ACCURACY}, d AS (SELECT proposed - baseline AS d FROM acc), t AS (SELECT count(*) AS n, avg(d) AS m, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM d) SELECT 'quality' AS task, n::bigint AS n, round(m, 6) AS mean_difference, round(t, 4) AS t, round(2 * (1 - (0.5 + 0.375 * abs(t) / sqrt(1 + t * t / 4) * (1 - t * t / (12 * (1 + t * t / 4))))), 6) AS p FROM t",
+)
+def paired_seed_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = stats.paired(_arms(spark, sf_dir), ["task"], "seed", "arm", "score", "baseline", "proposed")
+    out = stats.paired_seed_test(pairs, ["task"])
+    return out.select("task", "n", _r("mean_difference").alias("mean_difference"), _r("t", 4).alias("t"), _r("p").alias("p"))
+
+
+@query("paired_bootstrap")
+def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _labels(spark, sf_dir).select((F.col("doc_id") % 5 + 1).alias("task"), "doc_id", "label", F.col("prediction").alias("baseline"), F.lit(1).alias("proposed"))
+    return _rounded(stats.paired_bootstrap(rows, ["task"], "doc_id", samples=2000, seed=1), "observed", "mean", "lower", "upper", "p")
+
+
+@query("statistics_report")
+def statistics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = stats.statistics_report(_arms(spark, sf_dir), ["task"], "seed", "arm", "score", "baseline", "proposed")
+    return stats.report_lines(report, ["task"]).select("task", "line")
+
+
+# --- training control -----------------------------------------------------------
+def _rates(total: int, warmup: int) -> str:
+    return f"SELECT i::bigint AS step, round(CASE WHEN i < {warmup} THEN (i + 1)::double / {max(1, warmup)} ELSE greatest(0.0, ({total} - i)::double / {max(1, total - warmup)}) END, 6) AS factor FROM range({total + 1}) r(i)"
+
+
+@query("lr_schedule_pretrain", _rates(1000, control.pretrain_warmup(1000, 0.06)))
+def lr_schedule_pretrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(control.learning_rates(spark, 1000, control.pretrain_warmup(1000, 0.06)), "factor")
+
+
+@query("lr_schedule_finetune", _rates(375, control.finetune_warmup(375, 0.1)))
+def lr_schedule_finetune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(control.learning_rates(spark, 375, control.finetune_warmup(375, 0.1)), "factor")
+
+
+_LOSSES = "e AS (SELECT l_orderkey % 7 AS run, l_linenumber AS step, round(" + _number("(l_orderkey % 7) || '|' || l_linenumber") + ", 3) AS loss FROM lineitem GROUP BY 1, 2)"
+
+
+def _losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 7).alias("run"), F.col("l_linenumber").alias("step")).distinct()
+    return rows.withColumn("loss", F.round(T.hash_number(F.col("run"), F.col("step")), 3))
+
+
+@query(
+    "early_stopping",
+    f"""WITH {_LOSSES}, b AS (SELECT *, min(loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM e), i AS (SELECT *, best IS NULL OR loss < best AS improved FROM b),
+    g AS (SELECT *, sum(improved::int) OVER (PARTITION BY run ORDER BY step) AS island FROM i), w AS (SELECT *, row_number() OVER (PARTITION BY run, island ORDER BY step) - 1 AS waited FROM g),
+    s AS (SELECT *, coalesce(sum((waited >= 2)::int) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stops FROM w)
+    SELECT run::bigint AS run, step, loss, improved, waited::bigint AS waited, least(loss, best) AS best_loss, waited >= 2 AS stop FROM s WHERE stops = 0""",
+)
+def early_stopping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return control.early_stopping(_losses(spark, sf_dir), 2, ["run"])
+
+
+@query("best_epoch", f"WITH {_LOSSES}, r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY round(loss, 1) DESC, step) AS rn FROM e) SELECT run::bigint AS run, step, round(loss, 1) AS metric FROM r WHERE rn = 1")
+def best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _losses(spark, sf_dir).select("run", "step", F.round("loss", 1).alias("metric"))
+    return control.best_epoch(rows, ["run"], "metric", "step")
+
+
+CHECKPOINTS = [("a", "best", True), ("a", "step-000100", True), ("a", "step-000200", True), ("b", "step-000050", True), ("b", "step-000300", False), ("b", "step-000200", True), ("b", "step-000100", True), ("c", "best", False), ("c", "last", True)]
+_CHECKPOINTS = "c(run, name, complete) AS (VALUES " + ", ".join(f"('{a}', '{b}', {str(x).lower()})" for a, b, x in CHECKPOINTS) + ")"
+
+
+def _checkpoints(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(CHECKPOINTS, "run string, name string, complete boolean")
+
+
+@query("checkpoint_resolution", f"WITH {_CHECKPOINTS}, r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY CASE name WHEN 'best' THEN 1 WHEN 'last' THEN 2 ELSE 3 END, name DESC) AS rn FROM c WHERE complete) SELECT run, name, complete FROM r WHERE rn = 1")
+def checkpoint_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return control.resolve_checkpoint(_checkpoints(spark), ["run"], ["best", "last"])
+
+
+@query("checkpoint_retention", f"WITH {_CHECKPOINTS} SELECT run, name, row_number() OVER (PARTITION BY run ORDER BY name DESC) <= 2 AS kept FROM c WHERE name LIKE 'step-%'")
+def checkpoint_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return control.retained(_checkpoints(spark).where("name like 'step-%'"), 2, ["run"]).select("run", "name", "kept")
+
+
+STAGES = [("download", "completed", "s1"), ("prepare", "completed", "s2"), ("fit", "failed", "s3")]
+WANTED = [("download", "s1", True), ("prepare", "changed", True), ("fit", "s3", True), ("train", "s4", True), ("download", "s1", None)]
+
+
+@query(
+    "stage_reuse",
+    "WITH s(stage, status, signature) AS (VALUES ('download', 'completed', 's1'), ('prepare', 'completed', 's2'), ('fit', 'failed', 's3')), w(stage, signature, valid) AS (VALUES ('download', 's1', true), ('prepare', 'changed', true), ('fit', 's3', true), ('train', 's4', true), ('download', 's1', NULL)) SELECT w.stage, w.signature, w.valid, coalesce(s.status = 'completed' AND s.signature = w.signature AND w.valid, false) AS reuse FROM w LEFT JOIN s USING (stage)",
+)
+def stage_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return control.reusable(spark.createDataFrame(STAGES, "stage string, status string, signature string"), spark.createDataFrame(WANTED, "stage string, signature string, valid boolean"))
+
+
+@query("missing_artifacts", "SELECT name FROM (VALUES ('plan'), ('vocabulary'), ('checkpoint'), ('report')) w(name) WHERE name NOT IN ('plan', 'report')")
+def missing_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = lambda *names: spark.createDataFrame([(n,) for n in names], "name string")
+    return control.missing(named("plan", "vocabulary", "checkpoint", "report"), named("plan", "report"), ["name"])
+
+
+@query("config_identity", "SELECT sha256('{\"languages\":[\"en\",\"es\"],\"seed\":42}') AS identity, substr(sha256('{\"languages\": [\"en\", \"es\"], \"seed\": 42}'), 1, 16) AS comparison")
+def config_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .provenance import comparison_id
+    from .provenance import config_identity as identity
+
+    config = {"seed": 42, "languages": ["en", "es"]}
+    return spark.createDataFrame([(identity(config), comparison_id(config))], "identity string, comparison string")
+
+
+@query("capped_stream_ingest")
+def capped_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream over files in order keeps what the batch cap keeps."""
+    import uuid
+
+    from ..storage import shared_folder
+    from ..streaming.ingest import ingest
+
+    base = f"{shared_folder(spark)}/weftline/stream-{uuid.uuid4().hex}"
+    rows = _records(spark, sf_dir)
+    cuts = rows.approxQuantile("doc_id", [0.25, 0.5, 0.75], 0.01)
+    for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        part = rows if low is None else rows.where(F.col("doc_id") > low)
+        part = part if high is None else part.where(F.col("doc_id") <= high)
+        part.coalesce(1).write.mode("append").parquet(f"{base}/source")
+    ingest(spark, f"{base}/source", rows.schema, f"{base}/kept", f"{base}/checkpoint", 200_000, "doc_id")
+    return spark.read.parquet(f"{base}/kept").select("doc_id", "language", "bytes", "running")
