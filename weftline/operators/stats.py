@@ -6,8 +6,10 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.student import t_quantile, t_two_sided
 
@@ -47,9 +49,9 @@ def paired_seed_test(pairs: DataFrame, by: list[str]) -> DataFrame:
     still = F.when(F.col("mean_difference") == 0, nan).otherwise(F.signum("mean_difference") * F.lit(float("inf")))
     out = out.withColumn("t", F.when(F.col("n") < 2, nan).when(F.col("_sd") == 0, still).otherwise(F.col("mean_difference") / (F.col("_sd") / F.sqrt("n"))))
 
-    @F.pandas_udf("double")
-    def p_value(t: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([math.nan if k < 2 else t_two_sided(x, k - 1) for x, k in zip(t, n, strict=True)], dtype="float64")
+    @F.arrow_udf(DoubleType())
+    def p_value(t: pa.Array, n: pa.Array) -> pa.Array:
+        return pa.array([math.nan if k < 2 else t_two_sided(x, k - 1) for x, k in zip(t.to_pylist(), n.to_pylist(), strict=True)], pa.float64())
 
     return out.withColumn("p", p_value("t", "n")).drop("_sd")
 

@@ -477,11 +477,21 @@ def lattice_kbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("word", "candidate", "score", F.array_join("pieces", " ").alias("pieces"))
 
 
-def _fitted(spark: SparkSession, sf_dir: str, vocabulary: int) -> tuple[DataFrame, subword.Merges]:
-    """The prepared corpus, and merges fitted on the counts of its words that occur twice at least."""
+#: Bytes of each language's training records that vocabularies are fitted on.
+FIT_BYTES = 1_000_000_000
+
+
+def _training_counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The prepared corpus, and the counts of the words in its training budget."""
     rows = _prepared(spark, sf_dir)
-    counts = subword.word_counts(rows).where("n >= 2").orderBy(F.desc("n"), "word").limit(50_000)
-    return rows, subword.fit_merges([(r.word, r.n) for r in counts.collect()], vocabulary)
+    budget = corpus.training_budget(rows, HOW, FIT_BYTES, "doc_id").select("doc_id")
+    return rows, subword.word_counts(rows.join(budget, "doc_id", "left_semi"))
+
+
+def _fitted(spark: SparkSession, sf_dir: str, vocabulary: int) -> tuple[DataFrame, subword.Merges]:
+    """The prepared corpus, and merges fitted on the words that occur twice at least in the training budget."""
+    rows, counts = _training_counts(spark, sf_dir)
+    return rows, subword.fit_merges([(r.word, r.n) for r in counts.where("n >= 2").collect()], vocabulary)
 
 
 @query("bpe_vocab")
@@ -513,9 +523,8 @@ def token_balance_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lattice(spark: SparkSession, sf_dir: str, vocabulary: int = 600) -> tuple[DataFrame, subword.Lattice]:
-    rows = _prepared(spark, sf_dir)
-    frequent = subword.word_counts(rows).where("n >= 3")
-    return rows, subword.fit_lattice(frequent, vocabulary, longest=8, rounds=1, seeds=3 * vocabulary)
+    rows, counts = _training_counts(spark, sf_dir)
+    return rows, subword.fit_lattice(counts.where("n >= 3"), vocabulary, longest=8, rounds=1, seeds=3 * vocabulary)
 
 
 @query("unigram_candidates")
