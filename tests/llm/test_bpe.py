@@ -79,6 +79,13 @@ def test_round_trip_and_hard_rows(spark):
     assert sorted((str(r.doc_id), r.ids, r.text) for r in got) == sorted((str(i), ids_of(t), t or "") for i, t, _ in rows)
 
 
+def test_frequent_words(spark):
+    text = " a" * 1000 + " b" * 500 + " c" * 90 + " d" * 4 + " e" * 3
+    docs = spark.createDataFrame([(text,), (text,), (None,)], "text string")
+    assert B.frequent_words(docs, 10) == [" a", " b", " c", " d", " e"]
+    assert B.frequent_words(docs, 2) == [" a", " b"] and B.frequent_words(docs, 0) == []
+
+
 def test_empty_table(spark):
     assert B.decode(B.encode(spark.createDataFrame([], KIND))).collect() == []
 

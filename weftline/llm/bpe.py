@@ -18,7 +18,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_dir
+from .shared import settle, shared_dir
 
 #: How the byte-level tokenizer parts a text into words (a fixed value of its format).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -29,6 +29,8 @@ _SAFE_WORDS = r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\
 _UNSAFE = r"[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027]"
 #: Words in the lexicon. Others are merged, so that this bounds memory and changes no result.
 LEXICON_WORDS = 1 << 16
+#: Occurrences of the rarest word in it.
+LEAST_COUNT = 4
 #: Bytes of the longest word in the lexicon, or merged together with others.
 SHORT_WORD = 32
 #: Distinct words that a task remembers before it begins anew.
@@ -414,8 +416,23 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS, text_col: str = "text") -> list[str]:
-    """The `words` most frequent words of all texts, equal counts by word."""
-    return [r.word for r in word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(words).select("word").collect()]
+    """The most frequent words of all texts, `words` of them at most, and none that comes fewer than LEAST_COUNT times.
+
+    Counts fall into classes, eight for each doubling. The classes with most
+    are taken as long as their words are few enough; so only as many words as
+    that leave the executors, and no task sorts or sends more.
+    """
+    grade = F.floor(F.log2("n") * 8).cast("int")
+    counted = settle(word_counts(docs, text_col).where(F.col("n") >= LEAST_COUNT).withColumn("grade", grade))
+    taken, lowest = 0, None
+    for r in counted.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("grade")).collect():  # a few hundred classes at most
+        taken += r.n
+        if taken > words:
+            break
+        lowest = r.grade
+    if lowest is None:
+        return []
+    return sorted(r.word for r in counted.where(F.col("grade") >= lowest).select("word").collect())
 
 
 def share_lexicon(spark: SparkSession, lexicon: Lexicon) -> str:
