@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
@@ -22,8 +24,16 @@ def nfkc(texts: pa.Array) -> pa.Array:
     return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
+@F.arrow_udf(StringType())
+def nfkc_collapsed(texts: pa.Array) -> pa.Array:
+    """NFKC with runs of white space as one blank and none at the ends: what a split at white space leaves, joined."""
+    return pa.array([t if t is None else " ".join((t if t.isascii() else unicodedata.normalize("NFKC", t)).split()) for t in texts.to_pylist()], pa.string())
+
+
 def normalize(text: Column, unicode_form: bool = True, collapse: bool = True, strip: bool = True) -> Column:
     """NFKC, then runs of white space to one blank, then no white space at the ends, each if asked for."""
+    if unicode_form and collapse and strip:
+        return nfkc_collapsed(text)  # the batch is in Python for NFKC anyway
     out = nfkc(text) if unicode_form else text
     if collapse:
         out = F.regexp_replace(out, WHITE, " ")
@@ -100,6 +110,27 @@ def char_ngrams(text: Column, shortest: int, longest: int) -> Column:
     return grams(text)
 
 
+def ngram_counts(rows: DataFrame, by: str, text: str, shortest: int, longest: int) -> DataFrame:
+    """(by, gram, n) of the runs of characters in all texts; a task adds up a batch of texts before it sends any."""
+    kind = rows.schema[by].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                seen: dict = {}
+                for key, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    counts = seen.setdefault(key, Counter())
+                    for n in range(shortest, longest + 1):
+                        counts.update([t[i : i + n] for i in range(len(t or "") - n + 1)])
+                told = [(k, g, n) for k, c in seen.items() for g, n in c.items()]
+                if told:
+                    keys, grams, ns = zip(*told, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, part.column(0).type), pa.array(grams, pa.string()), pa.array(ns, pa.int64())], [by, "gram", "n"])
+
+    return rows.select(by, text).mapInArrow(run, f"{by} {kind}, gram string, n long").groupBy(by, "gram").agg(F.sum("n").alias("n"))
+
+
 def repository_task(name: Column) -> Column:
     """ner, pos or sentiment by the name's parts; an error for others."""
     upper = F.upper(name)

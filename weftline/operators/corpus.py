@@ -60,6 +60,7 @@ def training_budget(prepared: DataFrame, how: Preparation, limit: int, order: st
     """The training records that a tokenizer is fitted on, in the order in which languages take turns, each up to the bytes."""
     narrow = prepared.where(F.col("split") == "train").select(order, language, F.octet_length(text).cast("long").alias("bytes"))
     kept = keep_prefix(ranked(narrow, language, order, "bytes"), limit)
+    # kept rows are counted on the ranges that are written
     keys = list(how.languages)
     return kept.withColumn("position", interleaved_position(F.col("nth"), F.col(language), keys, group_sizes(kept, language, keys)))
 
@@ -79,6 +80,7 @@ def prepared_stream(prepared: DataFrame, how: Preparation, order: str, split: st
     rows = rows.select(order, language)
     if balanced:
         return interleave(rows, language, order, keys)
-    sizes = group_sizes(rows, language, keys)
+    nth = ranked(rows, language, order)
+    sizes = group_sizes(nth, language, keys)
     start = F.create_map(*[F.lit(x) for i, k in enumerate(keys) for x in (k, sum(sizes[:i]))])
-    return ranked(rows, language, order).withColumn("position", (start[F.col(language)] + F.col("nth") - 1).cast("long"))
+    return nth.withColumn("position", (start[F.col(language)] + F.col("nth") - 1).cast("long"))

@@ -14,10 +14,11 @@ def ranked(rows: DataFrame, key: str, order: str, value: str | None = None) -> D
     A window over the key alone would take a language's whole corpus through
     one task. Rows are ranged by key and order instead; each range ranks its
     own, and takes over what earlier ranges add up to, a row for each range and
-    key. Keep `rows` narrow: it is written once, so that ranges stay the same.
+    key. Keep `rows` narrow: they are written before they are ranged, so that
+    nothing is worked out twice, and after, so that ranges stay the same.
     """
     weight = F.col(value) if value else F.lit(0).cast("long")
-    ranged = materialize(rows.withColumn("_weight", weight).repartitionByRange(F.col(key), F.col(order)).withColumn("_range", F.spark_partition_id()))
+    ranged = materialize(materialize(rows.withColumn("_weight", weight)).repartitionByRange(F.col(key), F.col(order)).withColumn("_range", F.spark_partition_id()))
     earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         ranged.groupBy(key, "_range")
@@ -31,6 +32,12 @@ def ranked(rows: DataFrame, key: str, order: str, value: str | None = None) -> D
     return out.select(*rows.columns, "nth", *(["running"] if value else []))
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """`rows` over as many tasks as there are cores, where their files give fewer; otherwise as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
 def keep_prefix(rows: DataFrame, limit: int, running: str = "running") -> DataFrame:
     """Rows up to the first whose running sum passes the limit; a limit of 0 keeps all. Sums of sizes never fall, so nothing after comes back."""
     return rows if limit == 0 else rows.where(F.col(running) <= limit)
@@ -60,7 +67,7 @@ def interleaved_position(nth: Column, key: Column, keys: list[str], sizes: list[
 def interleave(rows: DataFrame, key: str, order: str, keys: list[str]) -> DataFrame:
     """`rows` of the given keys with `nth` and their `position` in the interleaved stream."""
     chosen = ranked(rows.where(F.col(key).isin(keys)), key, order)
-    return chosen.withColumn("position", interleaved_position(F.col("nth"), F.col(key), keys, group_sizes(rows, key, keys)))
+    return chosen.withColumn("position", interleaved_position(F.col("nth"), F.col(key), keys, group_sizes(chosen, key, keys)))
 
 
 def batches(rows: DataFrame, size: int, position: str = "position") -> DataFrame:

@@ -53,7 +53,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language"), "text")
+    return order.spread(_table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language"), "text"), "doc_id")
 
 
 def _prepared(spark: SparkSession, sf_dir: str, how: corpus.Preparation = HOW) -> DataFrame:
@@ -378,7 +378,7 @@ def padding_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("char_ngrams", f"WITH {_PREPARED}, g AS (SELECT language, unnest(range(1, length(text) + 1)) AS i, text FROM prepared), n AS (SELECT language, text[i:i + 1] AS gram FROM g WHERE i + 1 <= length(text) UNION ALL SELECT language, text[i:i + 2] FROM g WHERE i + 2 <= length(text)) SELECT language, gram, count(*)::bigint AS n FROM n GROUP BY 1, 2")
 def char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prepared(spark, sf_dir).select("language", F.explode(T.char_ngrams(F.col("text"), 2, 3)).alias("gram")).groupBy("language", "gram").agg(F.count(F.lit(1)).alias("n"))
+    return T.ngram_counts(_prepared(spark, sf_dir), "language", "text", 2, 3)
 
 
 # --- scripts, scores, fusion ----------------------------------------------------
