@@ -224,7 +224,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows, _ = plan(counts, capacity)
     held = cut.sparkSession.sparkContext.broadcast(rows)  # bounded by capacity
     before = Window.partitionBy("length").orderBy("task_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = table.select(F.col("task_id").alias("t"), F.col("length").alias("l"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    starts = table.select(F.col("task_id").alias("t"), F.col("length").alias("l"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead")).hint("merge")  # grows with tasks
     inside = Window.partitionBy("task_id", "length").orderBy(*[F.col(c) for c in cut.columns if c != "length"])
     ranked = (
         marked.withColumn("nth", F.row_number().over(inside) - 1)
