@@ -80,3 +80,9 @@ def reusable(stages: DataFrame, wanted: DataFrame, key: str = "stage") -> DataFr
 def missing(wanted: DataFrame, present: DataFrame, on: list[str]) -> DataFrame:
     """What is wanted and isn't there."""
     return wanted.join(present, on, "left_anti")
+
+
+def run_matrix(repositories: DataFrame, seeds: list[int], arms: list[str], done: DataFrame) -> DataFrame:
+    """(repository, seed, arm) of the runs that are still to do: lists of settings are multiplied out, finished runs left out."""
+    wanted = repositories.select("repository", F.explode(F.array(*map(F.lit, seeds))).alias("seed")).select("*", F.explode(F.array(*map(F.lit, arms))).alias("arm"))
+    return missing(wanted, done, ["repository", "seed", "arm"])

@@ -39,3 +39,8 @@ def pad(rows: DataFrame, batch: str, ids: str, pad_id: int = 1) -> DataFrame:
     longest = F.max(F.size(ids)).over(Window.partitionBy(batch))
     gap = longest - F.size(ids)
     return rows.withColumn("attention_mask", F.concat(F.array_repeat(F.lit(1), F.size(ids)), F.array_repeat(F.lit(0), gap))).withColumn("input_ids", F.concat(F.col(ids), F.array_repeat(F.lit(pad_id), gap)))
+
+
+def wrap(ids: Column, longest: int, begin: int = 0, end: int = 2) -> Column:
+    """The first ids with the begin and end marks around them, `longest` in all at most."""
+    return F.concat(F.array(F.lit(begin)), F.slice(ids, 1, longest - 2), F.array(F.lit(end)))

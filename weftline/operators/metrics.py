@@ -83,3 +83,16 @@ def mean_vector(rows: DataFrame, vector: str, by: list[str], mask: str | None =
 def argmax(values: Column) -> Column:
     """Place from 0 of the first largest number of an array."""
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+
+
+def cross_entropy(logits: Column, label: Column) -> Column:
+    """-log softmax of the label's logit, null where the label is ignored; the largest logit is taken off first."""
+    top = F.array_max(logits)
+    total = F.aggregate(F.transform(logits, lambda x: F.exp((x - top).cast("double"))), F.lit(0.0), lambda s, x: s + x)
+    own = F.element_at(logits, label.cast("int") + 1)
+    return F.when(label != IGNORED, F.ln(total) + (top - own).cast("double"))
+
+
+def shared_metrics(first: DataFrame, second: DataFrame, name: str = "metric", left_out: tuple[str, ...] = ("labeled_tokens",)) -> DataFrame:
+    """Names of the metrics that both have, without counts."""
+    return first.select(name).intersect(second.select(name)).where(~F.col(name).isin(*left_out))

@@ -91,3 +91,11 @@ def resume(rows: DataFrame, consumed: int, batch: str = "batch") -> DataFrame:
 def shards(rows: DataFrame, size: int, nth: str = "nth") -> DataFrame:
     """`rows` with `shard` and `row_in_shard` by their rank."""
     return rows.withColumn("shard", F.floor((F.col(nth) - 1) / size).cast("long")).withColumn("row_in_shard", ((F.col(nth) - 1) % size).cast("long"))
+
+
+def shuffled(rows: DataFrame, seed: int, epoch: int, order: str) -> DataFrame:
+    """`rows` with their `position` in a permutation that seed and epoch fix."""
+    from ..functions.text import hash_number
+
+    drawn = rows.withColumn("_all", F.lit(0)).withColumn("_draw", F.struct(hash_number(str(seed), str(epoch), F.col(order)), F.col(order)))
+    return ranked(drawn, "_all", "_draw").withColumn("position", F.col("nth") - 1).drop("_all", "_draw", "nth")

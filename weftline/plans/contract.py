@@ -702,3 +702,90 @@ def capped_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         part.coalesce(1).write.mode("append").parquet(f"{base}/source")
     ingest(spark, f"{base}/source", rows.schema, f"{base}/kept", f"{base}/checkpoint", 200_000, "doc_id")
     return spark.read.parquet(f"{base}/kept").select("doc_id", "language", "bytes", "running")
+
+
+# --- more of the same operators -------------------------------------------------
+@query("embedding_lookup", _WORDS + " SELECT t.doc_id, count(*)::bigint AS tokens, round(sum(v.embedding[1]::double), 4) AS total FROM tokens t JOIN embeddings v ON v.vec_id = length(t.word) GROUP BY 1")
+def embedding_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each token's vector by its id: what is needed of a token is counted before the join."""
+    ids = _words(spark, sf_dir).select("doc_id", F.explode("words").alias("word")).groupBy("doc_id", F.length("word").alias("vec_id")).agg(F.count(F.lit(1)).alias("n"))
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"))
+    out = ids.join(vectors, ids["vec_id"] == vectors["vec_id"]).groupBy("doc_id").agg(F.sum("n").cast("long").alias("tokens"), F.sum(F.col("n") * F.col("x")).alias("total"))
+    return out.select("doc_id", "tokens", _r("total", 4).alias("total"))
+
+
+@query("seeded_shuffle", f"WITH {_PREPARED} SELECT doc_id, (row_number() OVER (ORDER BY {_number(chr(39) + '42|1|' + chr(39) + ' || doc_id')}, doc_id) - 1)::bigint AS position FROM prepared")
+def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.shuffled(_prepared(spark, sf_dir).select("doc_id"), 42, 1, "doc_id")
+
+
+@query("split_limit", f"WITH {_PREPARED}, r AS (SELECT doc_id, split, row_number() OVER (PARTITION BY split ORDER BY doc_id) AS rn FROM prepared) SELECT doc_id, split FROM r WHERE rn <= 20")
+def split_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.downstream import limited
+
+    return limited(_prepared(spark, sf_dir).select("doc_id", "split"), 20, "doc_id")
+
+
+@query("source_spans", f"WITH {_PREPARED} SELECT doc_id, length(text)::bigint AS characters, (length(text) * (length(text) - 1) // 2)::bigint AS starts, (length(text) * (length(text) + 1) // 2)::bigint AS ends FROM prepared")
+def source_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _prepared(spark, sf_dir).select("doc_id", T.nfkc_spans(F.col("text")).alias("spans"))
+    total = lambda part: F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x[part])
+    return rows.select("doc_id", F.size("spans").cast("long").alias("characters"), total("start").alias("starts"), total("end").alias("ends"))
+
+
+@query(
+    "cross_entropy",
+    "WITH x AS (SELECT vec_id, label, unnest(embedding)::double AS v, unnest(range(64)) AS i FROM embeddings), s AS (SELECT vec_id, ln(sum(exp(v))) - max(CASE WHEN i = label THEN v END) AS loss FROM x WHERE label < 64 GROUP BY 1) SELECT vec_id, round(loss, 4) AS loss FROM s",
+)
+def cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").where("label < 64")
+    return rows.select("vec_id", _r(metrics.cross_entropy(F.col("embedding").cast("array<double>"), F.col("label")), 4).alias("loss"))
+
+
+@query("predicted_class", "SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::int AS class FROM embeddings")
+def predicted_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select("vec_id", metrics.argmax(F.col("embedding")).alias("class"))
+
+
+@query("wrapped_sequences", _WORDS + " SELECT doc_id, (least(count(*), 62) + 2)::bigint AS n_ids, (2 + sum(CASE WHEN pos < 62 THEN length(word) ELSE 0 END))::bigint AS total FROM tokens GROUP BY 1")
+def wrapped_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _words(spark, sf_dir).where(F.size("words") > 0).select("doc_id", mask.wrap(F.transform("words", lambda w: F.length(w)), 64).alias("ids"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+
+
+@query("status_counts", "SELECT o_orderstatus AS status, count(*)::bigint AS n FROM orders GROUP BY 1")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("shared_metrics", "SELECT metric FROM (VALUES ('accuracy'), ('macro_f1'), ('labeled_tokens')) a(metric) WHERE metric IN ('macro_f1', 'labeled_tokens', 'micro_f1', 'accuracy') AND metric <> 'labeled_tokens'")
+def shared_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = lambda *names: spark.createDataFrame([(n,) for n in names], "metric string")
+    return metrics.shared_metrics(named("accuracy", "macro_f1", "labeled_tokens"), named("macro_f1", "labeled_tokens", "micro_f1", "accuracy"))
+
+
+@query("run_matrix", f"SELECT repository, seed::int AS seed, arm FROM {_REPOSITORIES}, range(1, 6) s(seed), (VALUES ('merges'), ('candidates')) a(arm) WHERE NOT (repository LIKE '%NER%' AND seed < 3)")
+def run_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = spark.createDataFrame([(REPOSITORIES[0], s, a) for s in (1, 2) for a in ("merges", "candidates")], "repository string, seed int, arm string")
+    return control.run_matrix(_repositories(spark), [1, 2, 3, 4, 5], ["merges", "candidates"], done)
+
+
+@query("candidate_span_check")
+def candidate_span_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate tokens whose spans no candidate may have, by document: none are expected, every document is told."""
+    rows, lattice = _lattice(spark, sf_dir)
+    paths = subword.candidate_paths(rows, lattice, subword.Policy())
+    tokens = paths.select("doc_id", "candidate", F.posexplode(F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end"))).alias("pos", "span")).select("doc_id", "candidate", "pos", "span.*")
+    bad = align.spans_in_order(tokens, ["doc_id", "candidate"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("bad"))
+    counts = paths.groupBy("doc_id").agg(F.count(F.lit(1)).alias("candidates"))
+    return counts.join(bad, "doc_id", "left").select("doc_id", "candidates", F.coalesce("bad", F.lit(0)).alias("bad"))
+
+
+@query("fused_vectors")
+def fused_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted sums of three candidates' vectors, by document: each weight's softmax, times what it weighs."""
+    weights = fusion_weights(spark, sf_dir)
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("dim", "value"))
+    rows = _candidates(spark, sf_dir, 3).join(vectors, F.pmod(F.col("doc_id") + F.col("candidate"), F.lit(500)) == F.col("vec_id"))
+    rows = rows.select("doc_id", "candidate", F.lit(0).alias("pos"), "dim", F.col("value").cast("double").alias("value"))
+    return fuse.fused_vectors(weights, rows, ["doc_id"]).select("doc_id", "pos", "dim", _r("value", 5).alias("value"))
