@@ -38,6 +38,12 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
 
 
+def for_python(rows: DataFrame, key: str) -> DataFrame:
+    """`rows` dealt by key over all cores: small rows that cost much work each, which Spark would put into few tasks by their bytes."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def keep_prefix(rows: DataFrame, limit: int, running: str = "running") -> DataFrame:
     """Rows up to the first whose running sum passes the limit; a limit of 0 keeps all. Sums of sizes never fall, so nothing after comes back."""
     return rows if limit == 0 else rows.where(F.col(running) <= limit)

@@ -472,7 +472,7 @@ def toy_lattice() -> subword.Lattice:
 
 @query("lattice_kbest")
 def lattice_kbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    distinct = _words(spark, sf_dir).select(F.explode("words").alias("word")).distinct()
+    distinct = order.for_python(_words(spark, sf_dir).select(F.explode("words").alias("word")).distinct(), "word")
     out = subword.word_segmentations(distinct, toy_lattice(), 3)
     return out.select("word", "candidate", "score", F.array_join("pieces", " ").alias("pieces"))
 
