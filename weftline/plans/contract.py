@@ -204,7 +204,7 @@ _WORDS = f"WITH {_PREPARED}, listed AS (SELECT doc_id, language, string_split(te
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prepared(spark, sf_dir).select("doc_id", "language", T.words(F.col("text")).alias("words"))
+    return _prepared(spark, sf_dir).select("doc_id", "language", T.words(F.col("text"), collapsed=True).alias("words"))
 
 
 @query(
@@ -397,7 +397,7 @@ def _evidence_sql(source: str) -> str:
 
 @query("language_evidence", f"WITH {_PREPARED}{_PROFILE}{_evidence_sql('profile')} SELECT doc_id, round(a / (a + b + c), 6) AS english, round(b / (a + b + c), 6) AS spanish, round(c / (a + b + c), 6) AS hindi FROM e")
 def language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _prepared(spark, sf_dir).select("doc_id", "text", F.size(T.words(F.col("text"))).alias("pieces"))
+    rows = _prepared(spark, sf_dir).select("doc_id", "text", F.size(T.words(F.col("text"), collapsed=True)).alias("pieces"))
     p = fuse.script_profile(F.col("text"))
     solid = F.length(F.replace("text", F.lit(" "), F.lit("")))
     e = fuse.language_evidence(p["latin"], p["devanagari"], p["marks"], solid / F.greatest("pieces", F.lit(1)), F.col("pieces"))
@@ -485,7 +485,7 @@ def _training_counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     """The prepared corpus, and the counts of the words in its training budget."""
     rows = _prepared(spark, sf_dir)
     budget = corpus.training_budget(rows, HOW, FIT_BYTES, "doc_id").select("doc_id")
-    return rows, subword.word_counts(rows.join(budget, "doc_id", "left_semi"))
+    return rows, subword.word_counts(rows.join(budget, "doc_id", "left_semi"), collapsed=True)
 
 
 def _fitted(spark: SparkSession, sf_dir: str, vocabulary: int) -> tuple[DataFrame, subword.Merges]:
@@ -503,7 +503,7 @@ def bpe_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("bpe_token_balance")
 def bpe_token_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, merges = _fitted(spark, sf_dir, 1000)
-    return token_balance(subword.merge_token_counts(rows, merges, ["language"]))
+    return token_balance(subword.merge_token_counts(rows, merges, ["language"], collapsed=True))
 
 
 def token_balance(counts: DataFrame) -> DataFrame:
@@ -546,8 +546,8 @@ def tokenizer_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, merges = _fitted(spark, sf_dir, 1000)
     held = rows.where("split = 'validation'")
     sizes = held.agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("text")).cast("long").alias("characters"))
-    tokens = subword.merge_token_counts(held.withColumn("arm", F.lit("merges")), merges, ["arm"])
-    words = held.select(F.lit("words").alias("arm"), F.size(T.words(F.col("text"))).alias("n")).groupBy("arm").agg(F.sum("n").cast("long").alias("tokens"))
+    tokens = subword.merge_token_counts(held.withColumn("arm", F.lit("merges")), merges, ["arm"], collapsed=True)
+    words = held.select(F.lit("words").alias("arm"), F.size(T.words(F.col("text"), collapsed=True)).alias("n")).groupBy("arm").agg(F.sum("n").cast("long").alias("tokens"))
     both = tokens.union(words).join(F.broadcast(sizes))  # one row
     return both.withColumn("tokens_per_document", _r(F.col("tokens") / F.col("documents"))).withColumn("characters_per_token", _r(F.col("characters") / F.greatest("tokens", F.lit(1))))
 
