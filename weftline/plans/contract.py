@@ -781,7 +781,7 @@ def candidate_span_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(bad, "doc_id", "left").select("doc_id", "candidates", F.coalesce("bad", F.lit(0)).alias("bad"))
 
 
-@query("fused_vectors")
+@query("fused_vectors", f"SELECT f.doc_id, 0 AS pos, (i - 1)::int AS dim, round(sum(weight * embedding[i]::double), 5) AS value FROM ({ORACLES['fusion_weights']}) f JOIN embeddings v ON v.vec_id = (f.doc_id + f.candidate) % 500, range(1, 5) r(i) GROUP BY 1, 3")
 def fused_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted sums of three candidates' vectors, by document: each weight's softmax, times what it weighs."""
     weights = fusion_weights(spark, sf_dir)
