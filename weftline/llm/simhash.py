@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -206,11 +206,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, longest: int) -> DataFrame:
     """(fp, doc_id, root, component_id) of each document; root: the least fingerprint of its component."""
     marked = settle(fingerprints(docs, id_col, text_col, shingle))
-    classes = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    stars = components(links(classes.select("fp"), longest))
-    rooted = classes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = settle(rooted)
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    classes = settle(marked.select("fp").distinct())
+    return rooted(marked, components(links(classes, longest)))
+
+
+def rooted(marked: DataFrame, stars: DataFrame) -> DataFrame:
+    """`marked` (doc_id, fp) as (fp, doc_id, root, component_id); stars: (node, root) of the fingerprints that are linked."""
+    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = settle(classes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    named = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
     return marked.join(named, "fp").select("fp", "doc_id", "root", "component_id")
 
 
@@ -220,6 +224,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Where rows share that id, or have none, one of them stays for each component.
     """
     grouped = settle(_grouped(docs, id_col, text_col, shingle, longest))
+    return keep_least(docs, grouped, id_col, text_col, lambda text: _signed(fingerprint(text, shingle)))
+
+
+def keep_least(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str, key: Callable[[str | None], int]) -> DataFrame:
+    """Of each component of `grouped`, as `rooted` has it, the document of the least id; key: the `fp` of a text."""
     by_id = grouped.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component_id"))
     alone = by_id.where("n = 1 and doc_id = component_id").select("doc_id")
     kept = docs.join(alone.withColumnRenamed("doc_id", "_alone"), F.col(id_col) == F.col("_alone"), "left_semi")
@@ -232,7 +241,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([_signed(fingerprint(x.as_py(), shingle)) for x in batch.column(at)], pa.int64())
+            found = pa.array([key(x.as_py()) for x in batch.column(at)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*(f"c{i}" for i in range(len(names))), "fp"])
 
     rows = docs.join(shared.withColumnRenamed("doc_id", "_shared"), F.col(id_col).eqNullSafe(F.col("_shared")), "left_semi").mapInArrow(mark, f"{kind}, fp long")
