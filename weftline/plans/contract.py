@@ -479,6 +479,8 @@ def lattice_kbest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Bytes of each language's training records that vocabularies are fitted on.
 FIT_BYTES = 1_000_000_000
+#: Pieces of the merge vocabulary.
+VOCABULARY = 50_000
 
 
 def _training_counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -488,21 +490,22 @@ def _training_counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     return rows, subword.word_counts(rows.join(budget, "doc_id", "left_semi"), collapsed=True)
 
 
-def _fitted(spark: SparkSession, sf_dir: str, vocabulary: int) -> tuple[DataFrame, subword.Merges]:
-    """The prepared corpus, and merges fitted on the words that occur twice at least in the training budget."""
+def _fitted(spark: SparkSession, sf_dir: str, vocabulary: int = VOCABULARY) -> tuple[DataFrame, subword.Merges]:
+    """The prepared corpus, and merges fitted on all words of the training budget."""
     rows, counts = _training_counts(spark, sf_dir)
-    return rows, subword.fit_merges([(r.word, r.n) for r in counts.where("n >= 2").collect()], vocabulary)
+    found = counts.toArrow()
+    return rows, subword.fit_merges(zip(found["word"].to_pylist(), found["n"].to_pylist(), strict=True), vocabulary)
 
 
 @query("bpe_vocab")
 def bpe_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, merges = _fitted(spark, sf_dir, 1000)
+    _, merges = _fitted(spark, sf_dir)
     return spark.createDataFrame([(i, p, len(p)) for i, p in enumerate(merges.pieces)], "token_id int, piece string, size int")
 
 
 @query("bpe_token_balance")
 def bpe_token_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, merges = _fitted(spark, sf_dir, 1000)
+    rows, merges = _fitted(spark, sf_dir)
     return token_balance(subword.merge_token_counts(rows, merges, ["language"], collapsed=True))
 
 
@@ -543,7 +546,7 @@ def unigram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tokenizer_diagnostics")
 def tokenizer_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, merges = _fitted(spark, sf_dir, 1000)
+    rows, merges = _fitted(spark, sf_dir)
     held = rows.where("split = 'validation'")
     sizes = held.agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("text")).cast("long").alias("characters"))
     tokens = subword.merge_token_counts(held.withColumn("arm", F.lit("merges")), merges, ["arm"], collapsed=True)
