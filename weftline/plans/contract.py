@@ -555,11 +555,16 @@ def tokenizer_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("tokens_per_document", _r(F.col("tokens") / F.col("documents"))).withColumn("characters_per_token", _r(F.col("characters") / F.greatest("tokens", F.lit(1))))
 
 
+def _prior(rows: DataFrame) -> langid.LanguagePrior:
+    """The language prior of the prepared corpus, with the operator's bounds."""
+    place = corpus.prepared_stream(rows, HOW, "doc_id", split="train").drop("language")
+    return langid.fit_language_prior(rows.join(place, "doc_id"), LANGUAGES)
+
+
 @query("language_prior")
 def language_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _prepared(spark, sf_dir)
-    place = corpus.prepared_stream(rows, HOW, "doc_id", split="train").drop("language")
-    prior = langid.fit_language_prior(rows.join(place, "doc_id"), LANGUAGES, per_language=60, buckets=1 << 16)
+    prior = _prior(rows)
     told = langid.predict_language(rows.select("doc_id", "language", "text"), prior)
     best = F.element_at(F.array(*map(F.lit, LANGUAGES)), metrics.argmax(F.col("shares")) + 1)
     return told.select("doc_id", "language", best.alias("predicted"), _r(F.array_max("shares"), 4).alias("share"))
@@ -594,7 +599,7 @@ def paired_seed_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("paired_bootstrap")
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _labels(spark, sf_dir).select((F.col("doc_id") % 5 + 1).alias("task"), "doc_id", "label", F.col("prediction").alias("baseline"), F.lit(1).alias("proposed"))
-    return _rounded(stats.paired_bootstrap(rows, ["task"], "doc_id", samples=2000, seed=1), "observed", "mean", "lower", "upper", "p")
+    return _rounded(stats.paired_bootstrap(rows, ["task"], "doc_id", samples=10_000, seed=1), "observed", "mean", "lower", "upper", "p")
 
 
 @query("statistics_report")
