@@ -525,22 +525,35 @@ def token_balance_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(token_balance(counts), "token_share", "largest_deviation")
 
 
-def _lattice(spark: SparkSession, sf_dir: str, vocabulary: int = 600) -> tuple[DataFrame, subword.Lattice]:
+def _lattice(spark: SparkSession, sf_dir: str, vocabulary: int = VOCABULARY) -> tuple[DataFrame, subword.Lattice]:
+    """The prepared corpus, and a lattice fitted on all words of the training budget."""
     rows, counts = _training_counts(spark, sf_dir)
-    return rows, subword.fit_lattice(counts.where("n >= 3"), vocabulary, longest=8, rounds=1, seeds=3 * vocabulary)
+    return rows, subword.fit_lattice(counts, vocabulary)
 
 
-@query("unigram_candidates")
-def unigram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, lattice = _lattice(spark, sf_dir)
+def _prior(rows: DataFrame) -> langid.LanguagePrior:
+    """The language prior of the prepared corpus, with the operator's bounds."""
+    place = corpus.prepared_stream(rows, HOW, "doc_id", split="train").drop("language")
+    return langid.fit_language_prior(rows.join(place, "doc_id"), LANGUAGES)
+
+
+def _weighed(rows: DataFrame, lattice: subword.Lattice, prior: langid.LanguagePrior) -> DataFrame:
+    """The candidates of each text that are likely enough under its language shares."""
     policy = subword.Policy()
-    paths = subword.candidate_paths(rows, lattice, policy)
-    profile = rows.select("doc_id", *(e.alias(k) for k, e in fuse.script_profile(F.col("text")).items()))
-    told = paths.join(profile, "doc_id")
+    profile = langid.predict_language(rows.select("doc_id", "text"), prior).select("doc_id", "shares", *(e.alias(k) for k, e in fuse.script_profile(F.col("text")).items()))
+    told = subword.candidate_paths(rows, lattice, policy).join(profile, "doc_id")
     pieces = F.greatest(F.size("input_ids") - 2, F.lit(1))
     spanned = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0), lambda s, x: s + x)
     evidence = fuse.language_evidence(F.col("latin"), F.col("devanagari"), F.col("marks"), spanned / pieces, F.size("input_ids") - 2)
-    out = subword.weigh_candidates(told, evidence, None, policy)
+    # in the order of the shares; there is no evidence for the other languages
+    known = {"en": evidence[0], "es": evidence[1], "hi": evidence[2]}
+    return subword.weigh_candidates(told, F.array(*(known.get(x, F.lit(0.0)) for x in prior.languages)), F.col("shares"), policy)
+
+
+@query("unigram_candidates")
+def unigram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, lattice = _lattice(spark, sf_dir)
+    out = _weighed(rows, lattice, _prior(rows))
     return out.select("doc_id", "candidate", _r("token_score").alias("token_score"), _r("prior_probability").alias("prior_probability"), F.size("input_ids").alias("n_ids"))
 
 
@@ -555,12 +568,6 @@ def tokenizer_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("tokens_per_document", _r(F.col("tokens") / F.col("documents"))).withColumn("characters_per_token", _r(F.col("characters") / F.greatest("tokens", F.lit(1))))
 
 
-def _prior(rows: DataFrame) -> langid.LanguagePrior:
-    """The language prior of the prepared corpus, with the operator's bounds."""
-    place = corpus.prepared_stream(rows, HOW, "doc_id", split="train").drop("language")
-    return langid.fit_language_prior(rows.join(place, "doc_id"), LANGUAGES)
-
-
 @query("language_prior")
 def language_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _prepared(spark, sf_dir)
