@@ -559,13 +559,30 @@ def unigram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tokenizer_diagnostics")
 def tokenizer_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merges, candidates and words on the validation texts; candidates: the first one's tokens, beside how many are kept and how likely it is."""
     rows, merges = _fitted(spark, sf_dir)
-    held = rows.where("split = 'validation'")
+    _, lattice = _lattice(spark, sf_dir)
+    return _diagnosed(rows.where("split = 'validation'"), merges, lattice, _prior(rows))
+
+
+def _diagnosed(held: DataFrame, merges: subword.Merges, lattice: subword.Lattice, prior: langid.LanguagePrior) -> DataFrame:
+    from pyspark.sql import Window
+
+    unknown = subword.SPECIALS.index("<unk>")
+    count = lambda ids: F.size(F.filter(ids, lambda x: x == unknown))
+    none = F.lit(None).cast("double")
     sizes = held.agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("text")).cast("long").alias("characters"))
-    tokens = subword.merge_token_counts(held.withColumn("arm", F.lit("merges")), merges, ["arm"], collapsed=True)
-    words = held.select(F.lit("words").alias("arm"), F.size(T.words(F.col("text"), collapsed=True)).alias("n")).groupBy("arm").agg(F.sum("n").cast("long").alias("tokens"))
-    both = tokens.union(words).join(F.broadcast(sizes))  # one row
-    return both.withColumn("tokens_per_document", _r(F.col("tokens") / F.col("documents"))).withColumn("characters_per_token", _r(F.col("characters") / F.greatest("tokens", F.lit(1))))
+    counts = subword.marked_words(held, [], "text", True).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    spelled = subword.merge_pieces(order.for_python(counts, "word"), merges)
+    tokens = spelled.agg(F.lit("merges").alias("arm"), F.sum(F.col("n") * F.size("pieces")).cast("long").alias("tokens"), F.sum(F.col("n") * count(F.col("pieces.id"))).cast("long").alias("unknown"), none.alias("mean_candidate_count"), none.alias("mean_top_candidate_probability"))
+    each = Window.partitionBy("doc_id")
+    weighed = _weighed(held, lattice, prior).withColumn("_kept", F.count(F.lit(1)).over(each)).withColumn("_first", F.min("candidate").over(each)).where("candidate = _first")
+    chosen = weighed.agg(F.lit("candidates").alias("arm"), F.sum(F.size("input_ids") - 2).cast("long").alias("tokens"), F.sum(count(F.col("input_ids"))).cast("long").alias("unknown"), F.avg("_kept").alias("mean_candidate_count"), F.avg("prior_probability").alias("mean_top_candidate_probability"))
+    words = held.agg(F.lit("words").alias("arm"), F.sum(F.size(T.words(F.col("text"), collapsed=True))).cast("long").alias("tokens"), F.lit(None).cast("long").alias("unknown"), none.alias("mean_candidate_count"), none.alias("mean_top_candidate_probability"))
+    out = tokens.union(chosen).union(words).join(F.broadcast(sizes))  # one row
+    out = out.withColumn("tokens_per_document", _r(F.col("tokens") / F.col("documents"))).withColumn("characters_per_token", _r(F.col("characters") / F.greatest("tokens", F.lit(1))))
+    out = out.withColumn("unknown_rate", _r(F.col("unknown") / F.greatest("tokens", F.lit(1)))).drop("unknown")
+    return _rounded(out, "mean_candidate_count", "mean_top_candidate_probability").select("arm", "tokens", "documents", "characters", "tokens_per_document", "characters_per_token", "unknown_rate", "mean_candidate_count", "mean_top_candidate_probability")
 
 
 @query("language_prior")
