@@ -43,16 +43,46 @@ def made():
 
 @pytest.mark.parametrize("group_bytes", [1 << 20, 600])
 def test_equals_brute_force(spark, monkeypatch, group_bytes):
-    monkeypatch.setattr(L, "GROUP_BYTES", group_bytes)
+    monkeypatch.setattr(L, "PER_ROOT", 1)
+    monkeypatch.setattr(L, "CHUNK_BYTES", 500)
     rows = made()
     target = {i for i, *_ in rows if i % 3}
-    got = L.score_documents(spark.createDataFrame(rows, KIND), spark.createDataFrame([(i,) for i in target], "doc_id long")).collect()
+    got = L.score_documents(spark.createDataFrame(rows, KIND), spark.createDataFrame([(i,) for i in target], "doc_id long"), group_bytes=group_bytes).collect()
     same(got, brute([r[:2] for r in rows], target))
     inside = [r.loss_difference for r in got if r.in_target]
     outside = [r.loss_difference for r in got if not r.in_target]
     assert sum(inside) / len(inside) < sum(outside) / len(outside)
 
 
+@pytest.mark.parametrize("total", [0, 1, 10**8, 3 * 10**10, 10**14, 10**16])
+def test_a_group_and_a_bucket_have_many_keys_in_common(total):
+    groups = L.group_count(total)
+    assert groups >= 1
+    if groups > 1:
+        assert total * 0.12 / groups**2 > 1000  # keys of a row: an n-gram for some 8 bytes of text
+
+
+def test_groups_come_from_the_texts_not_from_the_plan(spark, monkeypatch):
+    """A join and a UDF's output, whose sizes Spark can't tell, are scored as the rows themselves, and evaluated once."""
+    from pyspark.sql import functions as F
+
+    rows, seen = made(), spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.createDataFrame(rows, KIND)
+    joined = df.join(df.select(F.col("doc_id").alias("i")).crossJoin(spark.range(50)).groupBy("i").count(), F.col("doc_id") == F.col("i")).select(*df.columns).mapInArrow(told, df.schema)
+    target = {i for i, *_ in rows if i % 3}
+    counted = []
+    monkeypatch.setattr(L, "group_count", lambda n, least, f=L.group_count: counted.append(n) or f(n, least))
+    got = L.score_documents(joined, spark.createDataFrame([(i,) for i in target], "doc_id long")).collect()
+    same(got, brute([r[:2] for r in rows], target))
+    assert counted == [sum(len(r[1]) for r in rows)] and seen.value == len(rows)
+
+
 def test_hard_rows(spark):
     rows = made()[:20] + [(100, None, None, None), (101, " \n", "", 0), (102, "tie tie", "", 0), (102, "tie tie", "", 0), (None, "no id", None, None), (103, "long " * 50_000, "", 0), (104, "<s> </s> É é", "", 0)]
     target = {1, 2, 102, 999}

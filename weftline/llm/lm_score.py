@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import settle
@@ -15,8 +17,10 @@ from .shared import settle
 BIGRAM_SHARE = 0.7
 #: What each word of the vocabulary, and one for unknown words, counts besides its occurrences.
 ADDED = 0.1
-#: Stored bytes of documents in a group, and of what a bucket holds.
-GROUP_BYTES = 4 << 20
+#: Bytes of text, and documents, of a chunk: what is counted in one piece. A longer text is a chunk of its own.
+CHUNK_BYTES, CHUNK_ROWS = 4 << 20, 1 << 16
+#: Bytes of text of a group: that many for each byte of the root of the corpus's bytes, and at least `GROUP_BYTES`.
+PER_ROOT, GROUP_BYTES = 100, 8 << 20
 
 _START, _END = "<s>", "</s>"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -43,8 +47,8 @@ class Counted:
         rows = [np.array([number.setdefault(w, len(number)) for w in sequence(t)], np.int64) for t in texts]
         hashes = np.array([xxhash.xxh64_intdigest(w.encode()) for w in number], np.uint64)
         self.sizes = np.array([len(r) for r in rows], np.int64)
-        words = np.concatenate(rows) if rows else np.empty(0, np.int64)
-        self.text = np.repeat(np.arange(len(rows)), self.sizes)
+        words = np.concatenate(rows)
+        self.text = np.repeat(np.arange(len(rows), dtype=np.int32), self.sizes)
         self.first = np.ones(len(words), bool)
         self.first[1:] = self.text[1:] != self.text[:-1]
         with np.errstate(over="ignore"):
@@ -54,8 +58,9 @@ class Counted:
             pair = (pair ^ pair >> np.uint64(29)) * _MIX | np.uint64(1)
         listed = np.concatenate([single, pair[~self.first]])
         self.keys, place = np.unique(listed, return_inverse=True)
+        place = place.astype(np.int32)
         self.single = place[: len(words)]
-        self.pair = np.zeros(len(words), np.int64)
+        self.pair = np.zeros(len(words), np.int32)
         self.pair[~self.first] = place[len(words) :]
 
     def counts(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,19 +72,14 @@ class Counted:
             out.append(np.bincount(single, minlength=len(self.keys)) + np.bincount(pair, minlength=len(self.keys)))
         return out[0], out[1]
 
-    def buckets(self, n: int) -> np.ndarray:
-        """Where each bucket's keys begin: buckets are ranges of keys, which are hashes."""
-        edges = (np.arange(1, n, dtype=object) * (1 << 64) // n).astype(np.uint64)
-        return np.concatenate([[0], np.searchsorted(self.keys, edges), [len(self.keys)]])
-
     def losses(self, target: np.ndarray, counts: tuple[np.ndarray, np.ndarray], totals: tuple[float, float], vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
         """Mean loss per token of each text under both models. A text's own words don't count in the model that it is part of."""
         at = np.flatnonzero(~self.first)
-        text, single, pair, before = self.text[at], self.single[at], self.pair[at], self.single[at - 1]
+        text, single, pair, before = self.text[at].astype(np.int64), self.single[at], self.pair[at], self.single[at - 1]
 
         def own(texts: np.ndarray, keys: np.ndarray, by: np.ndarray) -> np.ndarray:
             """How often each of `by` is among `keys` in its own text."""
-            listed, n = np.unique(texts << 32 | keys, return_counts=True)
+            listed, n = np.unique(texts.astype(np.int64) << 32 | keys, return_counts=True)
             want = text << 32 | by
             place = np.minimum(np.searchsorted(listed, want), len(listed) - 1)
             return np.where(listed[place] == want, n[place], 0)
@@ -98,6 +98,12 @@ class Counted:
         return out[0], out[1]
 
 
+def _buckets(keys: np.ndarray, n: int) -> np.ndarray:
+    """Where each bucket's keys begin: buckets are ranges of keys, which are hashes."""
+    edges = (np.arange(1, n, dtype=object) * (1 << 64) // n).astype(np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+
+
 def _squeeze(x: np.ndarray) -> bytes:
     """An array of numbers compressed by planes of bytes."""
     import zstandard
@@ -113,24 +119,43 @@ def _expand(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
 
 
-def _told(table: pa.Table) -> tuple[list, list[str], np.ndarray, dict]:
-    """ids, texts and target flags of a group's documents, and what came back for it; documents in an order fixed by id and text."""
+def group_count(total: int, least: int = GROUP_BYTES) -> int:
+    """How many groups, and how many buckets, a corpus of so many bytes has."""
+    return max(1, -(-total // max(least, PER_ROOT * math.isqrt(total))))
+
+
+def _pack(ids: list, raw: list[bytes], kind: pa.DataType, chunk: int) -> pa.RecordBatch:
+    """A row with a chunk's ids, the sizes of its texts, and the texts compressed as one."""
+    import zstandard
+
+    sizes = [len(x) for x in raw]
+    data = zstandard.ZstdCompressor(level=3).compress(b"".join(raw))
+    values = ([chunk], [ids], [sizes], [data], [sum(sizes)])
+    kinds = (pa.int64(), pa.list_(kind), pa.list_(pa.int64()), pa.binary(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(values, kinds, strict=True)], ["chunk", "ids", "sizes", "data", "bytes"])
+
+
+def _chunks(table: pa.Table) -> Iterator[tuple[list, list[str], np.ndarray]]:
+    """(ids, texts, target flags) of each chunk of a group, in the order of their numbers."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
-    docs, wanted, back = [], set(), {}
-    for role, i, data, bucket, more in zip(*(table[c].to_pylist() for c in ("role", "doc_id", "data", "bucket", "more")), strict=True):
-        if role == 0:
-            docs.append((i, data))
-        elif role == 1:
-            wanted.add(i)
-        else:
-            back[bucket] = (data, more)
-    docs.sort(key=lambda d: (d[0] is None, d[0] if d[0] is not None else 0, d[1]))
-    return [d[0] for d in docs], [unpack(d[1]).decode() for d in docs], np.array([d[0] in wanted for d in docs], bool), back
-
-
-def score_documents(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    held: dict[int, tuple] = {}
+    wanted: dict[int, list[int]] = {}
+    for role, chunk, ids, sizes, data, places in zip(*(table[c] for c in ("role", "chunk", "ids", "sizes", "data", "places")), strict=True):
+        if role.as_py() == 0:
+            held[chunk.as_py()] = (ids, sizes, data)
+        elif role.as_py() == 1:
+            wanted[chunk.as_py()] = places.as_py()
+    for chunk in sorted(held):
+        ids, sizes, data = held[chunk]
+        raw, ends = unpack(data.as_py()), np.cumsum([0, *sizes.as_py()]).tolist()
+        flags = np.zeros(len(ends) - 1, bool)
+        flags[wanted.get(chunk, [])] = True
+        yield ids.as_py(), [raw[a:b].decode() for a, b in zip(ends, ends[1:], strict=False)], flags
+
+
+def score_documents(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(doc_id, in_target, n_tokens, target_loss, background_loss, loss_difference) of each whole text.
 
     The documents whose ids `target` (doc_id) lists make the target model, all
@@ -140,84 +165,102 @@ def score_documents(docs: DataFrame, target: DataFrame, id_col: str = "doc_id",
     is lower the more a text is like the target. A text's own counts are taken
     out of the model that it is part of, so that no text vouches for itself.
 
-    Documents are dealt by id into groups of some megabytes. A group sends each
-    of its n-grams once, as 64-bit keys with two counts, into buckets of the
-    key space, where the counts of all groups are added; it gets the sums back
-    in the same order. So what is gathered grows with the corpus, no task holds
-    more than a bucket or a group, and no frequent word has a row of its own
-    more than once for each group.
+    Each task packs its documents into chunks of some megabytes, which are
+    written once: `docs` is evaluated only here, and the bytes of all texts are
+    known exactly after. Chunks are dealt into groups. A group sends each of
+    its n-grams once, as 64-bit keys with two counts, into as many buckets of
+    the key space as there are groups, where the counts of all groups are
+    added; it gets the sums back in the same order. So what is gathered grows
+    with the corpus, no task holds more than a bucket or a group, and no
+    frequent word has a row of its own more than once for each group.
+
+    Groups and buckets grow with the root of the corpus, so that a pair of
+    both, which is a row, has over a thousand keys at any size: a group has 17
+    MB of text at 30 GB, and 1 GB at 100 TB, where a task takes some 5 GB.
 
     Null text counts as empty, whose only token is the end mark; repeated rows
-    and null ids stay (null ids are background); a target that lists nothing
-    gives a target loss of the empty model; an empty table gives no rows; other
-    columns are ignored.
+    and null ids stay (null ids are background); a text of any length is
+    counted whole, by one task; a target that lists nothing gives a target loss
+    of the empty model; an empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    stored = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    # what Spark knows of the size decides how many groups there are, and nothing else
-    groups = min(max(1, stored // GROUP_BYTES), 1 << 20) if stored < 1 << 60 else 64
     id_kind = docs.schema[id_col].dataType.simpleString()
-    of_id = lambda c, text: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), text)), F.lit(groups)).cast("int")
 
-    def shrink(batches):
-        import zstandard
-
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, raw, size, chunk, kind = [], [], 0, TaskContext.get().partitionId() << 32, None
         for batch in batches:
-            data = pa.array([squeeze((x.as_py() or "").encode()) for x in batch.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), data], ["g", "doc_id", "data"])
+            kind = batch.schema.field(0).type
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw.append((x.as_py() or "").encode())
+                ids.append(i)
+                size += len(raw[-1])
+                if size >= CHUNK_BYTES or len(raw) >= CHUNK_ROWS:
+                    yield _pack(ids, raw, kind, chunk)
+                    ids, raw, size, chunk = [], [], 0, chunk + 1
+        if raw:
+            yield _pack(ids, raw, kind, chunk)
 
     none = lambda kind: F.lit(None).cast(kind)
-    packed = (
-        docs.select(of_id(id_col, F.concat(F.lit("null "), F.coalesce(F.col(text_col), F.lit("")))).alias("g"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        .mapInArrow(shrink, f"g int, doc_id {id_kind}, data binary")
-        .select("g", F.lit(0).alias("role"), "doc_id", "data", none("int").alias("bucket"), none("binary").alias("more"))
-    )
-    listed = target.where("doc_id is not null").select(F.col("doc_id").cast(id_kind).alias("doc_id")).distinct()
-    packed = packed.union(listed.select(of_id("doc_id", F.lit("")).alias("g"), F.lit(1).alias("role"), "doc_id", none("binary").alias("data"), none("int").alias("bucket"), none("binary").alias("more")))
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    packed = settle(chosen.mapInArrow(pack, f"chunk long, ids array<{id_kind}>, sizes array<long>, data binary, bytes long"))
+    groups = group_count(packed.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first().n, group_bytes)
+    of_chunk = F.pmod(F.xxhash64("chunk"), F.lit(groups)).cast("int").alias("g")
+
+    # where in its chunk each document of the target is: ids alone are shuffled
+    listed = target.where("doc_id is not null").select(F.col("doc_id").cast(id_kind).alias("id")).distinct()
+    places = packed.select("chunk", F.posexplode("ids").alias("place", "id")).where("id is not null").join(listed, "id")
+    flags = settle(places.groupBy("chunk").agg(F.collect_list("place").alias("places")))
+    columns = {"role": "int", "chunk": "long", "ids": f"array<{id_kind}>", "sizes": "array<long>", "data": "binary", "places": "array<int>", "bucket": "int", "more": "binary"}
+
+    def rows(source: DataFrame, group: Column, role: int, *filled: str) -> DataFrame:
+        return source.select(group, F.lit(role).alias("role"), *(F.col(c) if c in filled else none(k).alias(c) for c, k in columns.items() if c != "role"))
+
+    texts = rows(packed, of_chunk, 0, "chunk", "ids", "sizes", "data").union(rows(flags, of_chunk, 1, "chunk", "places"))
 
     def send(table: pa.Table) -> pa.Table:
-        _, texts, wanted, _ = _told(table)
-        rows: list[tuple] = []
-        if texts:
-            g, counted = table["g"][0].as_py(), Counted(texts)
-            counts = np.stack(counted.counts(wanted)).astype(np.uint32)
-            cuts = counted.buckets(groups)
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                part = slice(cuts[b], cuts[b + 1])
-                keys = counted.keys[part]
-                rows.append((b, g, _squeeze(np.concatenate([keys[:1], np.diff(keys)])), _squeeze(counts[0, part]), _squeeze(counts[1, part])))
-        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "g", "keys", "target", "background"])
+        g, found = table["g"][0].as_py(), []
+        for _, batch, wanted in _chunks(table):
+            counted = Counted(batch)
+            found.append((counted.keys, *counted.counts(wanted)))
+        keys, place = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+        counts = [np.bincount(place, np.concatenate([f[k] for f in found]), minlength=len(keys)).astype(np.uint64) for k in (1, 2)]
+        cuts, sent = _buckets(keys, groups), []
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            part = slice(cuts[b], cuts[b + 1])
+            sent.append((b, g, _squeeze(np.concatenate([keys[part][:1], np.diff(keys[part])])), _squeeze(counts[0][part]), _squeeze(counts[1][part])))
+        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*sent, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "g", "keys", "target", "background"])
 
     def add(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         keys = [np.cumsum(_expand(x.as_py(), np.uint64), dtype=np.uint64) for x in table["keys"]]
         known, place = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = [np.bincount(place, np.concatenate([_expand(x.as_py(), np.uint32) for x in table[c]]), minlength=len(known)).astype(np.uint64) for c in ("target", "background")]
+        sums = [np.bincount(place, np.concatenate([_expand(x.as_py(), np.uint64) for x in table[c]]), minlength=len(known)).astype(np.uint64) for c in ("target", "background")]
         single = (known & np.uint64(1)) == 0
-        rows = [(None, bucket, None, None, int(single.sum()), int(sums[0][single].sum()), int(sums[1][single].sum()))]
+        out = [(None, bucket, None, None, int(single.sum()), int(sums[0][single].sum()), int(sums[1][single].sum()))]
         ends = np.cumsum([0, *map(len, keys)])
         for g, a, b in zip(table["g"].to_pylist(), ends, ends[1:], strict=False):
-            rows.append((g, bucket, _squeeze(sums[0][place[a:b]]), _squeeze(sums[1][place[a:b]]), None, None, None))
+            out.append((g, bucket, _squeeze(sums[0][place[a:b]]), _squeeze(sums[1][place[a:b]]), None, None, None))
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["g", "bucket", "data", "more", "words", "in_target", "in_background"])
+        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["g", "bucket", "data", "more", "words", "in_target", "in_background"])
 
-    sent = packed.groupBy("g").applyInArrow(send, "bucket int, g int, keys binary, target binary, background binary")
+    sent = texts.groupBy("g").applyInArrow(send, "bucket int, g int, keys binary, target binary, background binary")
     back = settle(sent.groupBy("bucket").applyInArrow(add, "g int, bucket int, data binary, more binary, words long, in_target long, in_background long"))
     sums = back.where("g is null").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "in_target", "in_background"))).first()
     vocabulary, totals = sums.words, (sums.in_target, sums.in_background)
 
     def judge(table: pa.Table) -> pa.Table:
-        ids, texts, wanted, back = _told(table)
-        counted = Counted(texts)
-        parts = [back[b] for b in sorted(back)]
-        counts = tuple(np.concatenate([_expand(p[k], np.uint64) for p in parts]).astype(np.float64) if parts else np.empty(0) for k in (0, 1))
-        target_loss, background_loss = counted.losses(wanted, counts, totals, vocabulary) if texts else (np.empty(0), np.empty(0))
-        return pa.Table.from_arrays(
-            [pa.array(ids, table["doc_id"].type), pa.array(wanted, pa.bool_()), pa.array(counted.sizes - 1, pa.int64()), pa.array(target_loss, pa.float64()), pa.array(background_loss, pa.float64()), pa.array(target_loss - background_loss, pa.float64())],
-            ["doc_id", "in_target", "n_tokens", "target_loss", "background_loss", "loss_difference"],
-        )
-
-    returned = back.where("g is not null").select("g", F.lit(2).alias("role"), none(id_kind).alias("doc_id"), "data", "bucket", "more")
+        held = [(ids, wanted, Counted(batch)) for ids, batch, wanted in _chunks(table)]
+        keys = np.unique(np.concatenate([c.keys for _, _, c in held]))
+        parts = {b: (data, more) for role, b, data, more in zip(*(table[c].to_pylist() for c in ("role", "bucket", "data", "more")), strict=True) if role == 2}
+        counts = [np.concatenate([_expand(parts[b][k], np.uint64) for b in sorted(parts)]).astype(np.float64) for k in (0, 1)]
+        out = []
+        for ids, wanted, counted in held:
+            at = np.searchsorted(keys, counted.keys)
+            target_loss, background_loss = counted.losses(wanted, (counts[0][at], counts[1][at]), totals, vocabulary)
+            values = (ids, wanted, counted.sizes - 1, target_loss, background_loss, target_loss - background_loss)
+            kinds = (table.schema.field("ids").type.value_type, pa.bool_(), pa.int64(), *[pa.float64()] * 3)
+            out.append(pa.Table.from_arrays([pa.array(x, k) for x, k in zip(values, kinds, strict=True)], ["doc_id", "in_target", "n_tokens", "target_loss", "background_loss", "loss_difference"]))
+        return pa.concat_tables(out)
+
+    returned = rows(back.where("g is not null"), F.col("g"), 2, "data", "bucket", "more")
     out = f"doc_id {id_kind}, in_target boolean, n_tokens long, target_loss double, background_loss double, loss_difference double"
-    return packed.union(returned).groupBy("g").applyInArrow(judge, out)
+    return texts.union(returned).groupBy("g").applyInArrow(judge, out)
