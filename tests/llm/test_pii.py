@@ -45,6 +45,30 @@ def test_field_finds_what_patterns_miss():
     assert right / len(fresh) > 0.85
 
 
+def test_field_sees_the_whole_text():
+    field = P.trained()
+    for text, kind, entity in (
+        ("the password: correcthorsebatterystaple", "key", "correcthorsebatterystaple"),
+        ("bob dot smith at example dot com", "email", "bob dot smith at example dot com"),
+        ("api key: " + "a1b2" * 100 + " end", "key", "a1b2" * 100),
+        ("token = " + "ab12" * 100_000, "key", "ab12" * 100_000),
+        ("call (555) 123-4567 now", "phone", "(555) 123-4567"),
+    ):
+        assert [(k, text[a:b]) for k, a, b, _ in P.find(text, field)] == [(kind, entity)]
+    assert P.find("The secret garden was key. Meet me at home. Then the dot at the end.", field) == []
+
+
+def test_stretches_give_what_the_whole_text_gives():
+    """No cut: the dynamic program over all tokens chooses the same."""
+    field, rng = P.trained(), random.Random(4)
+    for _ in range(40):
+        filler = lambda: " ".join("".join(rng.choice("abcé") for _ in range(rng.randint(1, 9))) + rng.choice(["", "", ".", ",", " at", " dot", " key", "\n"]) for _ in range(rng.randint(0, 60)))
+        text = " ".join(filler() + " " + rng.choice(made)[0] for made in [P.examples(6, rng.randint(0, 999))] for _ in range(3)) + " " + filler()
+        assert [(k, lo + a, lo + b) for lo, hi in P.stretches(text) for k, a, b in field.best(text[lo:hi])] == field.best(text)
+        spans = list(P.stretches(text))
+        assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+
+
 def brute_best(field, text):
     """The best segmentation by trying all."""
     lattice = P.Lattice(text)

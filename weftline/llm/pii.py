@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import random
 import re
 import string
@@ -13,13 +14,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import slices
+
 #: Kinds in the order that spans are listed in; `key` (passwords, access keys) is the field's own.
 KINDS = ("email", "ip", "card", "phone", "key")
 BASE = KINDS[:4]
 #: Tokens of the longest entity.
 LONGEST = 24
-#: Characters beside a digit or an at sign that the field sees.
-CONTEXT = 48
+#: Tokens beside an anchor that segments with it, and the features of those, may reach: an entity, and a hint five tokens before it.
+CONTEXT = LONGEST + 8
+#: No number, address or date is longer: 15 digits, and a sign in each other token.
+LONGEST_NUMBER = 40
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
@@ -83,38 +88,44 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 _DIGIT = re.compile(r"[0-9]").search
-_ANCHORS = re.compile(r"[0-9@]|[(\[]at[)\]]")
+_NUMBER_OR_AT = re.compile(r"[0-9@]+")
+_SPELT = re.compile(r"[(\[]at[)\]]| at (?=[A-Za-z0-9-]+ dot [A-Za-z0-9])")
 _TOKENS = re.compile(r"\w+|\s|[^\w\s]")
-_HINTS = re.compile(r"(?i)pass(?:word|wd|phrase)?|pwd|token|secret|api|key|credential|auth")
-_EMAIL_SHAPE = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+").fullmatch
+_HINT_WORDS = ("pass", "password", "passwd", "passphrase", "pwd", "token", "secret", "api", "key", "credential", "auth")
+_HINTS = re.compile(rf"(?i)(?<!\w)(?:{'|'.join(_HINT_WORDS)})(?!\w)")
+_EMAIL_SHAPE = re.compile(
+    r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+"
+    r"|[A-Za-z0-9._%+-]+(?: dot [A-Za-z0-9_%+-]+)* at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+"
+).fullmatch
 _IP_SHAPE = re.compile(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}").fullmatch
 _NUMBERS = re.compile(r"[0-9](?:[ .-]?[0-9])*").fullmatch
 _ABROAD = re.compile(r"(?:\+|00)[0-9][ ().0-9-]+[0-9]").fullmatch
 _NATIONAL = re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|\([0-9]{3}\)[0-9]{3}[ .-]?[0-9]{4}").fullmatch
 _DATE = re.compile(r"[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}").fullmatch
-_NOT_INSIDE = frozenset(string.ascii_letters + string.digits + "_@")
 
-_SHAPES = 8  # of the features below, those that look at the span's characters
+_SHAPES = 7  # of the features below, those that look at the span's characters
 FEATURES = (
-    "email shape", "address shape", "card that passes", "card that fails", "phone abroad", "phone at home", "key shape", "date shape",
-    "bias", "one @", "9 to 15 digits", "fewer digits", "more digits", "no digit", "white space at an edge", "goes on to the left", "goes on to the right", "hint before", "= : or quote before", "line end inside", "more tokens", "white space inside", "letters and digits", "punctuation at an edge",
+    "email shape", "address shape", "card that passes", "card that fails", "phone abroad", "phone at home", "date shape", "key shape", "named secret",
+    "bias", "one @", "9 to 15 digits", "fewer digits", "more digits", "no digit", "white space at an edge", "goes on to the left", "goes on to the right", "hint before", "= : or quote before", "line end inside", "more tokens", "white space inside", "letters and digits", "punctuation at an edge", "half a bracket",
 )
 
 
+#: An entity has one of the first three features, or lacks the last.
+_HAS = [FEATURES.index(x) for x in ("email shape", "one @", "hint before", "no digit")]
+_HAS_SIGN = np.array([1.0, 1.0, 1.0, -1.0])
+
+
 def _shape(x: str, digits: int) -> tuple[int, ...]:
     d = _digits(x) if digits >= 9 else ""
     numbers = 13 <= len(d) <= 19 and _NUMBERS(x) is not None
     passes = numbers and luhn(d)
-    letters = len(x) - digits
-    key = len(x) >= 16 and digits >= 3 and letters >= 3 and x.replace("_", "").replace("-", "").isalnum() and x.isascii()
     return (
-        "@" in x and _EMAIL_SHAPE(x) is not None or "at" in x and _EMAIL_SHAPE(x) is not None,
+        ("@" in x or "at" in x) and _EMAIL_SHAPE(x) is not None,
         bool(digits) and _IP_SHAPE(x) is not None and all(int(p) <= 255 for p in x.split(".")),
         passes,
         numbers and not passes,
         9 <= len(d) <= 15 and _ABROAD(x) is not None,
         len(d) == 10 and _NATIONAL(x) is not None,
-        key,
         bool(digits) and _DATE(x) is not None,
     )
 
@@ -134,15 +145,19 @@ class Lattice:
         self.spelt = add([w == "at" for w in words])
         self.white = add([w.isspace() for w in words])
         self.lines = add([w == "\n" for w in words])
+        self.no_key = add([not (w.isascii() and (w == "-" or w.replace("_", "a").isalnum())) for w in words])
+        self.ends = np.array([0, *(b for _, b in self.spans)])
         self.space = np.array([w.isspace() for w in words] + [True])
         self.mark = np.array([not (w[0].isalnum() or w[0] in "_+(") for w in words] + [True])
         self.end_mark = np.array([not (w[-1].isalnum() or w[-1] == "_") for w in words] + [True])
-        # a word right beside, or one past a dot or hyphen, is part of the same thing
+        self.open = add([(w == "(") - (w == ")") for w in words])
+        # a word right beside, or one past a dot (spelt or not) or hyphen, is part of the same thing
         word = [w[0].isalnum() or w[0] in "_@" for w in words]
         joined = [w in ".-_@+" for w in words]
-        self.left = np.array([False] + [word[i] or joined[i] and i > 0 and word[i - 1] for i in range(n)])
-        self.right = np.array([word[i] or joined[i] and i + 1 < n and word[i + 1] for i in range(n)] + [False])
-        hints = [bool(_HINTS.fullmatch(w)) for w in words]
+        spelt = [w == " " and words[i - 1 : i] == ["dot"] for i, w in enumerate(words)]
+        self.left = np.array([False] + [word[i] or joined[i] and i > 0 and word[i - 1] or spelt[i] for i in range(n)])
+        self.right = np.array([word[i] or joined[i] and i + 1 < n and word[i + 1] or words[i : i + 2] == [" ", "dot"] for i in range(n)] + [False])
+        hints = [w.lower() in _HINT_WORDS for w in words]
         self.hint = np.array([any(hints[max(0, i - 5) : i]) for i in range(n + 1)])
         self.sign = np.array([False] + [w in "=:\"'" or w == " " and i > 0 and words[i - 1] in "=:" for i, w in enumerate(words)])
         self.n = n
@@ -158,23 +173,27 @@ class Lattice:
         edge = self.space[i] | self.space[j - 1]
         out = np.zeros((*j.shape, len(FEATURES)))
         single = j - i > 1
+        length = self.ends[j] - self.ends[i]
+        solid = (self.no_key[j] == self.no_key[i]) & ~self.left[i] & ~self.right[j]
+        key = (self.no_key[j] == self.no_key[i]) & (length >= 16) & (digits >= 3) & (length - digits >= 3)
+        named = solid & self.hint[i] & self.sign[i] & ((length >= 12) | (digits > 0) & (length >= 6))
         for k, x in enumerate((
-            np.ones_like(ok), ats == 1, (digits >= 9) & (digits <= 15), digits < 9, digits > 15, digits == 0, edge, self.left[i] & ok, self.right[j], self.hint[i] & ok, self.sign[i] & ok,
-            self.lines[j] > self.lines[i], single, white > 0, (digits > 2) & (letters > 2), self.mark[i] | self.end_mark[j - 1],
+            key, named, np.ones_like(ok), ats == 1, (digits >= 9) & (digits <= 15), digits < 9, digits > 15, digits == 0, edge, self.left[i] & ok, self.right[j], self.hint[i] & ok, self.sign[i] & ok,
+            self.lines[j] > self.lines[i], single, white > 0, (digits > 2) & (letters > 2), self.mark[i] | self.end_mark[j - 1], self.open[j] != self.open[i],
         )):
             out[..., _SHAPES + k] = x
-        # what characters say is asked only of segments that may be entities
-        for a, b in np.argwhere(ok & ~edge & ((digits >= 3) | (ats == 1) | (self.spelt[j] - self.spelt[i] == 1))).tolist():
-            start, end = self.spans[first + a][0], self.spans[first + a + b][1]
-            if end - start <= 256:
-                out[a, b, :_SHAPES] = _shape(self.text[start:end], int(digits[a, b]))
+        # what characters say is asked only of segments that it can be true of: numbers without letters, and one at sign, however long
+        for a, b in np.argwhere(ok & ~edge & ((digits >= 3) & (letters == 0) & (length <= LONGEST_NUMBER) | (ats == 1) | (self.spelt[j] - self.spelt[i] == 1))).tolist():
+            out[a, b, :_SHAPES] = _shape(self.text[self.spans[first + a][0] : self.spans[first + a + b][1]], int(digits[a, b]))
         out[~ok] = 0
         return out
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
+    top = np.where(np.isfinite(top), top, 0)
+    with np.errstate(divide="ignore"):
+        return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
 class Field:
@@ -185,8 +204,10 @@ class Field:
         self.follow = np.zeros((len(KINDS) + 1, len(KINDS) + 1))
 
     def scores(self, features: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-        """[start, tokens - 1, label]; impossible ones are -inf."""
+        """[start, tokens - 1, label]; impossible ones are -inf: no entity is without a digit, one at sign (spelt or not) and a hint before it."""
         out = features @ self.weights
+        may = features[..., _HAS] @ _HAS_SIGN > -1
+        out[..., 1:] = np.where(may[..., None], out[..., 1:], -np.inf)
         out[:, 1:, 0] = -np.inf
         out[:, 0, 0] = 0
         out[starts[:, None] + np.arange(1, LONGEST + 1) > n] = -np.inf
@@ -268,7 +289,7 @@ class Field:
         return self
 
 
-def examples(n: int = 260, seed: int = 5) -> list[tuple[str, list[tuple[str, int, int]]]]:
+def examples(n: int = 300, seed: int = 5) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """Made sentences with marked entities, and with numbers that are none."""
     rng = random.Random(seed)
     some = lambda letters, low, high: "".join(rng.choice(letters) for _ in range(rng.randint(low, high)))
@@ -282,7 +303,9 @@ def examples(n: int = 260, seed: int = 5) -> list[tuple[str, list[tuple[str, int
         return sign.join(digits[i : i + 4] for i in range(0, len(digits), 4)) if sign else digits
 
     def email() -> str:
-        at, dot = rng.choice([("@", "."), ("@", "."), ("@", "."), (" (at) ", "."), ("(at)", "(dot)"), (" [at] ", " [dot] ")])
+        at, dot = rng.choice([("@", "."), ("@", "."), ("@", "."), (" (at) ", "."), ("(at)", "(dot)"), (" [at] ", " [dot] "), (" at ", " dot ")])
+        if at == " at ":
+            return word().replace("é", "e") + rng.choice(["", " dot " + word().replace("é", "e")]) + at + word().replace("é", "e") + dot + rng.choice(["com", "net", "org"])
         return word().replace("é", "e") + rng.choice(["", ".", "_"]) + some(string.ascii_lowercase + string.digits, 1, 4) + at + word().replace("é", "e") + dot + rng.choice(["com", "net", "org"])
 
     def phone() -> str:
@@ -302,6 +325,7 @@ def examples(n: int = 260, seed: int = 5) -> list[tuple[str, list[tuple[str, int
         return rng.choice([
             lambda: str(rng.randint(1900, 2040)), lambda: f"{rng.randint(0, 9)}.{rng.randint(0, 20)}", lambda: f"{rng.randint(0, 9)}.{rng.randint(0, 9)}.{rng.randint(0, 9)}", lambda: f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", lambda: f"{rng.randint(1, 28)}/{rng.randint(1, 12)}/{rng.randint(1990, 2030)}",
             lambda: f"{rng.randint(1, 23)}:{rng.randint(10, 59)}", lambda: f"{rng.randint(1, 99)},{number(3)}.{number(2)}", lambda: "1" + number(rng.choice([4, 6, 7])), lambda: f"{word()}{rng.randint(1, 99)}", lambda: f"{rng.randint(256, 999)}.{number(3)}.{rng.randint(1, 9)}.{rng.randint(300, 999)}",
+            lambda: f"{rng.choice(_HINT_WORDS)} {word()}", lambda: f"{rng.choice(_HINT_WORDS)}{rng.choice([': ', ' = '])}{word()}", lambda: f"{rng.choice(_HINT_WORDS)} {number(2)}", lambda: f"{word()} at {word()}. {word()}", lambda: f"{word()} at {word()} {word()}",
             lambda: next(x for x in ("9" + number(15) for _ in range(99)) if not luhn(x)), lambda: f"@{word()}", lambda: f"{word()}@", lambda: f"{number(2)} {number(3)} {number(2)}", lambda: f"{rng.randint(1, 9)} {word()} {number(2)}", lambda: f"{number(3)}-{number(2)}",
         ])()
 
@@ -317,6 +341,8 @@ def examples(n: int = 260, seed: int = 5) -> list[tuple[str, list[tuple[str, int
                 lead, after = "", ""
                 if kind == "key":
                     lead, after = rng.choice([("", ""), ("password=", ""), ('token = "', '"'), ("secret: ", ""), ("api key ", "")])
+                    if lead not in ("", "api key ") and rng.random() < 0.4:
+                        entity = rng.choice([lambda: some(string.ascii_lowercase, 12, 30), lambda: some(string.ascii_letters, 4, 8) + number(2)])()
                 text += lead
                 spans.append((kind, len(text), len(text) + len(entity)))
                 text += entity + after
@@ -333,27 +359,50 @@ def trained() -> Field:
     return Field().learn(examples())
 
 
-def stretches(text: str) -> Iterator[tuple[int, int]]:
-    """Where the field looks: around digits and @, cut at no word. Elsewhere no segment has what an entity needs."""
-    start = end = -1
-    for m in _ANCHORS.finditer(text):
-        if end >= 0 and m.start() - CONTEXT <= end:
-            end = m.end() + CONTEXT
-            continue
-        if end >= 0:
-            yield _whole(text, start, end)
-        start, end = m.start() - CONTEXT, m.end() + CONTEXT
-    if end >= 0:
-        yield _whole(text, start, end)
+def _anchors(text: str) -> list[tuple[int, int]]:
+    """Digits and at signs, at signs that are spelt, and hints: what a segment that may be an entity has in it, or before it."""
+    found = [m.span() for m in _NUMBER_OR_AT.finditer(text)]
+    more = [m.span() for m in _SPELT.finditer(text)] if "at)" in text or "at]" in text or " dot " in text else []
+    low = text.lower()
+    if any(w in low for w in ("pass", "pwd", "token", "secret", "api", "key", "credential", "auth")):
+        more += [m.span() for m in _HINTS.finditer(text)]
+    return sorted(found + more) if more else found
+
 
+def _tokens_before(text: str, at: int, n: int) -> int:
+    """Where the token begins that is n tokens before the one at `at`."""
+    reach = 512
+    while True:
+        low = max(0, at - reach)
+        found = [m.start() for m in _TOKENS.finditer(text, low, at)]
+        if low == 0 and len(found) <= n + 1:
+            return 0
+        if len(found) > n + 2:  # the first may be the rest of a word
+            return found[-n - 2]
+        reach *= 8
 
-def _whole(text: str, start: int, end: int) -> tuple[int, int]:
-    start, end = max(0, start), min(len(text), end)
-    while start > 0 and text[start - 1] in _NOT_INSIDE and text[start] in _NOT_INSIDE:
-        start -= 1
-    while end < len(text) and text[end] in _NOT_INSIDE and text[end - 1] in _NOT_INSIDE:
-        end += 1
-    return start, end
+
+def stretches(text: str) -> Iterator[tuple[int, int]]:
+    """The tokens that a segment with an anchor in it, or its features, can reach.
+
+    All other segments can't be entities (`Field.scores`), and what the features
+    look at is in the stretch. So the field's best segmentation of the whole
+    text is that of its stretches, and single tokens elsewhere.
+    """
+    start = end = word_end = -1
+    for a, b in _anchors(text):
+        if a < word_end:
+            continue  # a word that has been told
+        if a >= end:
+            low = _tokens_before(text, a, CONTEXT)
+            if end < 0 or low >= end:
+                if end >= 0:
+                    yield start, end
+                start = low
+        after = [m.end() for m in itertools.islice(_TOKENS.finditer(text, b), CONTEXT + 1)]
+        word_end, end = after[0] if after else b, max(end, b, *after[-1:])
+    if end >= 0:
+        yield start, end
 
 
 def _joined(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -371,14 +420,7 @@ def find(text: str, field: Field) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, whether a pattern found it), by kind as listed and start. Base spans stay; the field adds what overlaps none."""
     base = base_spans(text)
     taken = _joined((a, b) for _, a, b in base)
-    added: list[tuple[str, int, int]] = []
-    seen = 0
-    for lo, hi in stretches(text):
-        for kind, a, b in field.best(text[lo:hi]):
-            if lo + a < seen:
-                continue
-            added.append((kind, lo + a, lo + b))
-        seen = hi
+    added = [(kind, lo + a, lo + b) for lo, hi in stretches(text) for kind, a, b in field.best(text[lo:hi])]
     free, k = [], 0
     for kind, a, b in added:
         while k < len(taken) and taken[k][1] <= a:
@@ -393,21 +435,23 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc_id, spans) of each whole text; spans: array of (kind, start, end, base) in code points, end exclusive.
 
     The patterns for email, ip, card and phone give the base spans. The field
-    segments the stretches around digits and @ signs, whole spans scored by
-    their features, with boundaries and kinds chosen together; of its entities
-    those that overlap no base span are added.
+    segments the whole text, whole spans scored by their features, with
+    boundaries and kinds chosen together; of its entities those that overlap no
+    base span are added. Its dynamic program is worked out where a segment may
+    be an entity (`stretches`), which gives what it gives on the whole text.
 
     Null text counts as empty and has no spans; equal texts have equal spans;
-    repeated rows and null ids stay; an empty table gives no rows; other columns
-    are ignored.
+    texts and words of any length are read whole; repeated rows and null ids
+    stay; an empty table gives no rows; other columns are ignored.
     """
     held = docs.sparkSession.sparkContext.broadcast(trained())  # a few hundred weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"kind": k, "start": a, "end": b, "base": own} for k, a, b, own in find(x.as_py() or "", held.value)] for x in batch.column(1)]
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "spans"])
+            for part in slices(batch, 1):
+                found = [[{"kind": k, "start": a, "end": b, "base": own} for k, a, b, own in find(x.as_py() or "", held.value)] for x in part.column(1)]
+                kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, kind)], ["doc_id", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint,base:boolean>>")
@@ -429,14 +473,19 @@ def redact(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
 
 
 def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs`, all columns, with personal data in the text replaced by its kind; null stays null."""
+    """`docs`, all columns, with personal data in the text, as `find_pii` has it, replaced by its kind.
+
+    Null and empty texts stay; repeated rows stay, each redacted alike; an empty
+    table gives no rows; other columns, whatever their names, aren't touched.
+    """
     held = docs.sparkSession.sparkContext.broadcast(trained())
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x.as_py() for x in batch.column(at)]
-            new = pa.array([x and redact(x, find(x, held.value)) for x in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], new, *batch.columns[at + 1 :]], batch.schema.names)
+            for part in slices(batch, at):
+                texts = (x.as_py() for x in part.column(at))
+                new = pa.array([x and redact(x, find(x, held.value)) for x in texts], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], new, *part.columns[at + 1 :]], part.schema.names)
 
     return docs.mapInArrow(run, docs.schema)
