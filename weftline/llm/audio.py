@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import BATCH_BYTES, slices
+
 #: Bytes of an ADPCM block, and what payloads are padded to a multiple of.
 BLOCK = 576
 PAD = b"\xff"
@@ -131,26 +133,26 @@ def from_wav(media: bytes) -> tuple[str, int, bytes]:
     raise ValueError("no data of a known kind")
 
 
-def features_of(name: str, samples: np.ndarray) -> str:
+def features_of(name: str, samples: np.ndarray, pcm: bytes) -> str:
     """Root mean square, zero crossings, peak, and checksum of the resampled PCM."""
     wide = samples.astype(np.int64)
     power = int((wide * wide).sum())
     crossings = int(np.count_nonzero((samples[1:] < 0) != (samples[:-1] < 0)))
-    return f"{name}:{(power / max(1, len(samples))) ** 0.5:.3f}:{crossings}:{int(np.abs(wide).max(initial=0))}:{zlib.crc32(resample(samples).tobytes()):08x}"
+    return f"{name}:{(power / max(1, len(samples))) ** 0.5:.3f}:{crossings}:{int(np.abs(wide).max(initial=0))}:{zlib.crc32(pcm):08x}"
 
 
 def store_audio(docs: DataFrame, codec: str = "mulaw", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): each whole text's bytes, padded to blocks, as the samples of a WAV file.
 
     Null text is stored as empty, one block of padding; equal texts give equal
-    files; repeated rows and null ids stay; an empty table gives no rows; other
-    columns are ignored.
+    files; repeated rows and null ids stay; texts are taken some megabytes at a
+    time, a longer one alone (WAV holds 4 GB at most); an empty table gives no
+    rows; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 128):
-                part = batch.slice(at, 128)
+            for part in slices(batch, 1):
                 sizes, media = [], []
                 for x in part.column(1):
                     text = x.as_py() or ""
@@ -162,12 +164,15 @@ def store_audio(docs: DataFrame, codec: str = "mulaw", id_col: str = "doc_id", t
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 
 
-def decode_audio(stored: DataFrame, pcm: bool = True) -> DataFrame:
+def decode_audio(stored: DataFrame) -> DataFrame:
     """`stored` with payload (the data read back), feature, and pcm (16-bit little-endian at twice the rate).
 
     pcm is that of the file's own codec. The feature describes the payload as
     mu-law, as A-law and as ADPCM blocks, each expanded or decoded, and
-    resampled. A row whose media is null or no such WAV file has nulls there.
+    resampled. A row whose media is null or no such WAV file has nulls there;
+    repeated rows stay; files are decoded about a megabyte at a time, a longer
+    one alone; an empty table gives no rows. Columns named payload, feature or
+    pcm are an error.
     """
 
     def told(part: pa.RecordBatch, at: int) -> pa.RecordBatch:
@@ -188,19 +193,20 @@ def decode_audio(stored: DataFrame, pcm: bool = True) -> DataFrame:
                 sound.append(None)
                 continue
             by = {c: expand(r[2], c) for c in ("mulaw", "alaw")} | {"adpcm": decoded[ends[k] : ends[k + 1]].ravel()}
-            found.append("|".join(features_of(c, samples) for c, samples in by.items()))
-            sound.append(resample(by[r[0]]).tobytes() if pcm else None)
-        new = [pa.array([r[2] if r else None for r in read], pa.binary()), pa.array(found, pa.string())]
-        return pa.RecordBatch.from_arrays([*part.columns, *new, *([pa.array(sound, pa.binary())] if pcm else [])], [*part.schema.names, "payload", "feature", *(["pcm"] if pcm else [])])
+            resampled = {c: resample(samples).tobytes() for c, samples in by.items()}
+            found.append("|".join(features_of(c, by[c], resampled[c]) for c in by))
+            sound.append(resampled[r[0]])
+        new = [pa.array([r[2] if r else None for r in read], pa.binary()), pa.array(found, pa.string()), pa.array(sound, pa.binary())]
+        return pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, "payload", "feature", "pcm"])
 
     at = stored.columns.index("media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), 512):
-                yield told(batch.slice(start, 512), at)
+            for part in slices(batch, at, most_bytes=BATCH_BYTES // 4):  # decoded and resampled it has four to eight bytes for each
+                yield told(part, at)
 
     if clash := {"payload", "feature", "pcm"} & set(stored.columns):
         raise ValueError(f"there are columns named {sorted(clash)}")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema)
-    return stored.mapInArrow(run, f"{kinds}, payload binary, feature string" + ", pcm binary" * pcm)
+    return stored.mapInArrow(run, f"{kinds}, payload binary, feature string, pcm binary")

@@ -77,8 +77,8 @@ def op9_bpe_encoding_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as telephony audio, stored, read back and described."""
-    out = decode_audio(store_audio(table(spark, sf_dir, "documents")), pcm=False)
+    """Every document as telephony audio, stored, read back and described; `pcm` is the resampled sound, stored with the rest."""
+    out = decode_audio(store_audio(table(spark, sf_dir, "documents")))
     size = lambda c: F.octet_length(c).cast("long")
     return out.select(
         "doc_id",
@@ -89,6 +89,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         size("media").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        "pcm",
     )
 
 
