@@ -69,6 +69,12 @@ def test_stretches_give_what_the_whole_text_gives():
         assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
 
 
+def test_stretches_end_for_any_number_of_tokens_before():
+    for k in range(3 * P.CONTEXT):
+        assert list(P.stretches("a " * k + "7"))[0][1] == 2 * k + 1
+        assert list(P.stretches("a" * k + "7 b"))[0][0] == 0
+
+
 def brute_best(field, text):
     """The best segmentation by trying all."""
     lattice = P.Lattice(text)

@@ -375,10 +375,8 @@ def _tokens_before(text: str, at: int, n: int) -> int:
     while True:
         low = max(0, at - reach)
         found = [m.start() for m in _TOKENS.finditer(text, low, at)]
-        if low == 0 and len(found) <= n + 1:
-            return 0
-        if len(found) > n + 2:  # the first may be the rest of a word
-            return found[-n - 2]
+        if len(found) > n + 2 or low == 0:  # the first may be the rest of a word
+            return found[max(-n - 2, -len(found))] if found else 0
         reach *= 8
 
 
