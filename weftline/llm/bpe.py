@@ -18,7 +18,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import settle, shared_dir
+from .shared import settle, shared_dir, slices
 
 #: How the byte-level tokenizer parts a text into words (a fixed value of its format).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -462,8 +462,9 @@ def encode(docs: DataFrame, path: str | None = None, lexicon_words: int = LEXICO
     tables may be newer.
 
     Null text counts as empty, with no ids; the special token's own string
-    becomes its id, as in the library; repeated rows and null ids stay; an
-    empty table gives no rows; other columns are ignored.
+    becomes its id, as in the library; repeated rows and null ids stay; a text
+    of any length is encoded whole, by one task; an empty table gives no rows;
+    other columns are ignored.
     """
     spark = docs.sparkSession
     source = open(path or default_path(), encoding="utf-8").read()
@@ -485,7 +486,12 @@ def encode(docs: DataFrame, path: str | None = None, lexicon_words: int = LEXICO
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """`encoded` (doc_id, ids) with the text that the ids stand for; broken UTF-8 becomes U+FFFD, null ids an empty text."""
+    """`encoded` (doc_id, ids) with the text that the ids stand for; broken UTF-8 becomes U+FFFD, null ids an empty text.
+
+    Repeated rows and null ids of documents stay; lists are decoded some
+    megabytes at a time, a longer one alone; an empty table gives no rows;
+    other columns are left out.
+    """
     held = encoded.sparkSession.sparkContext.broadcast(open(path or default_path(), encoding="utf-8").read())
 
     def told(model: Model, batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -503,8 +509,8 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(held.value)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                yield told(model, batch.slice(at, 256))
+            for part in slices(batch, 1, 256):
+                yield told(model, part)
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")

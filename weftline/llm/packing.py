@@ -50,7 +50,10 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, i
     """(doc_id, piece, start, length, ids_crc32) of each document's ids and the end id.
 
     Only documents of more than `capacity` tokens are cut, into pieces of that
-    many; the first takes what is over.
+    many; the first takes what is over. Null and empty texts are the end id
+    alone; repeated rows and null ids each have their pieces; a text of any
+    length is encoded whole, by one task; an empty table gives no rows; other
+    columns are ignored.
     """
     from .bpe import default_path
 

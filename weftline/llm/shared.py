@@ -63,8 +63,10 @@ def text_of(column: str = "text") -> Column:
 
 
 def slices(batch: pa.RecordBatch, column: int, most_rows: int = 512, most_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows whose texts (or bytes) in a column come to `most_bytes` at most, a row at least in each."""
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+    """The batch in runs of rows whose texts, bytes or lists of numbers in a column come to `most_bytes` at most, a row at least in each."""
+    values = batch.column(column)
+    length = pc.multiply(pc.list_value_length(values), 4) if pa.types.is_list(values.type) else pc.binary_length(values)
+    sizes = np.asarray(pc.fill_null(length, 0), np.int64)
     ends, at = np.cumsum(sizes), 0
     while at < len(batch):
         before = int(ends[at - 1]) if at else 0
