@@ -8,9 +8,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import settle, slices
+
 #: Rows of the embedding table that character n-grams and words are hashed to.
 BUCKETS = 1 << 17
 #: Numbers in an embedding.
@@ -19,8 +21,8 @@ WIDTH = 8
 SHORTEST, LONGEST = 3, 5
 #: Words in a bag, which is averaged over so many places: a word that comes again, or a place that none takes, adds nothing. A text is as toxic as its most toxic bag, so that long texts don't thin out what one passage says.
 BAG = 12
-#: Most labelled documents to learn from, of each label: those of the least hash.
-MOST_PER_LABEL = 1500
+#: Most labelled documents to learn from, of each label, and bytes of their texts: those of the least hash.
+MOST_PER_LABEL, MOST_BYTES = 3000, 32 << 20
 #: An n-gram of words in fewer texts isn't learned: it would only tell those texts apart.
 LEAST_TEXTS = 3
 #: The biases that training begins with: a bag of which nothing is known is hardly toxic, so that common words needn't speak against it.
@@ -111,7 +113,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def train(texts: list[str], labels: list[int], rounds: int = 250, rate: float = 0.05, spread: float = 8.0, seed: int = 11) -> Model:
     """Fit embeddings and softmax together, by gradient steps on all texts.
 
-    A text is toxic if one of its bags is: its probability is one minus the
+    A bag of words is the average of its places' embeddings, each the average
+    of its n-grams'; a linear softmax of that average is how toxic the bag is,
+    and its slope moves weights and embeddings at once. A text is toxic if one of its bags is: its probability is one minus the
     product of its bags' probabilities not to be (the loss is that of the
     text's label, each label weighing half). Deterministic; without texts of
     both labels the biases say so and nothing else.
@@ -127,43 +131,39 @@ def train(texts: list[str], labels: list[int], rounds: int = 250, rate: float =
     indexed = [np.array([number.setdefault(w, len(number)) for w in tokens(x) or [""]], np.int32) for x in texts]
     counts = np.array([len(x) for x in indexed])
     words, bag_of, bags_of_text = _bags(np.concatenate(indexed), counts)
-    words, bag_of = words.astype(np.int32), bag_of.astype(np.int32)
+    text_of_bag = np.repeat(np.arange(len(counts)), bags_of_text)
     listed = list(number)
-    buckets, per_word = [], []
-    for i in range(0, len(listed), 20_000):
-        some, n = features(listed[i : i + 20_000])
-        buckets.append(some.astype(np.int32))
-        per_word.append(n)
-    del indexed, number, listed
-    buckets, per_word = np.concatenate(buckets), np.concatenate(per_word)
-    used = np.flatnonzero(np.bincount(buckets, minlength=BUCKETS))
-    renumbered = np.zeros(BUCKETS, np.int32)
+    del indexed, number
+    in_texts = np.bincount(np.unique(text_of_bag[bag_of] << 32 | words) & 0xFFFFFFFF, minlength=len(listed))
+    found = [features(listed[i : i + 20_000]) for i in range(0, len(listed), 20_000)]
+    buckets, per_word = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    word_of = np.repeat(np.arange(len(listed)), per_word)
+    del found, listed
+    # buckets of few texts stay at nothing: they, and words that have no others, needn't be gone through
+    used = np.flatnonzero(np.bincount(buckets, in_texts[word_of], minlength=BUCKETS) >= LEAST_TEXTS)
+    renumbered = np.full(BUCKETS, -1)
     renumbered[used] = np.arange(len(used))
-    buckets = renumbered[buckets]
-    text_of_bag = np.repeat(np.arange(len(counts)), bags_of_text)
-    sizes = np.bincount(bag_of)
-    by_word, by_bucket = np.argsort(words, kind="stable").astype(np.int32), np.argsort(buckets, kind="stable").astype(np.int32)
-    word_counts, bucket_counts = np.bincount(words), np.bincount(buckets)
-    word_of_bucket = np.repeat(np.arange(len(per_word), dtype=np.int32), per_word)[by_bucket]
-    bag_of = bag_of[by_word]
-    del by_bucket
-    text_counts = np.bincount(np.unique(text_of_bag[bag_of] << 32 | words[by_word].astype(np.int64)) & 0xFFFFFFFF, minlength=len(per_word))
-    common = (_sums(text_counts[word_of_bucket], bucket_counts) >= LEAST_TEXTS).astype(np.float32)
+    known = renumbered[buckets] >= 0
+    buckets, word_of = renumbered[buckets[known]], word_of[known]
+    told = np.isin(words, word_of)
+    words, bag_of = words[told], bag_of[told]
+    bags = len(text_of_bag)
     each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()).astype(np.float32)
-    state = [embeddings[used] * common[:, None], weights, biases]
+    state = [embeddings[used], weights, biases]
     first, second = [np.zeros_like(x) for x in state], [0.0] * 3
     for step in range(1, rounds + 1):
         e, w, b = state
         # averages are linear, so that the difference of the logits can be taken bucket by bucket, and its slope too
         along = w[1] - w[0]
-        logits = _sums(_means((e @ along)[buckets], per_word)[words], sizes) / BAG + (b[1] - b[0])
+        value = np.bincount(word_of, (e @ along)[buckets], minlength=len(per_word)) / per_word
+        logits = np.bincount(bag_of, value[words], minlength=bags) / BAG + (b[1] - b[0])
         p = np.clip(_sigmoid(logits), 1e-7, 1 - 1e-6)
         none = _sums(np.log1p(-p), bags_of_text)
         whole = np.clip(1 - np.exp(none), 1e-6, 1)
         slope = np.where(y == 1, -(1 - whole) / whole, 1) * each
-        g = (slope[text_of_bag] * p).astype(np.float32)
-        g_words = _sums((g / BAG)[bag_of], word_counts) / per_word
-        g_bucket = _sums(g_words[word_of_bucket], bucket_counts).astype(np.float32) * common
+        g = slope[text_of_bag] * p
+        g_words = np.bincount(words, (g / BAG)[bag_of], minlength=len(per_word)) / per_word
+        g_bucket = np.bincount(buckets, g_words[word_of], minlength=len(used)).astype(np.float32)
         g_along = g_bucket @ e
         slower = min(1.0, 2 * (1 - (step - 1) / rounds))
         for k, grad in enumerate((g_bucket[:, None] * along, np.stack([-g_along, g_along]), np.array([-g.sum(), g.sum()], np.float32))):
@@ -212,11 +212,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_per_label: int = MOST_PER_LABEL) -> Model:
-    """Learn from the labelled documents that aren't held out, at most `most_per_label` of each label, those of the least hash.
+def fit(docs: DataFrame, labels: DataFrame, most_per_label: int = MOST_PER_LABEL, most_bytes: int = MOST_BYTES) -> Model:
+    """Learn from the labelled documents that aren't held out, of each label at most so many documents, and bytes, in the order of their hashes.
 
-    That bound is the only sample here; rows without a label, or with one other
-    than 0 and 1, aren't used, and of repeated labels the largest holds.
+    These bounds are the only sample here; rows without a label, or with one
+    other than 0 and 1, aren't used, and of repeated labels the largest holds.
+    A text that passes the bytes ends its label's sample; all that is learned
+    from is learned whole.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = None
@@ -224,20 +226,28 @@ def fit(docs: DataFrame, labels: DataFrame, most_per_label: int = MOST_PER_LABEL
         some = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_per_label)
         chosen = some if chosen is None else chosen.union(some)
     # two lists of bounded length, so that the documents needn't be shuffled; of repeated ids the least text counts
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).toArrow().sort_by("doc_id")
-    return train([x or "" for x in rows["text"].to_pylist()], rows["toxic"].to_pylist())
+    rows = settle(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")))
+    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))  # of `most_per_label` rows at most
+    fits = rows.select("doc_id", so_far.alias("so_far")).where(F.col("so_far") <= most_bytes).select("doc_id")
+    found = rows.join(F.broadcast(fits), "doc_id", "left_semi").toArrow().sort_by("doc_id")
+    return train([x or "" for x in found["text"].to_pylist()], found["toxic"].to_pylist())
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "toxicity") -> DataFrame:
-    """All columns of `docs` and `into`, 0 to 1, of each whole text; null counts as empty, which has a score too."""
+    """All columns of `docs` and `into`, 0 to 1, of each whole text; null counts as empty, which has a score too.
+
+    Repeated rows stay; texts are scored some megabytes at a time, a longer one
+    alone; an empty table gives no rows; a column named `into` is an error.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model.folded())  # BUCKETS numbers
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
         for batch in batches:
-            found = [scorer.scores([x.as_py() or "" for x in batch.column(at).slice(i, 512)]) for i in range(0, len(batch), 512)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else [], pa.float64())], [*batch.schema.names, into])
+            for part in slices(batch, at):
+                found = scorer.scores([x.as_py() or "" for x in part.column(at)])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], [*part.schema.names, into])
 
     if into in docs.columns:
         raise ValueError(f"the documents have a column named {into}")
@@ -258,6 +268,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_per_label: int = MOST_PER_
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, most_per_label: int = MOST_PER_LABEL, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs`, all columns, without the documents whose score reaches the threshold; the model is fit on those labels."""
+    """`docs`, all columns, without the documents whose score reaches the threshold; the model is fit on those labels.
+
+    Null and empty texts are scored like any other and stay unless every text
+    is called toxic; repeated rows stay or go together; an empty table gives no
+    rows; other columns, whatever their names, aren't touched.
+    """
     into = "toxicity" + "_" * max((len(c) for c in docs.columns), default=0)
     return score(docs, fit(docs, labels, most_per_label), into=into).where(F.col(into) < threshold).select(*docs.columns)
