@@ -55,3 +55,16 @@ def test_no_rules_no_pages_and_default(spark):
     assert judge_urls(page.where("false"), none).collect() == []
     twice = spark.createDataFrame([("allow", "a.b/"), ("block", "a.b/"), ("allow", None)], "action string, rule string")
     assert [r.verdict for r in judge_urls(page, twice).collect()] == ["block"]
+
+
+def test_urls_of_very_many_pages(spark, monkeypatch):
+    from weftline.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_ROWS", 5)
+    check(spark, ["http://example.com/en/7x"] * 40 + [None] * 30 + ["http://a.org/es/b", "http://b.net/de/"] * 3 + ["http://none.xyz/"] * 9, URL_RULES)
+
+
+def test_an_empty_rule_fits_nothing(spark):
+    rows = [(1, None, "", "", 0), (2, "http://", "", "", 0), (3, "http://a.b/c", "", "", 0)]
+    rules = spark.createDataFrame([("block", ""), ("block", "/c")], "action string, rule string")
+    assert {r.rule for r in judge_urls(spark.createDataFrame(rows, KIND), rules).collect()} == {None}
