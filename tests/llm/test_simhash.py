@@ -104,3 +104,45 @@ def test_query_equals_brute_force(spark, sf):
     want = least_reachable([(r.doc_id, plain(r.text)) for r in docs])
     got = QUERIES["op4_simhash_near_dedup"](spark, sf).collect()
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {r.doc_id: (f"{plain(r.text):016x}", want[r.doc_id]) for r in docs}
+
+
+def test_pairs_are_those_of_the_index_of_single_postings():
+    """Counting postings one by one, over the whole inverted index, keeps the same pairs as counting in the lists."""
+    from collections import Counter
+    from itertools import combinations
+
+    fps = np.unique(np.array([S._signed(x) for x in clustered(7, 400)], np.int64))
+    index = {}
+    for i, x in enumerate(fps.view(np.uint64).tolist()):
+        for place in range(8):
+            index.setdefault((place, x >> 8 * place & 255), []).append(i)
+    counts = Counter(pair for listed in index.values() for pair in combinations(listed, 2))
+    want = {pair for pair, n in counts.items() if n >= S.LEAST_BYTES}
+    got = set()
+    for mask in S._masks()[0]:
+        part = fps & np.int64(S._signed(mask))
+        order = np.argsort(part, kind="stable")
+        keys = np.concatenate([[0], np.cumsum(part[order][1:] != part[order][:-1])])
+        for x, y in S.counted(keys, fps[order]):
+            got |= {(min(a, b), max(a, b)) for a, b in zip(order[x].tolist(), order[y].tolist(), strict=True)}
+    assert got == want and len(want) > 100
+    every = {(a, b) for a, b in combinations(range(len(fps)), 2) if ((int(fps[a]) ^ int(fps[b])) & ((1 << 64) - 1)).bit_count() <= S.MOST_BITS}
+    assert every and every <= want, "no link is lost"
+
+
+def test_hot_fingerprints_and_components(spark, monkeypatch):
+    """A third of all rows of one text, joined by broadcast, comes out as by a shuffle."""
+    from weftline.llm import shared
+
+    rows = [(i, "the same few words again and again" if i % 3 == 0 else f"text number {i // 2} of its own kind", "x", 1) for i in range(120)] + [(None, None, "", 0), (500, "", "", 0)]
+    df = spark.createDataFrame(rows, KIND)
+    want = sorted(map(repr, S.near_duplicates(df).collect()))
+    monkeypatch.setattr(shared, "HOT_ROWS", 10)
+    assert sorted(map(repr, S.near_duplicates(df).collect())) == want
+
+
+def test_dropping_with_clashing_names(spark):
+    rows = [(i, f"some words for pair {i // 2} here", i, i, i, i) for i in range(20)] + [(None, "no id", 1, 1, 1, 1), (3, "again", 1, 1, 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _alone long, _shared long, id long, root long")
+    got = S.drop_near_duplicates(df)
+    assert got.columns == df.columns and {r.doc_id for r in got.collect()} == {None, 3, *range(0, 20, 2)}

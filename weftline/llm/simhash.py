@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import settle
+from .shared import join_facts, settle, slices
 
 SEED = 42
 #: Bits that linked fingerprints may differ in.
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_signed(fingerprint(x.as_py(), shingle)) for x in batch.column(1)]
+            found = [_signed(fingerprint(x.as_py(), shingle)) for x in batch.column(1)]  # one text at a time
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -102,24 +102,32 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-def _links(keys: np.ndarray, fps: np.ndarray, most_edges: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Links between fingerprints with equal neighbouring keys, as a forest. keys: numbers of the lists, in order."""
-    at = np.arange(len(fps))
-    a, b, held = [], [], 0
-    step = 0
+def tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many postings (place, byte) two fingerprints have in common: what adding one for each list of the index they share comes to."""
+    return ((a ^ b).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+
+
+def counted(keys: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places with equal keys whose fingerprints share `LEAST_BYTES` postings or more. keys: numbers of the lists, in order."""
+    at, step = np.arange(len(fps)), 0
     while True:
         step += 1
         at = at[at + step < len(fps)]
         at = at[keys[at] == keys[at + step]]
         if not len(at):
-            break
-        differ = fps[at] ^ fps[at + step]
-        shared = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-        near = at[shared >= LEAST_BYTES]
-        near = near[np.bitwise_count((fps[near] ^ fps[near + step]).view(np.uint64)) <= MOST_BITS]
-        a.append(fps[near])
-        b.append(fps[near + step])
-        held += len(near)
+            return
+        near = at[tally(fps[at], fps[at + step]) >= LEAST_BYTES]
+        yield near, near + step
+
+
+def _links(keys: np.ndarray, fps: np.ndarray, most_edges: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Links between fingerprints of one list, as a forest: counted, then verified on all bits."""
+    a, b, held = [], [], 0
+    for x, y in counted(keys, fps):
+        near = np.bitwise_count((fps[x] ^ fps[y]).view(np.uint64)) <= MOST_BITS
+        a.append(fps[x[near]])
+        b.append(fps[y[near]])
+        held += len(a[-1])
         if held > most_edges:
             x, y = _forest(np.concatenate(a), np.concatenate(b))
             a, b, held = [x], [y], 0
@@ -152,13 +160,14 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(distinct: DataFrame, longest: int = LONGEST_LIST) -> DataFrame:
     """Edges (a, b) that join the fingerprints `fp` within three bits as all pairs would.
 
-    A link's fingerprints share 5 positional bytes at least. Lists of single
-    positional bytes would hold a 256th of the corpus each, so that tallies
-    would grow with its square; here a list is keyed by three positional bytes,
-    8 lists a fingerprint, such that 5 shared bytes bring both into one list.
-    In a list, the shared bytes of each pair are tallied, pairs with 5 or more
-    are verified on all bits, and a spanning forest of what is linked leaves
-    the task. Lists of more than `longest` fingerprints are split by two more
+    A link's fingerprints share 5 of 8 postings (place, byte) at least. Lists of
+    single postings would hold a 256th of the corpus each, so that tallies
+    would grow with its square; here the postings of a half are met three at a
+    time, 8 lists a fingerprint. Of 5 shared postings three are in one half, so
+    that every pair that the count filter keeps meets in a list, and in a list
+    a pair's count is taken over all 8 postings: the pairs with 5 or more are
+    those of the index of single postings. They are verified on all bits, and a
+    spanning forest of what is linked leaves the task. Lists of more than `longest` fingerprints are split by two more
     of the bytes, then by three half bytes, which again loses no link; then at
     most 4096 different fingerprints are left for a list.
     """
@@ -196,9 +205,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component's least id, its own included. fingerprint: 16 hex digits.
 
     Null, empty and white texts have fingerprint zero and are linked like any
-    other; repeated rows stay, each with its component; null ids stay and are
-    the component's id only if it has no other; an empty table gives no rows;
-    other columns are ignored.
+    other; texts of any length are read whole; a fingerprint that very many rows
+    have is joined by broadcast (`join_facts`); repeated rows stay, each with its
+    component; null ids stay and are the component's id only if it has no other;
+    an empty table gives no rows; other columns are ignored.
     """
     return _grouped(docs, id_col, text_col, shingle, longest).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -212,16 +222,19 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, longest:
 
 def rooted(marked: DataFrame, stars: DataFrame) -> DataFrame:
     """`marked` (doc_id, fp) as (fp, doc_id, root, component_id); stars: (node, root) of the fingerprints that are linked."""
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = settle(classes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    named = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
-    return marked.join(named, "fp").select("fp", "doc_id", "root", "component_id")
+    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    roots = settle(classes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")))
+    parts = roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fingerprints"))
+    named = settle(join_facts(roots, parts, ["root"], "fingerprints").select("fp", "rows", "root", "component_id"))
+    return join_facts(marked, named, ["fp"], "rows").select("fp", "doc_id", "root", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, longest: int = LONGEST_LIST) -> DataFrame:
     """`docs`, all columns, with one document of each component of `near_duplicates`: that of the least id.
 
     Where rows share that id, or have none, one of them stays for each component.
+    Null, empty and white texts are one component; texts of any length are read
+    whole; an empty table gives no rows; other columns may have any names.
     """
     grouped = settle(_grouped(docs, id_col, text_col, shingle, longest))
     return keep_least(docs, grouped, id_col, text_col, lambda text: _signed(fingerprint(text, shingle)))
@@ -230,8 +243,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def keep_least(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str, key: Callable[[str | None], int]) -> DataFrame:
     """Of each component of `grouped`, as `rooted` has it, the document of the least id; key: the `fp` of a text."""
     by_id = grouped.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component_id"))
-    alone = by_id.where("n = 1 and doc_id = component_id").select("doc_id")
-    kept = docs.join(alone.withColumnRenamed("doc_id", "_alone"), F.col(id_col) == F.col("_alone"), "left_semi")
+    own_name = "id" + "_" * max(map(len, docs.columns))  # no column of the documents
+    alone = by_id.where("n = 1 and doc_id = component_id").select(F.col("doc_id").alias(own_name))
+    kept = docs.join(alone, F.col(id_col) == F.col(own_name), "left_semi")
     shared = settle(by_id.where("n > 1 or doc_id is null").select("doc_id"))
     if shared.isEmpty():
         return kept
@@ -241,10 +255,11 @@ def keep_least(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str,
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([key(x.as_py()) for x in batch.column(at)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*(f"c{i}" for i in range(len(names))), "fp"])
+            for part in slices(batch, at):
+                found = pa.array([key(x.as_py()) for x in part.column(at)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, found], [*(f"c{i}" for i in range(len(names))), "fp"])
 
-    rows = docs.join(shared.withColumnRenamed("doc_id", "_shared"), F.col(id_col).eqNullSafe(F.col("_shared")), "left_semi").mapInArrow(mark, f"{kind}, fp long")
+    rows = docs.join(shared.withColumnRenamed("doc_id", own_name), F.col(id_col).eqNullSafe(F.col(own_name)), "left_semi").mapInArrow(mark, f"{kind}, fp long")
     least = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), "root").distinct()
     rows = rows.join(least, (F.col("fp") == F.col("_fp")) & F.col(f"c{own}").eqNullSafe(F.col("_id"))).dropDuplicates(["root"])
     return kept.union(rows.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names))))
