@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import xxhash
 from pyspark.sql import types as T
 
 from weftline.llm import digest as D
@@ -63,9 +64,30 @@ def brute(rows):
     return sorted(out, key=str)
 
 
+def in_order(rows):
+    """Descending ids, none last; equal ids by the checksum of their texts, the largest first."""
+    tie = lambda t: int(np.uint64(xxhash.xxh64_intdigest((t or "").encode(), 42)).view(np.int64))
+    return sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, -(r[0] or 0), -tie(r[1])))
+
+
+def test_ties_of_different_texts_and_a_hot_id(spark):
+    rows = [(7 if i % 3 == 0 else i, prose(i % 50, 1 + i % 9), "x", 1) for i in range(150)] + [(None, prose(i, 4), "", 0) for i in range(40)]
+    want = brute(in_order(rows))
+    for n in (1, 4, 9):
+        got = D.compare_with_next(spark.createDataFrame(rows, KIND).repartition(n)).collect()
+        assert sorted(map(tuple, got), key=str) == want
+
+
+def test_a_hot_id_is_dealt_over_ranges(spark):
+    rows = [(7, "always the same text", "x", 1)] * 400 + [(i, prose(i, 3), "x", 1) for i in range(100)]
+    df = spark.createDataFrame(rows, KIND).repartition(8)
+    keyed = df.select("doc_id", D.F.xxhash64("text").alias("tie"), D.F.spark_partition_id().alias("salt"), "text")
+    assert len(D._ranges(keyed, 8)) > 4
+
+
 def test_hard_rows(spark):
     rows = [(i, prose(i, i % 40), "x", 1) for i in range(60)] + [(100, None, None, None), (101, "", "", 0), (7, prose(7, 7), "x", 1), (None, "no id", "", 0), (102, prose(9, 20_000), "", 0)]
-    order = sorted(((i, t or "") for i, t, _, _ in rows if i is not None), key=lambda r: (-r[0], r[1])) + [(None, "no id")]
+    order = in_order(rows)
     got = D.compare_with_next(spark.createDataFrame(rows, KIND).repartition(6)).collect()
     assert sorted(map(tuple, got), key=str) == brute(order)
 

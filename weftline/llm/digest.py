@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import settle
+from .shared import BATCH_BYTES, settle, slices
 
 #: Buckets that triplets are counted in, two bits each in a digest.
 BUCKETS = 1024
@@ -112,74 +112,98 @@ def _compared(text: str, own: Digest, follower: str, follows: Digest) -> tuple:
     return len(text), hashlib.sha256(edited.encode()).digest(), bytes(own), bytes(changed), likeness(own, changed), likeness(own, follows)
 
 
+def _ranges(keyed: DataFrame, n: int) -> list[tuple]:
+    """The first key of each of at most n ranges of about as many rows, in the order of `compare_with_next`; one key a range goes to the driver."""
+    k = F.struct("doc_id", "tie", "salt")
+    dealt = keyed.select(k.alias("k")).repartitionByRange(n, F.col("k").desc()).groupBy(F.spark_partition_id()).agg(F.max("k").alias("k"))
+    return sorted((_key(*r.k) for r in dealt.collect()), reverse=True)
+
+
+def _key(doc_id, tie: int, salt: int) -> tuple:  # noqa: ANN001
+    """What descending order puts null ids last by."""
+    return (doc_id is not None, doc_id if doc_id is not None else 0, tie, salt)
+
+
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text's digest beside that of an edited text and of the next document.
 
     Documents follow each other by descending id, the first after the last.
     The edited text has its last third replaced by the next document's
-    beginning. Texts are ranged by id and sorted once; a task compares
-    neighbours as they pass. The first and last row of each range, two for each
-    partition, are kept with their texts and compared with each other after.
-
-    Texts travel compressed. Null text counts as empty; rows with equal ids
-    follow each other in an order that their texts fix, null ids come last; a single row follows itself; repeated rows stay; an
-    empty table gives no rows; other columns are ignored.
+    beginning. Keys alone are ranged first, and tell where each range begins;
+    texts are compressed once, shuffled once to their ranges, sorted, and
+    compared with their neighbours as they pass. The first and last row of
+    each range are kept with their texts, and joined by their ranges after.
+
+    Null text counts as empty; rows with equal ids follow each other by a
+    checksum of their texts, null ids come last; repeated rows, in whatever
+    number, are dealt over ranges by the task that read them; a single row
+    follows itself; a text of any length is digested whole, by one task, which
+    holds it and its neighbour; an empty table gives no rows; other columns are
+    ignored.
     """
+    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tie"), F.spark_partition_id().alias("salt"), F.col(text_col).alias("text"))
+    starts = _ranges(keyed, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+        squeeze, falling = zstandard.ZstdCompressor(level=3).compress, starts[::-1]
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze((x.as_py() or "").encode()) for x in batch.column(1)], pa.binary())], ["doc_id", "packed"])
+            ids, ties, salts = (batch.column(k).to_pylist() for k in range(3))
+            at = [max(0, len(starts) - 1 - bisect.bisect_left(falling, _key(*x))) for x in zip(ids, ties, salts, strict=True)]
+            data = pa.array([squeeze((x.as_py() or "").encode()) for x in batch.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *batch.columns[:3], data], ["at", "doc_id", "tie", "salt", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        part = TaskContext.get().partitionId()
-        ids, last, digest = [], "", None
-        schema = pa.schema([("doc_id", id_type[0]), ("at", pa.int64()), ("text", pa.string()), *((n, pa.int64() if k == 0 else pa.float64() if k > 3 else pa.binary()) for k, n in enumerate(_NAMES))])
+        schema = pa.schema([("doc_id", id_type), ("first", pa.int32()), ("last", pa.int32()), ("text", pa.string()), *((n, pa.int64() if k == 0 else pa.float64() if k > 3 else pa.binary()) for k, n in enumerate(_NAMES))])
         rows: list[tuple] = []
-        ends = lambda place, i, text: (i, 2 * part + place, text, *[None] * len(_NAMES))
+        part, own, last, digest = None, None, "", None
+        ends = lambda i, first, at, text: (i, first, at, text, *[None] * len(_NAMES))
 
         def told() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for at, i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(4), strict=True):
                 text = unpack(x.as_py()).decode()
                 now = digest if digest is not None and text == last else Digest.of(text)
-                if digest is None:
-                    rows.append(ends(0, i, text))
+                if at != part:
+                    if part is not None:
+                        rows.append(ends(own, None, part, last))
+                    rows.append(ends(i, at, None, text))
                 else:
-                    rows.append((ids.pop(), None, None, *_compared(last, digest, text, now)))
-                ids.append(i)
-                last, digest = text, now
-                if len(rows) >= 256:
+                    rows.append((own, None, None, None, *_compared(last, digest, text, now)))
+                part, own, last, digest = at, i, text, now
+                if len(rows) >= 256 or len(text) > BATCH_BYTES:
                     yield told()
                     rows = []
-        if digest is not None:
-            rows.append(ends(1, ids.pop(), last))
+        if part is not None:
+            rows.append(ends(own, None, part, last))
         if rows:
             yield told()
 
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(shrink, f"doc_id {kind}, packed binary")
-    id_type = [to_arrow_type(chosen.schema["doc_id"].dataType)]
-    order = [F.col("doc_id").desc_nulls_last(), F.col("packed")]
-    passed = settle(chosen.repartitionByRange(F.col("doc_id").desc_nulls_last()).sortWithinPartitions(*order).mapInArrow(run, f"doc_id {kind}, at long, text string, {_FIELDS}"))
-    # two rows of each partition: at most twice as many rows as partitions come together here
-    ring = passed.where("at is not null").select("doc_id", "at", "text")
+    packed = keyed.mapInArrow(shrink, f"at int, doc_id {kind}, tie long, salt int, packed binary")
+    id_type = to_arrow_type(packed.schema["doc_id"].dataType)
+    dealt = packed.repartitionById(max(1, len(starts)), F.col("at")).sortWithinPartitions("at", F.col("doc_id").desc_nulls_last(), F.desc("tie"), F.desc("salt"))
+    passed = settle(dealt.mapInArrow(run, f"doc_id {kind}, first int, last int, text string, {_FIELDS}"))
+    # the range after each range: a number for each; then texts meet by it, two rows for each range
     around = Window.orderBy("at")
     whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    pairs = ring.select("doc_id", "at", "text", F.coalesce(F.lead("text").over(around), F.first("text").over(whole)).alias("follower")).where("at % 2 = 1").select("doc_id", "text", "follower")
+    after = passed.where("first is not null").select(F.col("first").alias("at")).select("at", F.coalesce(F.lead("at").over(around), F.first("at").over(whole)).alias("after"))
+    firsts = passed.where("first is not null").select(F.col("first").alias("after"), F.col("text").alias("follower"))
+    lasts = passed.where("last is not null").select(F.col("last").alias("at"), "doc_id", "text")
+    pairs = lasts.join(after, "at").join(firsts.hint("shuffle_merge"), "after").select("doc_id", "text", "follower")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_compared(t.as_py(), Digest.of(t.as_py()), f.as_py(), Digest.of(f.as_py())) for t, f in zip(batch.column(1), batch.column(2), strict=True)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in zip(*rows, strict=True))], ["doc_id", *_NAMES])
+            for part in slices(batch, 1):
+                rows = [_compared(t.as_py(), Digest.of(t.as_py()), f.as_py(), Digest.of(f.as_py())) for t, f in zip(part.column(1), part.column(2), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x) for x in zip(*rows, strict=True))], ["doc_id", *_NAMES])
 
-    out = passed.where("at is null").select("doc_id", *_NAMES).union(pairs.mapInArrow(close, f"doc_id {kind}, {_FIELDS}"))
+    out = passed.where("first is null and last is null").select("doc_id", *_NAMES).union(pairs.mapInArrow(close, f"doc_id {kind}, {_FIELDS}"))
     return out.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
