@@ -145,9 +145,16 @@ def train(texts: list[str], labels: list[int], rounds: int = 250, rate: float =
     renumbered[used] = np.arange(len(used))
     known = renumbered[buckets] >= 0
     buckets, word_of = renumbered[buckets[known]], word_of[known]
-    told = np.isin(words, word_of)
-    words, bag_of = words[told], bag_of[told]
-    bags = len(text_of_bag)
+    listed, starts = np.unique(word_of, return_index=True)  # n-grams come word by word
+    place = np.full(len(per_word), -1)
+    place[listed] = np.arange(len(listed))
+    told = place[words] >= 0
+    words, bag_of, word_of, per_word = place[words[told]], bag_of[told], place[word_of], per_word[listed].astype(np.float32)
+    # sums over runs: bags of their words, words of their bags, buckets of their words
+    bags, bag_starts = np.unique(bag_of, return_index=True)
+    by_word, by_bucket = np.argsort(words, kind="stable"), np.argsort(buckets, kind="stable")
+    bag_of_word, word_of_bucket = bag_of[by_word], word_of[by_bucket]
+    word_starts, bucket_starts = (np.searchsorted(x, np.arange(n)) for x, n in ((words[by_word], len(listed)), (buckets[by_bucket], len(used))))
     each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()).astype(np.float32)
     state = [embeddings[used], weights, biases]
     first, second = [np.zeros_like(x) for x in state], [0.0] * 3
@@ -155,15 +162,18 @@ def train(texts: list[str], labels: list[int], rounds: int = 250, rate: float =
         e, w, b = state
         # averages are linear, so that the difference of the logits can be taken bucket by bucket, and its slope too
         along = w[1] - w[0]
-        value = np.bincount(word_of, (e @ along)[buckets], minlength=len(per_word)) / per_word
-        logits = np.bincount(bag_of, value[words], minlength=bags) / BAG + (b[1] - b[0])
+        logits = np.full(len(text_of_bag), b[1] - b[0], np.float64)
+        if len(bags):
+            logits[bags] += np.add.reduceat((np.add.reduceat((e @ along)[buckets], starts) / per_word)[words], bag_starts) / BAG
         p = np.clip(_sigmoid(logits), 1e-7, 1 - 1e-6)
         none = _sums(np.log1p(-p), bags_of_text)
         whole = np.clip(1 - np.exp(none), 1e-6, 1)
         slope = np.where(y == 1, -(1 - whole) / whole, 1) * each
         g = slope[text_of_bag] * p
-        g_words = np.bincount(words, (g / BAG)[bag_of], minlength=len(per_word)) / per_word
-        g_bucket = np.bincount(buckets, g_words[word_of], minlength=len(used)).astype(np.float32)
+        g_bucket = np.zeros(0, np.float32)
+        if len(bags):
+            g_words = np.add.reduceat((g / BAG).astype(np.float32)[bag_of_word], word_starts) / per_word
+            g_bucket = np.add.reduceat(g_words[word_of_bucket], bucket_starts)
         g_along = g_bucket @ e
         slower = min(1.0, 2 * (1 - (step - 1) / rounds))
         for k, grad in enumerate((g_bucket[:, None] * along, np.stack([-g_along, g_along]), np.array([-g.sum(), g.sum()], np.float32))):
