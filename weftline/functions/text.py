@@ -14,10 +14,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+#: Bytes of text that a task has in Python at once; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
+
 #: Python's white space: Java's Unicode class and the four separators that it leaves out.
 WHITE = r"(?U)[\s\x1c-\x1f]+"
 
 
+def slices(batch: pa.RecordBatch, column: int, most_rows: int = 512, most_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts in a column come to `most_bytes` at most, a row at least in each."""
+    ends, at = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)), 0
+    while at < len(batch):
+        before = int(ends[at - 1]) if at else 0
+        stop = min(at + most_rows, max(at + 1, int(np.searchsorted(ends, before + most_bytes, side="right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 @F.arrow_udf(StringType())
 def nfkc(texts: pa.Array) -> pa.Array:
     """Unicode normalization form KC; null stays null."""
@@ -30,6 +43,10 @@ def nfkc_collapsed(texts: pa.Array) -> pa.Array:
     return pa.array([t if t is None else " ".join((t if t.isascii() else unicodedata.normalize("NFKC", t)).split()) for t in texts.to_pylist()], pa.string())
 
 
+# A deterministic function would be copied into each filter on its result and pushed below what comes between: worked out twice for each text.
+nfkc, nfkc_collapsed = nfkc.asNondeterministic(), nfkc_collapsed.asNondeterministic()
+
+
 def normalize(text: Column, unicode_form: bool = True, collapse: bool = True, strip: bool = True) -> Column:
     """NFKC, then runs of white space to one blank, then no white space at the ends, each if asked for."""
     if unicode_form and collapse and strip:
@@ -117,8 +134,7 @@ def ngram_counts(rows: DataFrame, by: str, text: str, shortest: int, longest: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 1):
                 seen: dict = {}
                 for key, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     counts = seen.setdefault(key, Counter())

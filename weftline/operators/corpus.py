@@ -27,7 +27,10 @@ class Preparation:
 
 
 def prepare(records: DataFrame, how: Preparation, text: str = "text", language: str = "language") -> DataFrame:
-    """Records of the plan's languages, normalized and within the length bounds, with their `split`. Null and empty texts go."""
+    """Records of the plan's languages, normalized and within the length bounds, with their `split`. Null and empty texts go.
+
+    A text is normalized once: the filter on its length isn't pushed below (`functions.text.nfkc`).
+    """
     chosen = records.where(F.col(language).isin(*how.languages) & F.col(text).isNotNull() & (F.col(text) != ""))
     plain = chosen.withColumn(text, T.normalize(F.col(text), how.unicode_form, how.collapse, how.strip)).where(T.length_between(F.col(text), how.low, how.high))
     return plain.withColumn("split", T.stable_split(F.col(text), F.col(language), how.seed, how.validation, how.test))

@@ -34,11 +34,47 @@ def mask_tokens(tokens: DataFrame, by: list[str], seed: int, share: float, mask_
     return drawn.withColumn("input_id", F.when(F.col("masked"), put).otherwise(F.col("token"))).withColumn("label", F.when(F.col("masked"), F.col("token")).otherwise(F.lit(IGNORED))).drop("_may", "_hit")
 
 
-def pad(rows: DataFrame, batch: str, ids: str, pad_id: int = 1) -> DataFrame:
-    """`rows` with input_ids, attention_mask and labels as long as the longest of their batch."""
+def mask_lists(rows: DataFrame, ids: str, key: str, seed: int, share: float, mask_id: int, vocabulary: int, special: str | None = None, into: str = "masking") -> DataFrame:
+    """`mask_tokens` on a list of ids in each row, with the same numbers for the same key: `into` is a list of (masked, decision, input_id, label).
+
+    special: a list of booleans, true where a token may not be hidden. Nothing
+    leaves its row.
+    """
+    number = lambda kind, pos: hash_number(f"{seed}|{kind}", F.col(key), pos)
+    listed = F.arrays_zip(F.col(ids).alias("token"), (F.transform(ids, lambda _: F.lit(False)) if special is None else F.col(special)).alias("special"))
+    drawn = rows.withColumn(into, F.transform(listed, lambda x, pos: F.struct(x["token"].alias("token"), (~x["special"]).alias("may"), (~x["special"] & (number("mask", pos) < share)).alias("hit"), number("replace", pos).alias("u"))))
+    forced = F.when(F.exists(into, lambda x: x["hit"]), F.lit(0)).otherwise(F.array_position(F.transform(into, lambda x: x["may"]), True))  # from 1: the token that is hidden if chance hides none
+    told = drawn.withColumn(into, F.transform(into, lambda x, pos: F.struct((x["hit"] | (pos + 1 == forced)).alias("masked"), x["u"].alias("decision"), x["token"].alias("token"))))
+    put = lambda x, pos: replacement(x["decision"], x["token"], mask_id, vocabulary, number("token", pos))
+    return told.withColumn(into, F.transform(into, lambda x, pos: F.struct(x["masked"].alias("masked"), x["decision"].alias("decision"), F.when(x["masked"], put(x, pos)).otherwise(x["token"]).alias("input_id"), F.when(x["masked"], x["token"]).otherwise(F.lit(IGNORED)).alias("label"))))
+
+
+def mask_candidates(ids: Column, met: Column, decisions: Column, key: Column, candidate: Column, seed: int, mask_id: int, vocabulary: int) -> Column:
+    """A list of (input_id, label) of a candidate's tokens: one that overlaps a hidden reference token takes the decision of the first such.
+
+    met: the place of that token, -1 for none (`align.first_overlaps`);
+    decisions: the reference tokens'. An id by chance is drawn for each
+    candidate token, and no other segmentation shows what is hidden.
+    """
+    number = lambda pos: hash_number(f"{seed}|candidate", key, candidate, pos)
+    put = lambda x, pos: replacement(F.element_at(decisions, x["met"] + 1), x["token"], mask_id, vocabulary, number(pos))
+    hidden = lambda x, pos: F.struct(F.when(x["met"] >= 0, put(x, pos)).otherwise(x["token"]).alias("input_id"), F.when(x["met"] >= 0, x["token"]).otherwise(F.lit(IGNORED)).alias("label"))
+    return F.transform(F.arrays_zip(ids.alias("token"), met.alias("met")), hidden)
+
+
+def pad(rows: DataFrame, batch: str, ids: str, pad_id: int = 1, labels: str | None = None, spans: str | None = None) -> DataFrame:
+    """`rows` with input_ids, attention_mask, and labels and spans if they are named, as long as the longest of their batch: ids with `pad_id`, labels with IGNORED, spans with (-1, -1)."""
     longest = F.max(F.size(ids)).over(Window.partitionBy(batch))
     gap = longest - F.size(ids)
-    return rows.withColumn("attention_mask", F.concat(F.array_repeat(F.lit(1), F.size(ids)), F.array_repeat(F.lit(0), gap))).withColumn("input_ids", F.concat(F.col(ids), F.array_repeat(F.lit(pad_id), gap)))
+    out = rows.withColumn("attention_mask", F.concat(F.array_repeat(F.lit(1), F.size(ids)), F.array_repeat(F.lit(0), gap)))
+    for name, column, fill in ((ids, "input_ids", F.lit(pad_id)), (labels, "labels", F.lit(IGNORED)), (spans, "spans", F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end")))):
+        if name:
+            kind = rows.schema[name].dataType.simpleString()
+            out = out.withColumn(f"_{column}", F.concat(F.col(name), F.array_repeat(fill, gap).cast(kind)))
+    for column in ("input_ids", "labels", "spans"):
+        if f"_{column}" in out.columns:
+            out = out.withColumn(column, F.col(f"_{column}")).drop(f"_{column}")
+    return out
 
 
 def wrap(ids: Column, longest: int, begin: int = 0, end: int = 2) -> Column:

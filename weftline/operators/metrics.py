@@ -61,12 +61,41 @@ def mean_of_batch_means(rows: DataFrame, loss: str, batch: str, by: list[str], f
     return chosen.groupBy(*by, batch).agg(F.avg(loss).alias("_mean")).groupBy(*by).agg(F.avg("_mean").alias("loss"), F.count(F.lit(1)).alias("batches"))
 
 
-def accumulated(batches: DataFrame, steps: int, batch: str, loss: str, right: str, masked: str, tokens: str) -> DataFrame:
-    """Measures of each optimizer step of so many batches, and the tokens up to it. One row for each step comes together here."""
+def macro_loss(losses: DataFrame, loss: str = "loss") -> DataFrame:
+    """One row: the mean of the groups' losses, each weighing alike, and how many groups there are."""
+    return losses.agg(F.avg(loss).alias("macro_loss"), F.count(F.lit(1)).alias("groups"))
+
+
+def fused_evaluation(batches: DataFrame, by: list[str], mlm: str, routing: str, weight: str, share: float) -> DataFrame:
+    """Means over batches of the masked loss, the routing loss, the first candidate's weight, and of what training minimizes: the first and `share` of the second."""
+    return batches.groupBy(*by).agg(F.avg(mlm).alias("mlm_loss"), F.avg(routing).alias("routing_loss"), F.avg(weight).alias("reference_weight"), F.avg(total_loss(F.col(mlm), F.col(routing), share)).alias("total_loss"))
+
+
+def total_loss(mlm: Column, routing: Column, share: float) -> Column:
+    """The masked loss and `share` of the routing loss."""
+    return mlm + F.lit(float(share)) * routing
+
+
+def epoch_loss(steps: DataFrame, epoch: str = "epoch", loss: str = "loss") -> DataFrame:
+    """(epoch, loss, steps): the mean of each epoch's losses."""
+    return steps.groupBy(epoch).agg(F.avg(loss).alias("loss"), F.count(F.lit(1)).alias("steps"))
+
+
+def accumulated(batches: DataFrame, steps: int, batch: str, loss: str, right: str, masked: str, tokens: str, sequences: str | None = None) -> DataFrame:
+    """Measures of each optimizer step of so many batches, with the tokens, and sequences if there is a count of them, up to it.
+
+    There are as many steps as the corpus has batches: what comes before a step is added up by ranges (`order.ranked`), not in one task.
+    """
+    from .order import ranked
+
     step = batches.groupBy(F.floor(F.col(batch) / steps).cast("long").alias("step")).agg(
-        F.avg(loss).alias("loss"), (F.sum(right) / F.greatest(F.sum(masked), F.lit(1))).alias("masked_accuracy"), F.sum(tokens).cast("long").alias("tokens"), F.count(F.lit(1)).alias("microbatches")
-    )
-    return step.withColumn("tokens_so_far", F.sum("tokens").over(Window.orderBy("step")).cast("long"))
+        F.avg(loss).alias("loss"), (F.sum(right) / F.greatest(F.sum(masked), F.lit(1))).alias("masked_accuracy"), F.sum(tokens).cast("long").alias("tokens"), F.count(F.lit(1)).alias("microbatches"),
+        *([F.sum(sequences).cast("long").alias("sequences")] if sequences else []),
+    )
+    out = step.withColumn("_all", F.lit(0))
+    for counted in ("tokens", *(["sequences"] if sequences else [])):
+        out = ranked(out, "_all", "step", counted).drop("nth").withColumnRenamed("running", f"{counted}_so_far")
+    return out.drop("_all")
 
 
 def entropy(shares: Column, least: float = 1e-8) -> Column:
@@ -80,6 +109,17 @@ def mean_vector(rows: DataFrame, vector: str, by: list[str], mask: str | None =
     return chosen.select(*by, F.posexplode(vector).alias("dim", "x")).groupBy(*by, "dim").agg(F.avg(F.col("x").cast("double")).alias("value"))
 
 
+def looked_up(rows: DataFrame, ids: str, table: DataFrame, key: str, vector: str, by: list[str]) -> DataFrame:
+    """(…, dim, total, tokens): the sum of the vectors of all ids in the lists of a group, and how many ids there are.
+
+    What comes of an id is the same for each occurrence, so that ids are counted
+    before they meet their vectors, and vectors are opened last.
+    """
+    counts = rows.select(*by, F.explode(ids).alias(key)).groupBy(*by, key).agg(F.count(F.lit(1)).alias("_n"))
+    met = counts.join(table.select(key, vector), key).select(*by, "_n", F.posexplode(vector).alias("dim", "_x"))
+    return met.groupBy(*by, "dim").agg(F.sum("_n").cast("long").alias("tokens"), F.sum(F.col("_n") * F.col("_x").cast("double")).alias("total"))
+
+
 def argmax(values: Column) -> Column:
     """Place from 0 of the first largest number of an array."""
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")

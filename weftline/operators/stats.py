@@ -13,19 +13,16 @@ from pyspark.sql.types import DoubleType
 
 from ..functions.student import t_quantile, t_two_sided
 
-#: Most seeds whose quantiles are tabulated; more are too many to be seeds.
-MOST_SEEDS = 200
-
-
-def _by_freedom(values: dict[int, float], n: Column) -> Column:
-    table = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v))])
-    return table[n.cast("int")]
-
-
 def seed_summary(scores: DataFrame, by: list[str], score: str = "score", confidence: float = 0.95) -> DataFrame:
     """n, mean, standard deviation and t interval of each group's scores; one score has no spread, and its interval is itself."""
     out = scores.groupBy(*by).agg(F.count(score).alias("n"), F.avg(score).alias("mean"), F.coalesce(F.stddev_samp(score), F.lit(0.0)).alias("sd"))
-    quantile = _by_freedom({k + 1: t_quantile((1 + confidence) / 2, k) for k in range(1, MOST_SEEDS)}, F.col("n"))
+
+    @F.arrow_udf(DoubleType())
+    def quantile_of(n: pa.Array) -> pa.Array:
+        known = {k: t_quantile((1 + confidence) / 2, k - 1) for k in set(n.to_pylist()) if k > 1}
+        return pa.array([known.get(k) for k in n.to_pylist()], pa.float64())
+
+    quantile = quantile_of("n")
     half = F.when(F.col("n") > 1, quantile * F.col("sd") / F.sqrt("n")).otherwise(F.lit(0.0))
     return out.withColumn("lower", F.col("mean") - half).withColumn("upper", F.col("mean") + half)
 

@@ -290,6 +290,13 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "language", F.col("pos").cast("long").alias("pos"), F.col("x.words").alias("word"), F.col("x.spans.start").cast("long").alias("start"), F.col("x.spans.end").cast("long").alias("end"))
 
 
+def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's words and their spans, and the chunks that stand for another segmentation: lists in one row."""
+    sized = _prepared(spark, sf_dir).select("doc_id", "language", T.words(F.col("text"), collapsed=True).alias("words"), F.length("text").alias("n")).where("n > 0")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CHUNK).cast("int")), lambda i: F.struct((i * CHUNK).alias("start"), F.least(F.col("n"), (i + 1) * CHUNK).alias("end")))
+    return sized.select("doc_id", "language", "words", T.word_spans(F.col("words")).alias("spans"), cut.alias("chunks"))
+
+
 @query("word_spans", _SPANS + ' SELECT doc_id, pos::bigint AS pos, word, start::bigint AS start, "end"::bigint AS "end" FROM whole')
 def word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(spark, sf_dir).select("doc_id", "pos", "word", "start", "end")
@@ -301,31 +308,29 @@ _CHUNKS = f", sizes AS (SELECT doc_id, length(text) AS n FROM prepared), chunks
 _EDGES = _SPANS + _CHUNKS + ', edges AS (SELECT c.doc_id, c.pos AS l_pos, w.pos AS r_pos, w.word, least(c."end", w."end") - greatest(c.start, w.start) AS weight FROM cut c JOIN whole w ON c.doc_id = w.doc_id AND c.start < w."end" AND c."end" > w.start)'
 
 
-def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = _prepared(spark, sf_dir).select("doc_id", F.length("text").alias("n")).where("n > 0")
-    cut = sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK).cast("long"))).alias("pos"))
-    return cut.select("doc_id", "pos", (F.col("pos") * CHUNK).alias("start"), F.least(F.col("n").cast("long"), (F.col("pos") + 1) * CHUNK).alias("end"))
-
-
 @query("alignment_edges", _EDGES + " SELECT doc_id, l_pos::bigint AS l_pos, r_pos::bigint AS r_pos, weight::bigint AS weight FROM edges")
 def alignment_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _spans(spark, sf_dir).select("doc_id", "pos", "start", "end")
-    return align.overlaps(_chunks(spark, sf_dir), words, ["doc_id"]).select("doc_id", "l_pos", "r_pos", "weight")
+    rows = _lists(spark, sf_dir).select("doc_id", F.inline(align.overlap_edges("chunks", "spans")))
+    return rows.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("l_pos", "r_pos", "weight")))
+
+
+#: The vectors in the order of their ids, numbered from 0; keys map onto all of them.
+_VECTORS = "numbered AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS place, vec_id, embedding, count(*) OVER () AS n FROM embeddings)"
 
 
 @query(
     "alignment_projection",
-    _EDGES + """, p AS (SELECT e.doc_id, e.r_pos, sum(e.weight * v.embedding[1]::double) / sum(e.weight) AS x FROM edges e JOIN embeddings v ON v.vec_id = (e.doc_id + e.l_pos) % 500 GROUP BY 1, 2)
-    SELECT doc_id, count(*)::bigint AS words, round(sum(x), 4) AS total FROM p GROUP BY 1""",
+    _EDGES + f""", {_VECTORS}, k AS (SELECT max(n) AS n FROM numbered), flat AS (SELECT place, i - 1 AS dim, embedding[i]::double AS x FROM numbered, range(1, 65) r(i)),
+    p AS (SELECT e.doc_id, e.r_pos, v.dim, sum(e.weight * v.x) / sum(e.weight) AS x FROM edges e, k JOIN flat v ON v.place = (e.doc_id + e.l_pos) % k.n GROUP BY 1, 2, 3)
+    SELECT doc_id, dim::int AS dim, round(avg(x), 4) + 0.0 AS value FROM p GROUP BY 1, 2""",
 )
 def alignment_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id"), F.slice("embedding", 1, 1).alias("vector"))
-    pick = lambda rows, pos: rows.join(vectors, F.pmod(F.col("doc_id") + F.col(pos), F.lit(500)) == F.col("vec_id"))
-    words = _spans(spark, sf_dir).select("doc_id", "pos", "start", "end")
-    chunks = _chunks(spark, sf_dir)
-    edges = align.overlaps(chunks, words, ["doc_id"])
-    out = align.project(edges, pick(chunks, "pos").select("doc_id", "pos", "vector"), pick(words, "pos").select("doc_id", "pos", "vector"), ["doc_id"])
-    return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), _r(F.sum("value"), 4).alias("total"))
+    """Each text's words as the mean of the chunks they overlap, in all dimensions, pooled over the text."""
+    table = align.vector_table(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    pick = lambda spans: F.transform(spans, lambda _, pos: F.pmod(F.col("doc_id") + pos, F.lit(len(table))))
+    rows = _lists(spark, sf_dir).withColumn("chunk_ids", pick("chunks")).withColumn("word_ids", pick("spans"))
+    out = align.project_rows(rows, table, "doc_id", "chunks", "chunk_ids", "spans", "word_ids", pooled=True)
+    return out.select("doc_id", F.posexplode("vectors").alias("dim", "x")).select("doc_id", "dim", (_r("x", 4) + 0.0).alias("value"))
 
 
 @query(
@@ -335,8 +340,9 @@ def alignment_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT c.doc_id, c.pos::bigint AS pos, coalesce(CASE WHEN rn = 1 THEN length(word) % 5 END, -100)::int AS label FROM cut c LEFT JOIN given g ON g.doc_id = c.doc_id AND g.l_pos = c.pos""",
 )
 def token_label_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _spans(spark, sf_dir).select("doc_id", F.col("pos").alias("idx"), "start", "end", (F.length("word") % 5).alias("label"))
-    return align.transfer_labels(_chunks(spark, sf_dir), words, ["doc_id"])
+    labels = F.transform("words", lambda w: F.length(w) % 5)
+    rows = _lists(spark, sf_dir).withColumn("labels", labels)
+    return rows.select("doc_id", F.posexplode(align.labels_of("chunks", "spans", "labels")).alias("pos", "label")).select("doc_id", F.col("pos").cast("long").alias("pos"), "label")
 
 
 MASK = dict(seed=42, share=0.15, mask_id=4, vocabulary=1000)
@@ -345,35 +351,43 @@ masked AS (SELECT *, hit OR (NOT bool_or(hit) OVER (PARTITION BY doc_id) AND pos
 
 
 def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = _spans(spark, sf_dir).select("doc_id", "pos", F.length("word").alias("token"), "start", "end")
-    return mask.mask_tokens(tokens, ["doc_id"], **MASK)
+    rows = _lists(spark, sf_dir).withColumn("ids", F.transform("words", lambda w: F.length(w)))
+    return mask.mask_lists(rows, "ids", "doc_id", **MASK)
 
 
 @query("mlm_mask", _SPANS + _DRAWN + " SELECT doc_id, pos::bigint AS pos, masked, (CASE WHEN NOT masked THEN token WHEN u2 < 0.8 THEN 4 WHEN u2 < 0.9 THEN floor(u3 * 1000)::int ELSE token END)::int AS input_id, (CASE WHEN masked THEN token ELSE -100 END)::int AS label FROM masked")
 def mlm_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _masked(spark, sf_dir).select("doc_id", "pos", "masked", F.col("input_id").cast("int").alias("input_id"), F.col("label").cast("int").alias("label"))
+    rows = _masked(spark, sf_dir).select("doc_id", F.posexplode("masking").alias("pos", "x"))
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "x.masked", F.col("x.input_id").cast("int").alias("input_id"), F.col("x.label").cast("int").alias("label"))
 
 
 @query(
     "candidate_mask_propagation",
-    _SPANS + _CHUNKS + _DRAWN + """, met AS (SELECT c.doc_id, c.pos, min_by(m.u2, m.pos) AS u2, min(m.pos) AS ref FROM cut c JOIN masked m ON m.masked AND m.doc_id = c.doc_id AND c.start < m."end" AND c."end" > m.start GROUP BY 1, 2)
-    SELECT doc_id, pos::bigint AS pos, ref::bigint AS reference_pos, round(u2, 9) AS decision FROM met""",
+    _SPANS + _CHUNKS + _DRAWN + f""", met AS (SELECT c.doc_id, c.pos, min_by(m.u2, m.pos) AS u2, min(m.pos) AS ref FROM cut c JOIN masked m ON m.masked AND m.doc_id = c.doc_id AND c.start < m."end" AND c."end" > m.start GROUP BY 1, 2),
+    tokens_of AS (SELECT c.doc_id, c.pos, c.pos % 97 + 5 AS token, met.ref, met.u2, {_number("'42|candidate|' || c.doc_id || '|1|' || c.pos")} AS u4 FROM cut c LEFT JOIN met USING (doc_id, pos))
+    SELECT doc_id, pos::bigint AS pos, coalesce(ref, -1)::bigint AS reference_pos, round(u2, 9) AS decision, (CASE WHEN ref IS NULL THEN token WHEN u2 < 0.8 THEN 4 WHEN u2 < 0.9 THEN floor(u4 * 1000)::int ELSE token END)::int AS input_id, (CASE WHEN ref IS NULL THEN -100 ELSE token END)::int AS label FROM tokens_of""",
 )
 def candidate_mask_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hidden = _masked(spark, sf_dir).where("masked").select("doc_id", "pos", "start", "end", "decision")
-    candidates = _chunks(spark, sf_dir).withColumn("candidate", F.lit(1))
-    return align.propagate_masks(candidates, hidden, ["doc_id"]).select("doc_id", "pos", "reference_pos", _r("decision", 9).alias("decision"))
+    """Every token of the other segmentation, with what hides it, what takes its place, and its label."""
+    rows = _masked(spark, sf_dir).withColumn("met", align.first_overlaps("chunks", "spans", F.col("masking.masked")))
+    ids = F.transform("chunks", lambda _, pos: pos % 97 + 5)
+    hidden = mask.mask_candidates(ids, F.col("met"), F.col("masking.decision"), F.col("doc_id"), F.lit(1), MASK["seed"], MASK["mask_id"], MASK["vocabulary"])
+    told = rows.select("doc_id", F.posexplode(F.arrays_zip("met", hidden.alias("hidden"), F.transform("met", lambda m: F.when(m >= 0, F.element_at(F.col("masking.decision"), m + 1))).alias("decision"))).alias("pos", "x"))
+    return told.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("x.met").cast("long").alias("reference_pos"), _r("x.decision", 9).alias("decision"), F.col("x.hidden.input_id").cast("int").alias("input_id"), F.col("x.hidden.label").cast("int").alias("label"))
 
 
 @query(
     "padding_plan",
-    f"WITH {_PREPARED}, {_TURNS}, s AS (SELECT doc_id, position // 16 AS batch, len(string_split(text, ' ')) AS n FROM stream) SELECT doc_id, batch::bigint AS batch, n::bigint AS tokens, (max(n) OVER (PARTITION BY batch) - n)::bigint AS padding FROM s",
+    f"WITH {_PREPARED}, {_TURNS}, s AS (SELECT doc_id, position // 16 AS batch, len(string_split(text, ' ')) AS n, length(text) AS size FROM stream), m AS (SELECT *, max(n) OVER (PARTITION BY batch) - n AS padding FROM s) SELECT doc_id, batch::bigint AS batch, n::bigint AS tokens, padding::bigint AS padding, (-100 * padding + n)::bigint AS labels, (size - n + 1 - 2 * padding)::bigint AS spans FROM m",
 )
 def padding_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = _words(spark, sf_dir).select("doc_id", F.transform("words", lambda w: F.length(w)).alias("ids"))
-    rows = mask.pad(order.batches(corpus_round_robin(spark, sf_dir), 16).join(ids, "doc_id"), "batch", "ids")
-    tokens = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
-    return rows.select("doc_id", "batch", tokens.cast("long").alias("tokens"), (F.size("input_ids") - tokens).cast("long").alias("padding"))
+    """Batches with their ids, labels (1 each) and spans padded: sums of what comes of them."""
+    ids = _lists(spark, sf_dir).select("doc_id", F.transform("words", lambda w: F.length(w)).alias("ids"), F.transform("words", lambda w: F.lit(1)).alias("ones"), "spans")
+    rows = mask.pad(order.batches(corpus_round_robin(spark, sf_dir), 16).join(ids, "doc_id"), "batch", "ids", labels="ones", spans="spans")
+    total = lambda values, of=lambda x: x: F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + of(x))
+    # the words' lengths, and one blank between them, are the text's; padding spans count -1 and -1
+    spans = total("spans", lambda x: F.when(x["start"] >= 0, x["end"] - x["start"]).otherwise(x["start"] + x["end"]))
+    return rows.select("doc_id", "batch", total("attention_mask").alias("tokens"), (F.size("input_ids") - total("attention_mask")).cast("long").alias("padding"), total("labels").alias("labels"), spans.alias("spans"))
 
 
 @query("char_ngrams", f"WITH {_PREPARED}, g AS (SELECT language, unnest(range(1, length(text) + 1)) AS i, text FROM prepared), n AS (SELECT language, text[i:i + 1] AS gram FROM g WHERE i + 1 <= length(text) UNION ALL SELECT language, text[i:i + 2] FROM g WHERE i + 2 <= length(text)) SELECT language, gram, count(*)::bigint AS n FROM n GROUP BY 1, 2")
@@ -446,17 +460,25 @@ def routing_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(_r(F.avg(metrics.entropy(F.col("shares")))).alias("entropy"), *(_r(F.avg(F.col("shares")[i])).alias(n) for i, n in enumerate(("first", "second", "third"))))
 
 
+def _placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The vectors with their place by id, and how many there are: a model's table, whose size doesn't follow the corpus."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return order.ranked(vectors.select("vec_id", F.lit(0).alias("_all")), "_all", "vec_id").select("vec_id", (F.col("nth") - 1).alias("place")).join(vectors, "vec_id").select("place", "embedding"), vectors.count()
+
+
 @query(
     "fusion_weights",
-    _SHARES + """, c AS (SELECT s.*, r.candidate, """ + _number("s.doc_id || '|prior|' || r.candidate") + """ AS prior, v.embedding[1]::double AS gate FROM s, range(3) r(candidate) JOIN embeddings v ON v.vec_id = (s.doc_id + r.candidate) % 500),
+    _SHARES + f""", {_VECTORS}, k AS (SELECT max(n) AS n FROM numbered), c AS (SELECT s.*, r.candidate, """ + _number("s.doc_id || '|prior|' || r.candidate") + """ AS prior, list_sum(list_transform(v.embedding, lambda x: x::double)) / len(v.embedding) AS gate FROM s, k, range(3) r(candidate) JOIN numbered v ON v.place = (s.doc_id + r.candidate) % k.n),
     l AS (SELECT doc_id, candidate, ln(greatest(prior, 1.1920928955078125e-07)) + 2 * (CASE candidate WHEN 0 THEN .8 * p0 + .1 * p1 + .1 * p2 WHEN 1 THEN .1 * p0 + .8 * p1 + .1 * p2 ELSE .1 * p0 + .1 * p1 + .8 * p2 END) + gate AS logit FROM c),
     z AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY doc_id)) AS e FROM l) SELECT doc_id, candidate::int AS candidate, round(e / sum(e) OVER (PARTITION BY doc_id), 6) AS weight FROM z""",
 )
 def fusion_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gates = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("gate"))
+    """The gate is the mean of a vector's dimensions."""
+    placed, n = _placed(spark, sf_dir)
+    mean = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size("embedding")
     rows = _shares(_candidates(spark, sf_dir, 3)).withColumn("prior", T.hash_number(F.col("doc_id"), "prior", F.col("candidate")))
     rows = rows.withColumn("evidence", F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.when(i == F.col("candidate"), 0.8).otherwise(0.1)))
-    rows = rows.join(gates, F.pmod(F.col("doc_id") + F.col("candidate"), F.lit(500)) == F.col("vec_id"))
+    rows = rows.join(placed.select("place", mean.alias("gate")), F.pmod(F.col("doc_id") + F.col("candidate"), F.lit(n)) == F.col("place"))
     out = fuse.fusion_weights(rows, ["doc_id"], "prior", "evidence", "shares", F.col("gate"), beta=2.0)
     return out.select("doc_id", "candidate", _r("weight").alias("weight"))
 
@@ -470,7 +492,31 @@ def toy_lattice() -> subword.Lattice:
     return subword.Lattice([*((s, 0.0) for s in subword.SPECIALS), *TOY, *((c, -4.0) for c in "abcdefghijklmnopqrstuvwxyz")])
 
 
-@query("lattice_kbest")
+_TOY = ", ".join(f"('{p}', {score})" for p, score in [*TOY, *((c, -4.0) for c in "abcdefghijklmnopqrstuvwxyz")])
+
+
+def _ways(name: str, arcs: str, most: int) -> str:
+    """Recursive steps over the places of words: of the ways to a place the best `most` go on, equal ones in the order in which they came up."""
+    return f"""{name} AS (SELECT word, length(word) AS n, 0 AS i, 0 AS stop, 0.0::double AS score, '' AS path, []::bigint[] AS came, 0 AS pieces, false AS unknown FROM w
+      UNION ALL SELECT x.word, x.n, x.i + 1, coalesce(s.stop, x.stop), x.score + coalesce(s.score, 0), x.path || CASE WHEN s.piece IS NULL THEN '' ELSE CASE WHEN x.path = '' OR (x.unknown AND s.unknown) THEN '' ELSE ' ' END || s.piece END,
+        CASE WHEN s.piece IS NULL THEN x.came ELSE list_prepend(x.i, x.came) END, x.pieces + (s.piece IS NOT NULL AND NOT (x.unknown AND s.unknown))::int, coalesce(s.unknown, x.unknown)
+      FROM (SELECT *, row_number() OVER (PARTITION BY word, stop ORDER BY score DESC, came) AS nth FROM {name} WHERE i < n) x
+      LEFT JOIN {arcs} s ON s.word = x.word AND s.start = x.i AND x.stop = x.i WHERE x.stop > x.i OR (x.nth <= {most} AND s.piece IS NOT NULL))"""
+
+
+@query(
+    "lattice_kbest",
+    _WORDS.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", w AS (SELECT DISTINCT word FROM tokens), toy(piece, score) AS (VALUES {_TOY}), places AS (SELECT word, unnest(range(length(word))) AS start FROM w),
+    arcs AS (SELECT word, start, piece, score::double AS score, start + length(piece) AS stop, false AS unknown FROM places JOIN toy ON substr(word, start + 1, length(piece)) = piece),
+    {_ways('ways', 'arcs', 3)},
+    best AS (SELECT word, row_number() OVER (PARTITION BY word ORDER BY score DESC, came) - 1 AS candidate, score, path FROM ways WHERE i = n AND stop = n AND n > 0 QUALIFY candidate < 3),
+    lost AS (SELECT word FROM w WHERE word NOT IN (SELECT word FROM best)),
+    more AS (SELECT * FROM arcs WHERE word IN (SELECT word FROM lost) UNION ALL SELECT p.word, p.start, substr(p.word, p.start + 1, 1), -14.0, p.start + 1, true FROM places p JOIN lost USING (word) WHERE NOT regexp_full_match(substr(p.word, p.start + 1, 1), '[a-z]')),
+    {_ways('one', 'more', 1)}
+    SELECT word, candidate::int AS candidate, score, path AS pieces FROM best
+    UNION ALL SELECT word, 0, -20.0 * pieces, path FROM one WHERE i = n AND stop = n AND n > 0 AND word IN (SELECT word FROM lost) QUALIFY row_number() OVER (PARTITION BY word ORDER BY score DESC, came) = 1""",
+)
 def lattice_kbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     distinct = order.for_python(_words(spark, sf_dir).select(F.explode("words").alias("word")).distinct(), "word")
     out = subword.word_segmentations(distinct, toy_lattice(), 3)
@@ -486,14 +532,18 @@ VOCABULARY = 50_000
 def _training_counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The prepared corpus, and the counts of the words in its training budget."""
     rows = _prepared(spark, sf_dir)
+    return rows, subword.word_counts(_fit_texts(rows), collapsed=True)
+
+
+def _fit_texts(rows: DataFrame) -> DataFrame:
     budget = corpus.training_budget(rows, HOW, FIT_BYTES, "doc_id").select("doc_id")
-    return rows, subword.word_counts(rows.join(budget, "doc_id", "left_semi"), collapsed=True)
+    return rows.join(budget, "doc_id", "left_semi")
 
 
 def _fitted(spark: SparkSession, sf_dir: str, vocabulary: int = VOCABULARY) -> tuple[DataFrame, subword.Merges]:
-    """The prepared corpus, and merges fitted on all words of the training budget."""
-    rows, counts = _training_counts(spark, sf_dir)
-    found = counts.toArrow()
+    """The prepared corpus, and merges fitted on all parts of the texts of the training budget, whose bytes bound what the driver holds."""
+    rows = _prepared(spark, sf_dir)
+    found = subword.part_counts(_fit_texts(rows)).toArrow()
     return rows, subword.fit_merges(zip(found["word"].to_pylist(), found["n"].to_pylist(), strict=True), vocabulary)
 
 
@@ -506,7 +556,7 @@ def bpe_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("bpe_token_balance")
 def bpe_token_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, merges = _fitted(spark, sf_dir)
-    return token_balance(subword.merge_token_counts(rows, merges, ["language"], collapsed=True))
+    return token_balance(subword.merge_token_counts(rows, merges, ["language"]))
 
 
 def token_balance(counts: DataFrame) -> DataFrame:
@@ -572,8 +622,7 @@ def _diagnosed(held: DataFrame, merges: subword.Merges, lattice: subword.Lattice
     count = lambda ids: F.size(F.filter(ids, lambda x: x == unknown))
     none = F.lit(None).cast("double")
     sizes = held.agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("text")).cast("long").alias("characters"))
-    counts = subword.marked_words(held, [], "text", True).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    spelled = subword.merge_pieces(order.for_python(counts, "word"), merges)
+    spelled = subword.merge_pieces(order.for_python(subword.part_counts(held), "word"), merges)
     tokens = spelled.agg(F.lit("merges").alias("arm"), F.sum(F.col("n") * F.size("pieces")).cast("long").alias("tokens"), F.sum(F.col("n") * count(F.col("pieces.id"))).cast("long").alias("unknown"), none.alias("mean_candidate_count"), none.alias("mean_top_candidate_probability"))
     each = Window.partitionBy("doc_id")
     weighed = _weighed(held, lattice, prior).withColumn("_kept", F.count(F.lit(1)).over(each)).withColumn("_first", F.min("candidate").over(each)).where("candidate = _first")
@@ -626,7 +675,11 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(stats.paired_bootstrap(rows, ["task"], "doc_id", samples=10_000, seed=1), "observed", "mean", "lower", "upper", "p")
 
 
-@query("statistics_report")
+@query(
+    "statistics_report",
+    f"""WITH {_ACCURACY}, d AS (SELECT *, proposed - baseline AS d FROM acc), s AS (SELECT avg(baseline) AS b, {_T4} * stddev_samp(baseline) / sqrt(5) AS bh, avg(proposed) AS p, {_T4} * stddev_samp(proposed) / sqrt(5) AS ph, avg(d) AS m, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM d)
+    SELECT 'quality' AS task, printf('| quality | %.4f [%.4f, %.4f] | %.4f [%.4f, %.4f] | %+.4f | %.4g |', b, b - bh, b + bh, p, p - ph, p + ph, m, 2 * (1 - (0.5 + 0.375 * abs(t) / sqrt(1 + t * t / 4) * (1 - t * t / (12 * (1 + t * t / 4)))))) AS line FROM s""",
+)
 def statistics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = stats.statistics_report(_arms(spark, sf_dir), ["task"], "seed", "arm", "score", "baseline", "proposed")
     return stats.report_lines(report, ["task"]).select("task", "line")
@@ -717,33 +770,37 @@ def config_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(identity(config), comparison_id(config))], "identity string, comparison string")
 
 
-@query("capped_stream_ingest")
+@query(
+    "capped_stream_ingest",
+    """WITH t AS (SELECT doc_id, lang AS language, strlen(text) AS bytes, md5(text) AS digest, sum(strlen(text)) OVER (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS running FROM documents WHERE text <> '')
+       SELECT doc_id, language, bytes::bigint AS bytes, running::bigint AS running, digest FROM t WHERE running <= 200000""",
+)
 def capped_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream over files in order keeps what the batch cap keeps."""
+    """Files come in four times, by id; the stream goes on each time, and keeps the records, texts too, that the batch cap keeps."""
     import uuid
 
-    from ..storage import shared_folder
+    from ..storage import discard, shared_folder
     from ..streaming.ingest import ingest
 
     base = f"{shared_folder(spark)}/weftline/stream-{uuid.uuid4().hex}"
-    rows = _records(spark, sf_dir)
-    cuts = rows.approxQuantile("doc_id", [0.25, 0.5, 0.75], 0.01)
-    for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
-        part = rows if low is None else rows.where(F.col("doc_id") > low)
-        part = part if high is None else part.where(F.col("doc_id") <= high)
-        part.coalesce(1).write.mode("append").parquet(f"{base}/source")
-    ingest(spark, f"{base}/source", rows.schema, f"{base}/kept", f"{base}/checkpoint", 200_000, "doc_id")
-    return spark.read.parquet(f"{base}/kept").select("doc_id", "language", "bytes", "running")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language"), "text")
+    ends = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    part = F.least(F.lit(3), F.floor((F.col("doc_id") - ends["low"]) * 4 / max(1, ends["high"] - ends["low"] + 1)))
+    for k in range(4):
+        rows.where(part == k).write.mode("append").parquet(f"{base}/source")
+        ingest(spark, f"{base}/source", rows.schema, f"{base}/target", f"{base}/checkpoint", 200_000, "doc_id", files_per_batch=1_000_000)
+    discard(spark, base)
+    return spark.read.parquet(f"{base}/target/kept").select("doc_id", "language", "bytes", "running", F.md5("text").alias("digest"))
 
 
 # --- more of the same operators -------------------------------------------------
-@query("embedding_lookup", _WORDS + " SELECT t.doc_id, count(*)::bigint AS tokens, round(sum(v.embedding[1]::double), 4) AS total FROM tokens t JOIN embeddings v ON v.vec_id = length(t.word) GROUP BY 1")
+@query("embedding_lookup", _WORDS + f", {_VECTORS}, k AS (SELECT max(n) AS n FROM numbered), c AS (SELECT doc_id, length(word) % k.n AS place, count(*) AS c FROM tokens, k GROUP BY 1, 2) SELECT c.doc_id, (i - 1)::int AS dim, sum(c.c)::bigint AS tokens, round(sum(c.c * v.embedding[i]::double), 4) + 0.0 AS total FROM c JOIN numbered v ON v.place = c.place, range(1, 65) r(i) GROUP BY 1, 2")
 def embedding_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each token's vector by its id: what is needed of a token is counted before the join."""
-    ids = _words(spark, sf_dir).select("doc_id", F.explode("words").alias("word")).groupBy("doc_id", F.length("word").alias("vec_id")).agg(F.count(F.lit(1)).alias("n"))
-    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"))
-    out = ids.join(vectors, ids["vec_id"] == vectors["vec_id"]).groupBy("doc_id").agg(F.sum("n").cast("long").alias("tokens"), F.sum(F.col("n") * F.col("x")).alias("total"))
-    return out.select("doc_id", "tokens", _r("total", 4).alias("total"))
+    """The sum of the vectors of each text's tokens, in all dimensions."""
+    placed, n = _placed(spark, sf_dir)
+    ids = _words(spark, sf_dir).select("doc_id", F.transform("words", lambda w: F.pmod(F.length(w), F.lit(n))).alias("ids"))
+    out = metrics.looked_up(ids, "ids", placed, "place", "embedding", ["doc_id"])
+    return out.select("doc_id", "dim", "tokens", (_r("total", 4) + 0.0).alias("total"))
 
 
 @query("seeded_shuffle", f"WITH {_PREPARED} SELECT doc_id, (row_number() OVER (ORDER BY {_number(chr(39) + '42|1|' + chr(39) + ' || doc_id')}, doc_id) - 1)::bigint AS position FROM prepared")
@@ -813,11 +870,12 @@ def candidate_span_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(bad, "doc_id", "left").select("doc_id", "candidates", F.coalesce("bad", F.lit(0)).alias("bad"))
 
 
-@query("fused_vectors", f"SELECT f.doc_id, 0 AS pos, (i - 1)::int AS dim, round(sum(weight * embedding[i]::double), 5) AS value FROM ({ORACLES['fusion_weights']}) f JOIN embeddings v ON v.vec_id = (f.doc_id + f.candidate) % 500, range(1, 5) r(i) GROUP BY 1, 3")
+@query("fused_vectors", f"WITH {_VECTORS}, k AS (SELECT max(n) AS n FROM numbered) SELECT f.doc_id, 0 AS pos, (i - 1)::int AS dim, round(sum(weight * embedding[i]::double), 5) + 0.0 AS value FROM ({ORACLES['fusion_weights']}) f, k JOIN numbered v ON v.place = (f.doc_id + f.candidate) % k.n, range(1, 65) r(i) GROUP BY 1, 3")
 def fused_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted sums of three candidates' vectors, by document: each weight's softmax, times what it weighs."""
+    """Weighted sums of three candidates' vectors, by document and dimension: each weight's softmax, times what it weighs."""
     weights = fusion_weights(spark, sf_dir)
-    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("dim", "value"))
-    rows = _candidates(spark, sf_dir, 3).join(vectors, F.pmod(F.col("doc_id") + F.col("candidate"), F.lit(500)) == F.col("vec_id"))
+    placed, n = _placed(spark, sf_dir)
+    vectors = placed.select("place", F.posexplode("embedding").alias("dim", "value"))
+    rows = _candidates(spark, sf_dir, 3).join(vectors, F.pmod(F.col("doc_id") + F.col("candidate"), F.lit(n)) == F.col("place"))
     rows = rows.select("doc_id", "candidate", F.lit(0).alias("pos"), "dim", F.col("value").cast("double").alias("value"))
-    return fuse.fused_vectors(weights, rows, ["doc_id"]).select("doc_id", "pos", "dim", _r("value", 5).alias("value"))
+    return fuse.fused_vectors(weights, rows, ["doc_id"]).select("doc_id", "pos", "dim", (_r("value", 5) + 0.0).alias("value"))
