@@ -257,31 +257,51 @@ def test_router_ignores_padding():
 
 
 def test_corpus_folders(spark, tmp_path):
+    root = f"file://{tmp_path}"
     rows = spark.createDataFrame([(i, "en", f"text {i}") for i in range(25)], "source_order long, language string, text string")
-    about = S.write_language(rows, tmp_path / "en", rows_per_shard=10)
+    about = S.write_language(rows, f"{root}/en", rows_per_shard=10)
     assert about["parts"] == ["part-000000.parquet", "part-000001.parquet", "part-000002.parquet"]
-    assert S.validate_shards(spark, tmp_path / "en") == {"rows": 25, "parts": 3, "disk_bytes": sum(p.stat().st_size for p in (tmp_path / "en").glob("*.parquet")), "text_bytes": about["actual_text_bytes"]}
-    assert [r.text for r in S.read_corpus(spark, tmp_path, ("en",)).orderBy("source_order").collect()] == [f"text {i}" for i in range(25)]
+    assert S.validate_shards(spark, f"{root}/en") == {"rows": 25, "parts": 3, "disk_bytes": sum(p.stat().st_size for p in (tmp_path / "en").glob("*.parquet")), "text_bytes": about["actual_text_bytes"]}
+    assert [r.text for r in S.read_corpus(spark, root, ("en",)).orderBy("source_order").collect()] == [f"text {i}" for i in range(25)]
+    assert S.after(S.read_corpus(spark, root, ("en",)), 7).count() == 18
     with pytest.raises(Exception, match="another language"):
-        S.read_language(spark, tmp_path / "en", "es").collect()
+        S.read_language(spark, f"{root}/en", "es").collect()
     with pytest.raises(FileExistsError):
-        S.write_language(rows, tmp_path / "en")
-    changed = json.loads((tmp_path / "en/metadata.json").read_text()) | {"rows": 26}
-    (tmp_path / "en/metadata.json").write_text(json.dumps(changed))
+        S.write_language(rows, f"{root}/en")
+    S.write_language(rows.withColumn("language", F.lit("es")).limit(3), f"{root}/es")
+    assert set(S.validate_sources(spark, root, ("en", "es"), 1000)) == {"en", "es"}
+    with pytest.raises(ValueError, match="apart"):
+        S.validate_sources(spark, root, ("en", "es"), 10)
+    good = (tmp_path / "en/metadata.json").read_text()
+    (tmp_path / "en/metadata.json").write_text(json.dumps(json.loads(good) | {"rows": 26}))
+    (tmp_path / "en/.metadata.json.crc").unlink(missing_ok=True)
     with pytest.raises(ValueError):
-        S.validate_shards(spark, tmp_path / "en")
+        S.validate_shards(spark, f"{root}/en")
+    (tmp_path / "en/metadata.json").write_text(good)
+    spark.createDataFrame([("en", 1)], "language string, more int").coalesce(1).write.parquet(f"{root}/odd")
+    next((tmp_path / "odd").glob("*.parquet")).rename(tmp_path / "en/part-000002.parquet")
+    (tmp_path / "en/.part-000002.parquet.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError, match="columns"):
+        S.validate_shards(spark, f"{root}/en")
 
 
 def test_downstream(spark, tmp_path):
     raw = spark.createDataFrame([(["a", "b"], ["O", "B"], "train"), (["c"], ["O"], "test")], "hindi_words array<string>, labels array<string>, split string")
     rows = D.canonical(raw, "org/x_NER_EN_HI")
     assert rows.columns == ["split", "tokens", "ner_tags", "text", "task", "language_pair"] and {r.text for r in rows.collect()} == {"a b", "c"}
-    assert D.save(rows, tmp_path / "d") == {"train": 1, "test": 1} and D.load(spark, tmp_path / "d").count() == 2
+    place = f"file://{tmp_path}/d"
+    assert D.save(rows, place) == {"train": 1, "test": 1} and D.load(spark, place).count() == 2
+    assert D.save(rows, place) == {"train": 1, "test": 1} == D.validate(spark, place)
+    (tmp_path / "d/split=dev").mkdir()
+    with pytest.raises(ValueError, match="dev"):
+        D.validate(spark, place)
     assert D.limited(rows.withColumn("i", F.lit(1)), 1, "i").count() == 2
     with pytest.raises(ValueError):
         D.task_of("org/none")
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e/other").write_text("x")
     with pytest.raises(FileExistsError):
-        D.save(rows, tmp_path / "d")
+        D.save(rows, f"file://{tmp_path}/e")
 
 
 def test_provenance(tmp_path):
@@ -303,10 +323,32 @@ def test_provenance(tmp_path):
     for broken in (lambda: P.validate_plan(plan, lambda k: "t"), lambda: P.write_or_reuse_plan(tmp_path / "p.json", P.build_plan("other", config, {})), lambda: P.validate_plan(plan | {"purpose": "x"}, lambda k: "s")):
         with pytest.raises(ValueError):
             broken()
-    P.register_arm(tmp_path / "e.json", "a", tmp_path / "p.json", {"seed": 1, "candidate_workers": 3}, {})
-    P.register_arm(tmp_path / "e.json", "b", tmp_path / "p.json", {"seed": 1, "candidate_workers": 9}, {})
+    (tmp_path / "v.json").write_text("{}")
+    arm = lambda name, **training: P.register_arm(tmp_path / "e.json", name, tmp_path / "p.json", {"layers": 2}, {"seed": 1, **training}, tmp_path / "v.json")
+    first = arm("a", candidate_preparation_workers=3)
+    assert arm("b", candidate_preparation_workers=9, candidate_prefetch_batches=1)["arms"]["a"]["vocabulary_sha256"] == P.file_hash(tmp_path / "v.json")
+    base = hashlib.sha256(json.dumps({"model": {"layers": 2}, "training": {"seed": 1}}, sort_keys=True).encode()).hexdigest()
+    want = {"corpus": P.file_hash(tmp_path / "p.json"), "base_training": base, "seed": 1}
+    assert first["shared"] == want and first["comparison_id"] == hashlib.sha256(json.dumps(want, sort_keys=True).encode()).hexdigest()[:16]
+    for other in ({"seed": 2}, {"dataloader_workers": 4}):
+        with pytest.raises(ValueError):
+            arm("c", **other)
+    P.record_result(tmp_path / "e.json", "a", {"score": 1})
+    assert P.read_json(tmp_path / "e.json")["arms"]["a"]["result"] == {"score": 1}
+    P.write_json(tmp_path / "old.json", {"manifest_version": 7})
     with pytest.raises(ValueError):
-        P.register_arm(tmp_path / "e.json", "c", tmp_path / "p.json", {"seed": 2}, {})
+        P.Manifest(tmp_path / "old.json")
+    P.check_weights({"en": 1, "es": 1.0})
+    fine = {"special_tokens": list(subword.SPECIALS), "vocab_size": 100}
+    P.validate_tokenizer(fine)
+    P.validate_prior({"max_examples_per_language": 1, "ngram_range": [2, 5], "n_features": 8})
+    P.validate_finetuning({"seeds": [1, 2], "epochs": 1, "batch_size": 2})
+    for bad in (
+        lambda: P.check_weights({"en": 2}), lambda: P.validate_tokenizer(fine | {"vocab_size": 5}), lambda: P.validate_tokenizer(fine | {"special_tokens": ["<pad>"]}),
+        lambda: P.validate_prior({"n_features": 8}), lambda: P.validate_prior({"max_examples_per_language": 1, "ngram_range": [5, 2], "n_features": 8}), lambda: P.validate_finetuning({"seeds": [1, 1], "epochs": 1, "batch_size": 2}),
+    ):
+        with pytest.raises(ValueError):
+            bad()
     assert P.experiment_record({"plan": tmp_path / "p.json", "none": tmp_path / "q"})["missing"] == ["none"]
     assert P.with_defaults({"a": {"x": 1}}, {"a": {"x": 0, "y": 2}, "b": 3}) == {"a": {"x": 1, "y": 2}, "b": 3}
     (tmp_path / "art").mkdir()
@@ -316,3 +358,7 @@ def test_provenance(tmp_path):
     with pytest.raises(FileNotFoundError):
         box.publish(lambda d: None)
     assert box.complete() and (tmp_path / "ck/f").read_text() == "1"
+    (tmp_path / "ck").rename(tmp_path / "ck.previous")
+    assert box.restore(lambda d: (d / "f").read_text()) == "1"
+    with pytest.raises(FileNotFoundError):
+        P.CheckpointFolder(tmp_path / "nothing", ["f"]).restore(lambda d: None)

@@ -88,6 +88,8 @@ def _first(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 def first_overlaps(spans: pa.Array, others: pa.Array, keep: pa.Array) -> pa.Array:
     """For each span the place of the first of the others that it overlaps and `keep` (booleans) has; -1 for none."""
     x, y = Spans(spans), Spans(others)
+    if len(keep.flatten()) != len(y.row):
+        raise ValueError("spans and marks must be as many")
     a, b, _ = edges(x, y, np.asarray(keep.flatten(), bool))
     met = _first(a, b, len(x.row))
     return _lists(x.counts, pa.array(np.where(met < 0, -1, y.place[met] if len(y.place) else -1), pa.int32()))
@@ -97,6 +99,8 @@ def first_overlaps(spans: pa.Array, others: pa.Array, keep: pa.Array) -> pa.Arra
 def labels_of(tokens: pa.Array, words: pa.Array, labels: pa.Array) -> pa.Array:
     """Each token's label: that of the first word it overlaps, if no token before has got it; else IGNORED."""
     x, y = Spans(tokens), Spans(words)
+    if len(labels.flatten()) != len(y.row):
+        raise ValueError("words and labels must be as many")
     a, b, _ = edges(x, y)
     word = _first(a, b, len(x.row))
     taken = np.flatnonzero(word >= 0)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,7 +85,36 @@ def missing(wanted: DataFrame, present: DataFrame, on: list[str]) -> DataFrame:
     return wanted.join(present, on, "left_anti")
 
 
-def run_matrix(repositories: DataFrame, seeds: list[int], arms: list[str], done: DataFrame) -> DataFrame:
-    """(repository, seed, arm) of the runs that are still to do: lists of settings are multiplied out, finished runs left out."""
+def run_matrix(repositories: DataFrame, seeds: list[int], arms: list[str], done: DataFrame, evaluate_only: bool = False) -> DataFrame:
+    """(repository, seed, arm) of the runs that are still to do: lists of settings are multiplied out, finished runs left out.
+
+    Where runs are only evaluated, one that isn't finished is an error.
+    """
     wanted = repositories.select("repository", F.explode(F.array(*map(F.lit, seeds))).alias("seed")).select("*", F.explode(F.array(*map(F.lit, arms))).alias("arm"))
-    return missing(wanted, done, ["repository", "seed", "arm"])
+    left = missing(wanted, done, ["repository", "seed", "arm"])
+    if evaluate_only and (some := left.limit(5).collect()):
+        raise ValueError(f"there are no results to evaluate: {[tuple(r) for r in some]}")
+    return left
+
+
+def log_scalars(values: DataFrame, path: str) -> None:
+    """Add (run, tag, step, value) to a table of scalars, which is read as any other."""
+    values.select("run", "tag", F.col("step").cast("long").alias("step"), F.col("value").cast("double").alias("value")).write.mode("append").parquet(path)
+
+
+def run_in_order(stages: list[tuple[str, Callable[[], object]]], waits: Callable[[], bool] = lambda: False, pause: float = 30.0, note: Callable[[dict], None] = lambda _: None) -> list[str]:
+    """Do stages one after another once `waits` says no; the first that fails is noted and ends it. Names of those that are done."""
+    while waits():
+        note({"status": "waiting"})
+        time.sleep(pause)
+    done: list[str] = []
+    for name, work in stages:
+        note({"status": "running", "stage": name, "done": list(done)})
+        try:
+            work()
+        except Exception as error:
+            note({"status": "stopped", "stage": name, "done": list(done), "error": f"{type(error).__name__}: {error}"})
+            raise
+        done.append(name)
+    note({"status": "completed", "done": list(done)})
+    return done

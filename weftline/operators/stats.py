@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -68,8 +69,20 @@ def bootstrap_accuracy(label: np.ndarray, baseline: np.ndarray, proposed: np.nda
     return {"observed": gain.sum() / n, "mean": (sums / n).mean(), "lower": low, "upper": high, "p": 2 * min((sums <= 0).mean(), (sums >= 0).mean())}
 
 
-def paired_bootstrap(predictions: DataFrame, by: list[str], order: str, samples: int = 10_000, seed: int = 1, confidence: float = 0.95) -> DataFrame:
-    """observed, mean, lower, upper and p of each group's difference in accuracy. predictions: …, order, label, baseline, proposed.
+def bootstrap_metric(label: np.ndarray, baseline: np.ndarray, proposed: np.ndarray, metric: Callable[[np.ndarray, np.ndarray], float], samples: int, seed: int, confidence: float) -> dict[str, float]:
+    """As `bootstrap_accuracy`, with the same draws, for any metric of labels and predictions."""
+    n, rng = len(label), np.random.default_rng(seed)
+    if not n:
+        raise ValueError("nothing to resample")
+    drawn = (rng.integers(0, n, size=n) for _ in range(samples))
+    gains = np.array([metric(label[i], proposed[i]) - metric(label[i], baseline[i]) for i in drawn])
+    tail = (1 - confidence) / 2
+    low, high = np.quantile(gains, [tail, 1 - tail])
+    return {"observed": metric(label, proposed) - metric(label, baseline), "mean": gains.mean(), "lower": low, "upper": high, "p": 2 * min((gains <= 0).mean(), (gains >= 0).mean())}
+
+
+def paired_bootstrap(predictions: DataFrame, by: list[str], order: str, samples: int = 10_000, seed: int = 1, confidence: float = 0.95, metric: Callable[[np.ndarray, np.ndarray], float] | None = None) -> DataFrame:
+    """observed, mean, lower, upper and p of each group's difference in accuracy, or in `metric` of labels and predictions. predictions: …, order, label, baseline, proposed.
 
     A group is one task's test set, drawn from in order by one stream; groups run beside each other.
     """
@@ -77,7 +90,8 @@ def paired_bootstrap(predictions: DataFrame, by: list[str], order: str, samples:
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(order)
-        found = bootstrap_accuracy(group["label"].to_numpy(), group["baseline"].to_numpy(), group["proposed"].to_numpy(), samples, seed, confidence)
+        columns = [group[c].to_numpy() for c in ("label", "baseline", "proposed")]
+        found = bootstrap_accuracy(*columns, samples, seed, confidence) if metric is None else bootstrap_metric(*columns, metric, samples, seed, confidence)
         return pd.DataFrame([{**{c: group[c].iloc[0] for c in by}, **found}])
 
     return predictions.select(*by, order, "label", "baseline", "proposed").groupBy(*by).applyInPandas(one, f"{kinds}, observed double, mean double, lower double, upper double, p double")

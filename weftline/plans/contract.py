@@ -219,24 +219,48 @@ def token_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out, "accuracy", "macro_f1", "micro_f1")
 
 
-@query("eval_macro_loss", f"WITH {_PREPARED}, {_TURNS}, b AS (SELECT language, (nth - 1) // 8 AS batch, avg({_number('doc_id::varchar')}) AS m FROM turns GROUP BY 1, 2) SELECT language, round(avg(m), 6) AS loss, count(*)::bigint AS batches FROM b WHERE batch < 5 GROUP BY 1")
+#: Batches of each language's validation texts that are evaluated, and texts in a batch.
+EVALUATED, EVALUATION_BATCH = 100, 8
+_EVALUATED = f"seen AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY doc_id) AS nth FROM prepared WHERE split = 'validation'), b AS (SELECT language, (nth - 1) // {EVALUATION_BATCH} AS batch, avg({_number('doc_id::varchar')}) AS m, avg({_number(chr(39) + 'routing|' + chr(39) + ' || doc_id')}) AS r, avg({_number(chr(39) + 'weight|' + chr(39) + ' || doc_id')}) AS w FROM seen GROUP BY 1, 2)"
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses of each validation text, with its batch."""
+    held = _prepared(spark, sf_dir).where("split = 'validation'").select("doc_id", "language")
+    rows = order.ranked(held, "language", "doc_id").withColumn("batch", F.floor((F.col("nth") - 1) / EVALUATION_BATCH))
+    return rows.withColumn("loss", T.hash_number(F.col("doc_id"))).withColumn("routing", T.hash_number("routing", F.col("doc_id"))).withColumn("weight", T.hash_number("weight", F.col("doc_id")))
+
+
+@query("eval_macro_loss", f"WITH {_PREPARED}, {_EVALUATED}, l AS (SELECT language, avg(m) AS loss, count(*)::bigint AS batches FROM b WHERE batch < {EVALUATED} GROUP BY 1) SELECT language, round(loss, 6) AS loss, batches, round(avg(loss) OVER (), 6) AS macro_loss FROM l")
 def eval_macro_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = order.ranked(_prepared(spark, sf_dir).select("doc_id", "language"), "language", "doc_id")
-    rows = rows.withColumn("batch", F.floor((F.col("nth") - 1) / 8)).withColumn("loss", T.hash_number(F.col("doc_id")))
-    return _rounded(metrics.mean_of_batch_means(rows, "loss", "batch", ["language"], 5), "loss")
+    losses = metrics.mean_of_batch_means(_evaluated(spark, sf_dir), "loss", "batch", ["language"], EVALUATED)
+    return _rounded(losses.join(F.broadcast(metrics.macro_loss(losses).select("macro_loss"))), "loss", "macro_loss")  # one row
+
+
+@query("fused_evaluation", f"WITH {_PREPARED}, {_EVALUATED} SELECT language, round(avg(m), 6) AS mlm_loss, round(avg(r), 6) AS routing_loss, round(avg(w), 6) AS reference_weight, round(avg(m) + 0.1 * avg(r), 6) AS total_loss FROM b GROUP BY 1")
+def fused_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batches = _evaluated(spark, sf_dir).groupBy("language", "batch").agg(*(F.avg(c).alias(c) for c in ("loss", "routing", "weight")))
+    return _rounded(metrics.fused_evaluation(batches, ["language"], "loss", "routing", "weight", 0.1), "mlm_loss", "routing_loss", "reference_weight", "total_loss")
+
+
+@query("epoch_loss", f"WITH {_PREPARED}, {_TURNS}, n AS (SELECT max(position) // 32 + 1 AS n FROM stream), s AS (SELECT epoch, position // 32 AS batch, avg({_number('epoch || ' + chr(39) + '|' + chr(39) + ' || doc_id')}) AS loss FROM stream, range(3) e(epoch) GROUP BY 1, 2) SELECT epoch::int AS epoch, round(avg(loss), 6) AS loss, count(*)::bigint AS steps FROM s GROUP BY 1")
+def epoch_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = order.epochs(corpus_batches(spark, sf_dir), 3)
+    steps = rows.groupBy("epoch", "batch").agg(F.avg(T.hash_number(F.col("epoch"), F.col("doc_id"))).alias("loss"))
+    return _rounded(metrics.epoch_loss(steps), "loss")
 
 
 @query(
     "accumulation_metrics",
     f"""WITH {_PREPARED}, {_TURNS}, b AS (SELECT position // 8 AS batch, avg({_number('doc_id::varchar')}) AS loss, sum(length(text)) AS tokens, count(*) AS masked, sum((doc_id % 3 = 0)::int) AS hit FROM stream GROUP BY 1),
-    s AS (SELECT batch // 4 AS step, avg(loss) AS loss, sum(hit)::double / greatest(sum(masked), 1) AS masked_accuracy, sum(tokens) AS tokens, count(*) AS microbatches FROM b GROUP BY 1)
-    SELECT step::bigint AS step, round(loss, 6) AS loss, round(masked_accuracy, 6) AS masked_accuracy, tokens::bigint AS tokens, microbatches::bigint AS microbatches, (sum(tokens) OVER (ORDER BY step))::bigint AS tokens_so_far FROM s""",
+    s AS (SELECT batch // 4 AS step, avg(loss) AS loss, sum(hit)::double / greatest(sum(masked), 1) AS masked_accuracy, sum(tokens) AS tokens, sum(masked) AS masked, count(*) AS microbatches FROM b GROUP BY 1)
+    SELECT step::bigint AS step, round(loss, 6) AS loss, round(masked_accuracy, 6) AS masked_accuracy, tokens::bigint AS tokens, microbatches::bigint AS microbatches, masked::bigint AS sequences, (sum(tokens) OVER (ORDER BY step))::bigint AS tokens_so_far, (sum(masked) OVER (ORDER BY step))::bigint AS sequences_so_far FROM s""",
 )
 def accumulation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = _prepared(spark, sf_dir).select("doc_id", F.length("text").alias("size"))
     rows = order.batches(corpus_round_robin(spark, sf_dir), 8).join(sizes, "doc_id")
     per_batch = rows.groupBy("batch").agg(F.avg(T.hash_number(F.col("doc_id"))).alias("loss"), F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("masked"), F.sum((F.col("doc_id") % 3 == 0).cast("int")).alias("hit"))
-    return _rounded(metrics.accumulated(per_batch, 4, "batch", "loss", "hit", "masked", "tokens"), "loss", "masked_accuracy")
+    return _rounded(metrics.accumulated(per_batch, 4, "batch", "loss", "hit", "masked", "tokens", sequences="masked"), "loss", "masked_accuracy")
 
 
 @query("mean_pool", "SELECT label::bigint AS label, (i - 1)::bigint AS dim, round(avg(embedding[i]::double), 6) AS value FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2")
@@ -346,13 +370,14 @@ def token_label_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MASK = dict(seed=42, share=0.15, mask_id=4, vocabulary=1000)
-_DRAWN = f""", drawn AS (SELECT doc_id, pos, length(word) AS token, start, "end", {_number("'42|mask|' || doc_id || '|' || pos")} < 0.15 AS hit, {_number("'42|replace|' || doc_id || '|' || pos")} AS u2, {_number("'42|token|' || doc_id || '|' || pos")} AS u3 FROM whole),
-masked AS (SELECT *, hit OR (NOT bool_or(hit) OVER (PARTITION BY doc_id) AND pos = min(pos) OVER (PARTITION BY doc_id)) AS masked FROM drawn)"""
+_DRAWN = f""", drawn AS (SELECT doc_id, pos, length(word) AS token, length(word) = 1 AS special, start, "end", length(word) > 1 AND {_number("'42|mask|' || doc_id || '|' || pos")} < 0.15 AS hit, {_number("'42|replace|' || doc_id || '|' || pos")} AS u2, {_number("'42|token|' || doc_id || '|' || pos")} AS u3 FROM whole),
+    masked AS (SELECT *, hit OR (NOT bool_or(hit) OVER (PARTITION BY doc_id) AND NOT special AND pos = min(CASE WHEN NOT special THEN pos END) OVER (PARTITION BY doc_id)) AS masked FROM drawn)"""
 
 
 def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lists(spark, sf_dir).withColumn("ids", F.transform("words", lambda w: F.length(w)))
-    return mask.mask_lists(rows, "ids", "doc_id", **MASK)
+    """Words as tokens, those of one character being none that may be hidden."""
+    rows = _lists(spark, sf_dir).withColumn("ids", F.transform("words", lambda w: F.length(w))).withColumn("special", F.transform("words", lambda w: F.length(w) == 1))
+    return mask.mask_lists(rows, "ids", "doc_id", special="special", **MASK)
 
 
 @query("mlm_mask", _SPANS + _DRAWN + " SELECT doc_id, pos::bigint AS pos, masked, (CASE WHEN NOT masked THEN token WHEN u2 < 0.8 THEN 4 WHEN u2 < 0.9 THEN floor(u3 * 1000)::int ELSE token END)::int AS input_id, (CASE WHEN masked THEN token ELSE -100 END)::int AS label FROM masked")
@@ -483,6 +508,11 @@ def fusion_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "candidate", _r("weight").alias("weight"))
 
 
+@query("candidate_weights", f"SELECT candidate, round(avg(weight), 5) AS weight, count(*)::bigint AS documents FROM ({ORACLES['fusion_weights']}) GROUP BY 1")
+def candidate_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion_weights(spark, sf_dir).groupBy("candidate").agg(_r(F.avg("weight"), 5).alias("weight"), F.count(F.lit(1)).alias("documents"))
+
+
 # --- subword vocabularies -------------------------------------------------------
 #: Pieces and scores of the small vocabulary that the segmentation query uses; single letters are added at -4.
 TOY = [("th", -1.5), ("er", -1.75), ("in", -2.0), ("on", -2.0), ("an", -2.25), ("re", -2.5), ("the", -1.25), ("ion", -2.25), ("ti", -2.75), ("at", -2.5), ("st", -3.0), ("ed", -3.0)]
@@ -523,6 +553,53 @@ def lattice_kbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("word", "candidate", "score", F.array_join("pieces", " ").alias("pieces"))
 
 
+@query(
+    "viterbi_encode",
+    _WORDS.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", w AS (SELECT DISTINCT word FROM tokens), toy(piece, score) AS (VALUES {_TOY}), places AS (SELECT word, unnest(range(length(word))) AS start FROM w),
+    arcs AS (SELECT word, start, piece, score::double AS score, start + length(piece) AS stop, false AS unknown FROM places JOIN toy ON substr(word, start + 1, length(piece)) = piece
+      UNION ALL SELECT word, start, substr(word, start + 1, 1), -14.0, start + 1, true FROM places WHERE NOT regexp_full_match(substr(word, start + 1, 1), '[a-z]')),
+    {_ways('ways', 'arcs', 1)},
+    one AS (SELECT word, pieces, path FROM ways WHERE i = n AND stop = n QUALIFY row_number() OVER (PARTITION BY word ORDER BY score DESC, came) = 1)
+    SELECT doc_id, sum(pieces)::bigint AS n_ids, md5(string_agg(path, ' ' ORDER BY pos)) AS pieces FROM tokens JOIN one USING (word) GROUP BY 1""",
+)
+def viterbi_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's pieces under the small vocabulary."""
+    rows = subword.encode_texts(_prepared(spark, sf_dir).select("doc_id", "text"), toy_lattice())
+    piece = F.transform("tokens", lambda t: F.substr(F.col("text"), t["start"] + 1, t["end"] - t["start"]))
+    return rows.where(F.size("tokens") > 0).select("doc_id", F.size("tokens").cast("long").alias("n_ids"), F.md5(F.array_join(piece, " ")).alias("pieces"))
+
+
+def toy_merges() -> subword.Merges:
+    """Merges of a few words, each as often as it is told."""
+    return subword.fit_merges([("the", 90), (" the", 80), (" then", 50), (" and", 40), (" er", 30), ("ing", 25), ("tion", 20), (" on", 20), (", ", 9)], 300)
+
+
+@query("merge_sequences")
+def merge_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's first ids between the marks, 512 at most."""
+    out = subword.sequences(_prepared(spark, sf_dir), toy_merges(), 512)
+    return out.select("doc_id", F.size("input_ids").alias("n_ids"), F.md5(F.array_join(F.col("input_ids").cast("array<string>"), ",")).alias("ids"))
+
+
+@query("task_examples")
+def task_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's words as a task example: ids, and how many pieces have a word's label."""
+    rows = _words(spark, sf_dir).withColumn("labels", F.transform("words", lambda w: F.length(w) % 5))
+    out = subword.task_examples(rows, toy_merges(), "words", "labels")
+    labeled = F.filter("token_labels", lambda x: x != metrics.IGNORED)
+    return out.select("doc_id", F.size("input_ids").alias("n_ids"), F.size(labeled).alias("labeled"), F.aggregate(labeled, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("aligned_candidates")
+def aligned_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of the chunk that each text's first 62 pieces span, with spans in the text."""
+    cut = subword.chunked(_prepared(spark, sf_dir).where("text <> ''").select("doc_id", "text"), toy_lattice(), 64)
+    paths = subword.candidate_paths(cut, toy_lattice(), subword.Policy(longest=64)).join(cut.select("doc_id", "chunk_start"), "doc_id")
+    told = subword.shifted(paths)
+    return told.select("doc_id", "candidate", F.size("input_ids").alias("n_ids"), "token_score", F.array_max("ends").alias("end"))
+
+
 #: Bytes of each language's training records that vocabularies are fitted on.
 FIT_BYTES = 1_000_000_000
 #: Pieces of the merge vocabulary.
@@ -685,6 +762,29 @@ def statistics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.report_lines(report, ["task"]).select("task", "line")
 
 
+@query(
+    "paired_analysis",
+    ORACLES["statistics_report"].replace("'quality' AS task, ", "'org/quality' AS repository, 'accuracy' AS metric, ").replace("| quality |", "| org/quality / accuracy |"),
+)
+def paired_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of results, written and read, checked and analysed."""
+    import uuid
+
+    from ..storage import discard, shared_folder
+    from . import analysis
+
+    place = f"{shared_folder(spark)}/weftline/results-{uuid.uuid4().hex}"
+    rows = _labels(spark, sf_dir).groupBy((F.col("doc_id") % 5 + 1).cast("string").alias("seed")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "label", "prediction"))).alias("x"), F.avg((F.col("label") == F.col("prediction")).cast("int")).alias("a"), F.avg((F.col("label") == 1).cast("int")).alias("b"))
+    arm = lambda score, said: F.struct(F.create_map(F.lit("accuracy"), score).alias("metrics"), said.alias("predictions"), F.col("x.label").alias("labels"))
+    arms = F.create_map(F.lit("merges"), arm(F.col("a"), F.col("x.prediction")), F.lit("candidates"), arm(F.col("b"), F.transform("x", lambda x: F.lit(1))))
+    # a result has a test set's predictions for each seed: small, and one file
+    tree = rows.agg(F.map_from_entries(F.collect_list(F.struct("seed", arms))).alias("seeds")).select(F.to_json(F.create_map(F.lit("org/quality"), F.struct(F.lit("quality").alias("task"), "seeds"))).alias("value"))
+    tree.coalesce(1).write.text(place)
+    discard(spark, place)
+    report, _ = analysis.analyze(analysis.results(spark, place), [1, 2, 3, 4, 5], "merges", "candidates")
+    return stats.report_lines(report, ["repository", "metric"]).select("repository", "metric", "line")
+
+
 # --- training control -----------------------------------------------------------
 def _rates(total: int, warmup: int) -> str:
     return f"SELECT i::bigint AS step, round(CASE WHEN i < {warmup} THEN (i + 1)::double / {max(1, warmup)} ELSE greatest(0.0, ({total} - i)::double / {max(1, total - warmup)}) END, 6) AS factor FROM range({total + 1}) r(i)"

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions.text import normalize
 
 #: Raw columns of each task and what they become.
@@ -41,30 +40,45 @@ def canonical(raw: DataFrame, repository: str, keep_original: bool = False) -> D
     return raw.select(*others, *(e.alias(n) for n, e in added.items()))
 
 
-def split_counts(rows: DataFrame) -> dict[str, int]:
-    """Rows of each split; an error if there is none or one is empty."""
+def folder_name(repository: str) -> str:
+    return repository.replace("/", "__").replace(" ", "_")
+
+
+def split_counts(rows: DataFrame, expected: tuple[str, ...] = ()) -> dict[str, int]:
+    """Rows of each split; an error if there are none, or none in a split that is expected."""
     found = {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not found:
-        raise ValueError("no rows in any split")
+    if empty := sorted(set(expected) - set(found)) or not found:
+        raise ValueError(f"no rows in {empty if found else 'any split'}")
     return found
 
 
-def save(rows: DataFrame, folder: str | Path) -> dict[str, int]:
-    """Write a dataset by split beside its place, check it, then give it its name; refuses a place that is taken."""
-    target = Path(folder)
-    if target.exists():
-        raise FileExistsError(str(target))
-    staged = target.with_name(target.name + ".incomplete")
-    rows.write.mode("overwrite").partitionBy("split").parquet(str(staged))
-    counts = split_counts(load(rows.sparkSession, staged))
-    staged.rename(target)
+def save(rows: DataFrame, folder: str) -> dict[str, int]:
+    """Write a dataset by split beside its place, check it, then give it its name; one that is there and complete is told and left."""
+    spark, target = rows.sparkSession, str(folder)
+    if "_SUCCESS" in storage.names(spark, target):
+        return validate(spark, target)
+    if storage.names(spark, target):
+        raise FileExistsError(target)
+    staged = f"{target}.incomplete"
+    rows.write.mode("overwrite").partitionBy("split").parquet(staged)
+    counts = split_counts(load(spark, staged))
+    storage.remove(spark, target)
+    storage.rename(spark, staged, target)
     return counts
 
 
-def load(spark: SparkSession, folder: str | Path) -> DataFrame:
+def load(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(str(folder))
 
 
+def validate(spark: SparkSession, folder: str) -> dict[str, int]:
+    """Rows of each split of a saved dataset, whose folders name the splits; an error if it isn't there or a split has no rows."""
+    if not storage.exists(spark, str(folder)):
+        raise FileNotFoundError(str(folder))
+    names = tuple(n.split("=", 1)[1] for n in storage.names(spark, str(folder)) if n.startswith("split="))
+    return split_counts(load(spark, folder), names)
+
+
 def limited(rows: DataFrame, limit: int, order: str) -> DataFrame:
     """The first rows of each split by `order`; 0 keeps all, less is an error."""
     from ..operators.order import ranked
