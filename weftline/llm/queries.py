@@ -107,6 +107,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    # the table of CRC-32 from its polynomial, then a fold over each text's bytes
+    "op3_sharding": """
+WITH RECURSIVE bit(i, k, c) AS (
+  SELECT i, 0, i::ubigint FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::ubigint) ELSE c >> 1 END FROM bit WHERE k < 8
+), crc AS (SELECT list(c ORDER BY i) AS t FROM bit WHERE k = 8), told AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\\1 ', 'g'), ' ')[:-2], lambda h: ('0x' || h)::ubigint)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::bigint + 1])), 4294967295::ubigint)::bigint AS text_crc32 FROM documents, crc
+), placed AS (
+  SELECT *, row_number() OVER w - 1 AS nth, least(39, (2 * (sum(size) OVER w - size) + size) * 40 // (2 * sum(size) OVER ()))::int AS shard
+  FROM told WINDOW w AS (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING)
+)
+SELECT doc_id, size::bigint AS size, text_crc32, 'bytes' AS law, shard, (nth - min(nth) OVER (PARTITION BY shard))::bigint AS slot, NULL::int AS grown_shard FROM placed
+""",
     "op8_url_filters": """
 WITH parsed AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
