@@ -115,17 +115,14 @@ def test_training_equals_plain_loops():
     assert np.allclose(got.embeddings, want.embeddings, atol=2e-3) and np.allclose(got.weights, want.weights, atol=2e-3) and np.allclose(got.biases, want.biases, atol=2e-3)
 
 
-def test_the_sample_is_bounded_in_documents_and_bytes(spark, monkeypatch):
+def test_the_sample_is_bounded_in_documents_and_bytes(spark):
     rows = [(i, f"text {i} " + "x" * (i % 7), "", 0.0) for i in range(90)]
     labels = [(i, 1, i % 2) for i in range(90)]
-    seen = []
-    monkeypatch.setattr(X, "train", lambda texts, marks: seen.append((texts, marks)))
     df, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)
-    X.fit(df, marks, 10, 1 << 20)
-    X.fit(df, marks, 10, 60)
-    (texts, kinds), (fewer, _) = seen
-    assert kinds.count(0) == kinds.count(1) == 10 and set(fewer) < set(texts)
-    assert all(zlib.crc32(t.split()[1].encode()) % 3 != 1 for t in texts) and sum(map(len, fewer)) <= 120
+    some, fewer = (X.sample(df, marks, 10, n).collect() for n in (1 << 20, 60))
+    kinds = [r.toxic for r in some]
+    assert kinds.count(0) == kinds.count(1) == 10 and set(fewer) < set(some)
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 3 != 1 for r in some) and sum(len(r.text) for r in fewer) <= 120
 
 
 def test_features_of_words_do_not_depend_on_neighbours():

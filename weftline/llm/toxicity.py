@@ -79,13 +79,28 @@ def _parted(texts: list[str]) -> list[list[str]]:
     return [t if (t := tokens(x)) else [""] for x in texts]
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """The keys once each and in order; sorts them in place."""
+    keys.sort()
+    return keys[_begins(keys)]
+
+
+def _begins(runs: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers begin."""
+    return np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]])) if len(runs) else np.empty(0, np.int64)
+
+
 def _bags(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, bag of each, bags of each text) of texts in a row: bags of BAG neighbouring words, each word once in a bag."""
-    place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
     bags_of_text = -(-counts // BAG)
-    bag = np.repeat(np.cumsum(bags_of_text) - bags_of_text, counts) + place // BAG
-    pairs = np.unique(bag << 32 | words)
-    return pairs & 0xFFFFFFFF, pairs >> 32, bags_of_text
+    keys = np.arange(len(words))
+    keys -= np.repeat(np.cumsum(counts) - counts, counts)
+    keys //= BAG
+    keys += np.repeat(np.cumsum(bags_of_text) - bags_of_text, counts)
+    keys <<= 32
+    keys |= words
+    keys = _distinct(keys)
+    return keys & 0xFFFFFFFF, keys >> 32, bags_of_text
 
 
 def _sums(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -93,6 +108,13 @@ def _sums(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(rows, np.cumsum(counts) - counts)
 
 
+def _taken(values: np.ndarray, at: np.ndarray, into: np.ndarray) -> np.ndarray:
+    """values[at] written to `into`, some at a time: places are of 32 bits, and numpy would make all of them 64 at once."""
+    for i in range(0, len(at), 1 << 18):
+        np.take(values, at[i : i + (1 << 18)], out=into[i : i + (1 << 18)], mode="clip")
+    return into
+
+
 @dataclass
 class Model:
     """Embeddings of the buckets, weights and biases of the two labels."""
@@ -131,30 +153,50 @@ def train(texts: list[str], labels: list[int], rounds: int = 250, rate: float =
     indexed = [np.array([number.setdefault(w, len(number)) for w in tokens(x) or [""]], np.int32) for x in texts]
     counts = np.array([len(x) for x in indexed])
     words, bag_of, bags_of_text = _bags(np.concatenate(indexed), counts)
-    text_of_bag = np.repeat(np.arange(len(counts)), bags_of_text)
+    text_of_bag = np.repeat(np.arange(len(counts), dtype=np.int32), bags_of_text)
     listed = list(number)
     del indexed, number
-    in_texts = np.bincount(np.unique(text_of_bag[bag_of] << 32 | words) & 0xFFFFFFFF, minlength=len(listed))
-    found = [features(listed[i : i + 20_000]) for i in range(0, len(listed), 20_000)]
-    buckets, per_word = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-    word_of = np.repeat(np.arange(len(listed)), per_word)
-    del found, listed
-    # buckets of few texts stay at nothing: they, and words that have no others, needn't be gone through
-    used = np.flatnonzero(np.bincount(buckets, in_texts[word_of], minlength=BUCKETS) >= LEAST_TEXTS)
-    renumbered = np.full(BUCKETS, -1)
+    key = text_of_bag[bag_of].astype(np.int64)
+    key <<= 32
+    key |= words
+    in_texts = np.bincount(_distinct(key) & 0xFFFFFFFF, minlength=len(listed))
+    del key
+    # buckets of few texts stay at nothing: they, and words that have no others, needn't be gone through or held
+    seen = np.zeros(BUCKETS)
+    for i in range(0, len(listed), 20_000):
+        buckets, per_word = features(listed[i : i + 20_000])
+        seen += np.bincount(buckets, np.repeat(in_texts[i : i + 20_000], per_word), minlength=BUCKETS)
+    used = np.flatnonzero(seen >= LEAST_TEXTS)
+    renumbered = np.full(BUCKETS, -1, np.int32)
     renumbered[used] = np.arange(len(used))
-    known = renumbered[buckets] >= 0
-    buckets, word_of = renumbered[buckets[known]], word_of[known]
-    listed, starts = np.unique(word_of, return_index=True)  # n-grams come word by word
-    place = np.full(len(per_word), -1)
-    place[listed] = np.arange(len(listed))
+    parts = []
+    for i in range(0, len(listed), 20_000):
+        buckets, per_word = features(listed[i : i + 20_000])
+        buckets, owner = renumbered[buckets], np.repeat(np.arange(i, i + len(per_word), dtype=np.int32), per_word)
+        parts.append((buckets[buckets >= 0], owner[buckets >= 0], per_word.astype(np.float32)))
+    buckets, word_of, per_word = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    del parts, listed
+    starts = _begins(word_of)  # n-grams come word by word
+    kept = word_of[starts]
+    place = np.full(len(per_word), -1, np.int32)
+    place[kept] = np.arange(len(kept))
     told = place[words] >= 0
-    words, bag_of, word_of, per_word = place[words[told]], bag_of[told], place[word_of], per_word[listed].astype(np.float32)
+    words, bag_of, word_of, per_word = place[words[told]].astype(np.int64), bag_of[told], place[word_of], per_word[kept]
     # sums over runs: bags of their words, words of their bags, buckets of their words
-    bags, bag_starts = np.unique(bag_of, return_index=True)
-    by_word, by_bucket = np.argsort(words, kind="stable"), np.argsort(buckets, kind="stable")
-    bag_of_word, word_of_bucket = bag_of[by_word], word_of[by_bucket]
-    word_starts, bucket_starts = (np.searchsorted(x, np.arange(n)) for x, n in ((words[by_word], len(listed)), (buckets[by_bucket], len(used))))
+    bag_starts = _begins(bag_of)
+    bags = bag_of[bag_starts]
+    order = np.argsort(words, kind="stable")
+    bag_of_word, word_starts = bag_of[order], np.searchsorted(words[order], np.arange(len(kept)))
+    key = buckets.astype(np.int64)
+    key <<= 32
+    key |= word_of
+    del word_of, order, place, told
+    key.sort()
+    word_of_bucket = key.astype(np.int32)  # the lower half
+    key >>= 32
+    bucket_starts = np.searchsorted(key, np.arange(len(used)))
+    held = np.empty(len(buckets), np.float32)  # what each n-gram of each word comes to, by word and then by bucket
+    del key
     each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()).astype(np.float32)
     state = [embeddings[used], weights, biases]
     first, second = [np.zeros_like(x) for x in state], [0.0] * 3
@@ -164,7 +206,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 250, rate: float =
         along = w[1] - w[0]
         logits = np.full(len(text_of_bag), b[1] - b[0], np.float64)
         if len(bags):
-            logits[bags] += np.add.reduceat((np.add.reduceat((e @ along)[buckets], starts) / per_word)[words], bag_starts) / BAG
+            logits[bags] += np.add.reduceat((np.add.reduceat(_taken(e @ along, buckets, held), starts) / per_word)[words], bag_starts) / BAG
         p = np.clip(_sigmoid(logits), 1e-7, 1 - 1e-6)
         none = _sums(np.log1p(-p), bags_of_text)
         whole = np.clip(1 - np.exp(none), 1e-6, 1)
@@ -173,7 +215,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 250, rate: float =
         g_bucket = np.zeros(0, np.float32)
         if len(bags):
             g_words = np.add.reduceat((g / BAG).astype(np.float32)[bag_of_word], word_starts) / per_word
-            g_bucket = np.add.reduceat(g_words[word_of_bucket], bucket_starts)
+            g_bucket = np.add.reduceat(_taken(g_words, word_of_bucket, held), bucket_starts)
         g_along = g_bucket @ e
         slower = min(1.0, 2 * (1 - (step - 1) / rounds))
         for k, grad in enumerate((g_bucket[:, None] * along, np.stack([-g_along, g_along]), np.array([-g.sum(), g.sum()], np.float32))):
@@ -222,8 +264,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_per_label: int = MOST_PER_LABEL, most_bytes: int = MOST_BYTES) -> Model:
-    """Learn from the labelled documents that aren't held out, of each label at most so many documents, and bytes, in the order of their hashes.
+def sample(docs: DataFrame, labels: DataFrame, most_per_label: int = MOST_PER_LABEL, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(doc_id, text, toxic) to learn from: the labelled documents that aren't held out, of each label at most so many, and bytes, in the order of their hashes.
 
     These bounds are the only sample here; rows without a label, or with one
     other than 0 and 1, aren't used, and of repeated labels the largest holds.
@@ -239,8 +281,25 @@ def fit(docs: DataFrame, labels: DataFrame, most_per_label: int = MOST_PER_LABEL
     rows = settle(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")))
     so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))  # of `most_per_label` rows at most
     fits = rows.select("doc_id", so_far.alias("so_far")).where(F.col("so_far") <= most_bytes).select("doc_id")
-    found = rows.join(F.broadcast(fits), "doc_id", "left_semi").toArrow().sort_by("doc_id")
-    return train([x or "" for x in found["text"].to_pylist()], found["toxic"].to_pylist())
+    return rows.join(F.broadcast(fits), "doc_id", "left_semi")
+
+
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model that all rows (doc_id, text, toxic) make, in the order of their ids."""
+    rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0])
+    model = train([t or "" for _, t, _ in rows], [y for _, _, y in rows])
+    names = ("embeddings", "weights", "biases")
+    yield pa.RecordBatch.from_arrays([pa.array([getattr(model, n).astype(np.float32).tobytes()], pa.binary()) for n in names], names)
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_per_label: int = MOST_PER_LABEL, most_bytes: int = MOST_BYTES) -> Model:
+    """Learn from `sample`, in one task: what it holds is bounded, and it is done again if its executor is lost. The model's few megabytes come to the driver."""
+    rows = sample(docs, labels, most_per_label, most_bytes)
+    found = rows.select("doc_id", "text", "toxic").coalesce(1).mapInArrow(_learn, "embeddings binary, weights binary, biases binary").collect()
+    if not found:
+        return train([], [])
+    e, w, b = (np.frombuffer(bytes(x), np.float32) for x in found[0])
+    return Model(e.reshape(BUCKETS, WIDTH), w.reshape(2, WIDTH), b)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "toxicity") -> DataFrame:
