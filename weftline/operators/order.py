@@ -32,10 +32,15 @@ def ranked(rows: DataFrame, key: str, order: str, value: str | None = None) -> D
     return out.select(*rows.columns, "nth", *(["running"] if value else []))
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """`rows` over as many tasks as there are cores, where their files give fewer; otherwise as they are."""
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` over as many tasks as there are cores, where their files give fewer; otherwise as they are.
+
+    A Parquet file of one row group is one task's, however its bytes are split.
+    Rows are dealt by all they have, so that no id, null or repeated, is a
+    task's alone. On a corpus of many row groups nothing is moved.
+    """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, F.xxhash64(*rows.columns))
 
 
 def for_python(rows: DataFrame, key: str) -> DataFrame:

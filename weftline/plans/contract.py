@@ -53,7 +53,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order.spread(_table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language"), "text"), "doc_id")
+    return order.spread(_table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language"), "text"))
 
 
 def _prepared(spark: SparkSession, sf_dir: str, how: corpus.Preparation = HOW) -> DataFrame:
