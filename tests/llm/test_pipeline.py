@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import types as T
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
+from tests.llm.test_jaccard import kept  # noqa: E402
 from tests.llm.test_packing import check  # noqa: E402
-from tests.llm.test_simhash import least_reachable, plain  # noqa: E402
 from weftline.llm import pii as P  # noqa: E402
 from weftline.llm import toxicity as X  # noqa: E402
 
@@ -39,6 +39,5 @@ def test_run_equals_brute_force(spark, sf):
     known = sorted((r.doc_id, r.toxic) for r in read("labels") if r.doc_id in docs and zlib.crc32(str(r.doc_id).encode()) % 3 != 1)
     scorer = X.Scorer(X.train([docs[i] for i, _ in known], [y for _, y in known]).folded())
     docs = {i: t for i, t in docs.items() if scorer.scores([t])[0] < X.THRESHOLD}
-    least = least_reachable([(i, plain(t)) for i, t in docs.items()])
-    docs = {i: P.redact(t, P.find(t, P.trained())) for i, t in docs.items() if least[i] == i}
+    docs = {i: P.redact(docs[i], P.find(docs[i], P.trained())) for i in kept(list(docs.items()))}
     check(list(docs.items()), corpus_pipeline.run(spark, sf).collect(), 2048)
