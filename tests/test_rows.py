@@ -55,13 +55,14 @@ def test_edges_and_labels_equal_all_pairs(spark):
     rows = made()
     labels = {i: [random.Random(i + j).randint(0, 9) for j in range(len(w))] for i, _, w in rows}
     df = spark.createDataFrame([(i, t, w, labels[i], [x % 2 == 0 for x in range(len(w))]) for i, t, w in rows], f"i int, t {SPAN}, w {SPAN}, labels array<int>, keep array<boolean>").repartition(3)
-    got = df.select("i", align.overlap_edges("t", "w").alias("e"), align.labels_of("t", "w", "labels").alias("l"), align.first_overlaps("t", "w", "keep").alias("f")).collect()
+    got = df.select("i", align.overlap_edges("t", "w").alias("e"), align.labels_of("t", "w", "labels").alias("l"), align.first_overlaps("t", "w", "keep", F.transform("labels", lambda x: x.cast("double"))).alias("f")).collect()
     for r in got:
         _, t, w = rows[r.i]
         edges = plain_edges(t, w)
         assert [tuple(x) for x in r.e] == edges
         assert r.l == plain_labels(t, w, labels[r.i])
-        assert r.f == [min((j for a, j, _ in edges if a == i and j % 2 == 0), default=-1) for i in range(len(t))]
+        firsts = [min((j for a, j, _ in edges if a == i and j % 2 == 0), default=-1) for i in range(len(t))]
+        assert [tuple(x) for x in r.f] == [(j, None if j < 0 else labels[r.i][j]) for j in firsts]
 
 
 def test_projection_equals_the_definition(spark):
@@ -106,8 +107,8 @@ def test_masking_of_lists_equals_masking_of_tokens(spark):
 
 
 def test_candidates_show_nothing_that_is_hidden(spark):
-    df = spark.createDataFrame([(1, [7, 8, 9], [0, -1, 2], [0.1, 0.5, 0.85])], "doc_id int, ids array<int>, met array<int>, decisions array<double>")
-    r = df.select(mask.mask_candidates(F.col("ids"), F.col("met"), F.col("decisions"), F.col("doc_id"), F.lit(1), 5, 4, 60).alias("x")).first().x
+    df = spark.createDataFrame([(1, [7, 8, 9], [(0, 0.1), (-1, None), (2, 0.85)])], "doc_id int, ids array<int>, met array<struct<place:int,value:double>>")
+    r = df.select(mask.mask_candidates(F.col("ids"), F.col("met"), F.col("doc_id"), F.lit(1), 5, 4, 60).alias("x")).first().x
     assert (r[0].input_id, r[0].label) == (4, 7) and (r[1].input_id, r[1].label) == (8, -100) and r[2].label == 9 and 0 <= r[2].input_id < 60
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from .metrics import IGNORED
 
@@ -84,15 +84,18 @@ def _first(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-@F.arrow_udf(ArrayType(IntegerType()))
-def first_overlaps(spans: pa.Array, others: pa.Array, keep: pa.Array) -> pa.Array:
-    """For each span the place of the first of the others that it overlaps and `keep` (booleans) has; -1 for none."""
+@F.arrow_udf(ArrayType(StructType([StructField("place", IntegerType()), StructField("value", DoubleType())])))
+def first_overlaps(spans: pa.Array, others: pa.Array, keep: pa.Array, values: pa.Array) -> pa.Array:
+    """For each span the place of the first of the others that it overlaps and `keep` (booleans) has, and that one's value; -1 and null for none."""
     x, y = Spans(spans), Spans(others)
-    if len(keep.flatten()) != len(y.row):
-        raise ValueError("spans and marks must be as many")
-    a, b, _ = edges(x, y, np.asarray(keep.flatten(), bool))
+    kept, told = np.asarray(keep.flatten(), bool), np.asarray(values.flatten(), float)
+    if len(kept) != len(y.row) or len(told) != len(y.row):
+        raise ValueError("spans, marks and values must be as many")
+    a, b, _ = edges(x, y, kept)
     met = _first(a, b, len(x.row))
-    return _lists(x.counts, pa.array(np.where(met < 0, -1, y.place[met] if len(y.place) else -1), pa.int32()))
+    none = met < 0
+    place, value = (np.where(none, -1, v[met]) if len(v) else np.full(len(met), -1.0) for v in (y.place, told))
+    return _lists(x.counts, pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(value, pa.float64(), mask=none)], ["place", "value"]))
 
 
 @F.arrow_udf(ArrayType(IntegerType()))

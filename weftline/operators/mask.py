@@ -41,24 +41,29 @@ def mask_lists(rows: DataFrame, ids: str, key: str, seed: int, share: float, mas
     leaves its row.
     """
     number = lambda kind, pos: hash_number(f"{seed}|{kind}", F.col(key), pos)
-    listed = F.arrays_zip(F.col(ids).alias("token"), (F.transform(ids, lambda _: F.lit(False)) if special is None else F.col(special)).alias("special"))
-    drawn = rows.withColumn(into, F.transform(listed, lambda x, pos: F.struct(x["token"].alias("token"), (~x["special"]).alias("may"), (~x["special"] & (number("mask", pos) < share)).alias("hit"), number("replace", pos).alias("u"))))
-    forced = F.when(F.exists(into, lambda x: x["hit"]), F.lit(0)).otherwise(F.array_position(F.transform(into, lambda x: x["may"]), True))  # from 1: the token that is hidden if chance hides none
-    told = drawn.withColumn(into, F.transform(into, lambda x, pos: F.struct((x["hit"] | (pos + 1 == forced)).alias("masked"), x["u"].alias("decision"), x["token"].alias("token"))))
-    put = lambda x, pos: replacement(x["decision"], x["token"], mask_id, vocabulary, number("token", pos))
-    return told.withColumn(into, F.transform(into, lambda x, pos: F.struct(x["masked"].alias("masked"), x["decision"].alias("decision"), F.when(x["masked"], put(x, pos)).otherwise(x["token"]).alias("input_id"), F.when(x["masked"], x["token"]).otherwise(F.lit(IGNORED)).alias("label"))))
-
-
-def mask_candidates(ids: Column, met: Column, decisions: Column, key: Column, candidate: Column, seed: int, mask_id: int, vocabulary: int) -> Column:
+    special_of = F.transform(ids, lambda _: F.lit(False)) if special is None else F.col(special)
+    may, hit = f"_may_{into}", f"_hit_{into}"
+    drawn = rows.withColumn(may, F.transform(special_of, lambda s: ~s)).withColumn(hit, F.transform(may, lambda m, pos: m & (number("mask", pos) < share)))
+    # a function of a list would be worked out anew for each element that looks at it: the token that is hidden if chance hides none is put between two runs
+    first, none = F.array_position(may, True).cast("int"), lambda n: F.array_repeat(F.lit(False), n)
+    forced = F.when(first > 0, F.concat(none(first - 1), F.array(F.lit(True)), none(F.size(may) - first))).otherwise(F.col(may))
+    told = drawn.withColumn(hit, F.when(F.exists(hit, lambda h: h), F.col(hit)).otherwise(forced))
+    put = lambda x, pos: F.struct(x["masked"].alias("masked"), x["token"].alias("token"), number("replace", pos).alias("decision"), pos.alias("pos"))
+    with_u = told.withColumn(into, F.transform(F.arrays_zip(F.col(ids).alias("token"), F.col(hit).alias("masked")), put)).drop(may, hit)
+    said = lambda x: F.struct(x["masked"].alias("masked"), x["decision"].alias("decision"), F.when(x["masked"], replacement(x["decision"], x["token"], mask_id, vocabulary, number("token", x["pos"]))).otherwise(x["token"]).alias("input_id"), F.when(x["masked"], x["token"]).otherwise(F.lit(IGNORED)).alias("label"))
+    return with_u.withColumn(into, F.transform(into, said))
+
+
+def mask_candidates(ids: Column, met: Column, key: Column, candidate: Column, seed: int, mask_id: int, vocabulary: int) -> Column:
     """A list of (input_id, label) of a candidate's tokens: one that overlaps a hidden reference token takes the decision of the first such.
 
-    met: the place of that token, -1 for none (`align.first_overlaps`);
-    decisions: the reference tokens'. An id by chance is drawn for each
-    candidate token, and no other segmentation shows what is hidden.
+    met: for each token the place of that one, -1 for none, and its decision
+    (`align.first_overlaps`). An id by chance is drawn for each candidate token,
+    and no other segmentation shows what is hidden.
     """
     number = lambda pos: hash_number(f"{seed}|candidate", key, candidate, pos)
-    put = lambda x, pos: replacement(F.element_at(decisions, x["met"] + 1), x["token"], mask_id, vocabulary, number(pos))
-    hidden = lambda x, pos: F.struct(F.when(x["met"] >= 0, put(x, pos)).otherwise(x["token"]).alias("input_id"), F.when(x["met"] >= 0, x["token"]).otherwise(F.lit(IGNORED)).alias("label"))
+    put = lambda x, pos: replacement(x["met"]["value"], x["token"], mask_id, vocabulary, number(pos))
+    hidden = lambda x, pos: F.struct(F.when(x["met"]["place"] >= 0, put(x, pos)).otherwise(x["token"]).alias("input_id"), F.when(x["met"]["place"] >= 0, x["token"]).otherwise(F.lit(IGNORED)).alias("label"))
     return F.transform(F.arrays_zip(ids.alias("token"), met.alias("met")), hidden)
 
 

@@ -394,11 +394,11 @@ def mlm_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def candidate_mask_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every token of the other segmentation, with what hides it, what takes its place, and its label."""
-    rows = _masked(spark, sf_dir).withColumn("met", align.first_overlaps("chunks", "spans", F.col("masking.masked")))
+    rows = _masked(spark, sf_dir).withColumn("met", align.first_overlaps("chunks", "spans", F.col("masking.masked"), F.col("masking.decision")))
     ids = F.transform("chunks", lambda _, pos: pos % 97 + 5)
-    hidden = mask.mask_candidates(ids, F.col("met"), F.col("masking.decision"), F.col("doc_id"), F.lit(1), MASK["seed"], MASK["mask_id"], MASK["vocabulary"])
-    told = rows.select("doc_id", F.posexplode(F.arrays_zip("met", hidden.alias("hidden"), F.transform("met", lambda m: F.when(m >= 0, F.element_at(F.col("masking.decision"), m + 1))).alias("decision"))).alias("pos", "x"))
-    return told.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("x.met").cast("long").alias("reference_pos"), _r("x.decision", 9).alias("decision"), F.col("x.hidden.input_id").cast("int").alias("input_id"), F.col("x.hidden.label").cast("int").alias("label"))
+    hidden = mask.mask_candidates(ids, F.col("met"), F.col("doc_id"), F.lit(1), MASK["seed"], MASK["mask_id"], MASK["vocabulary"])
+    told = rows.select("doc_id", F.posexplode(F.arrays_zip("met", hidden.alias("hidden"))).alias("pos", "x"))
+    return told.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("x.met.place").cast("long").alias("reference_pos"), _r("x.met.value", 9).alias("decision"), F.col("x.hidden.input_id").cast("int").alias("input_id"), F.col("x.hidden.label").cast("int").alias("label"))
 
 
 @query(
