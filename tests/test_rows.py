@@ -155,6 +155,18 @@ def test_merges_equal_the_librarys_trainer():
         assert [p for p, _, _ in got] == want.tokens
 
 
+def test_merging_few_places_equals_merging_many(monkeypatch):
+    rng = random.Random(6)
+    counts = [("".join(rng.choice("aab") for _ in range(rng.randint(1, 12))), rng.randint(1, 9)) for _ in range(300)]
+    counts = list(dict(counts).items())
+    fits = []
+    for few in (0, 5, 10**9):
+        monkeypatch.setattr(subword, "FEW", few)
+        made = subword.fit_merges(counts, 400)
+        fits.append((made.pieces, made.ranks))
+    assert fits[0] == fits[1] == fits[2] and len(fits[0][1]) > 50
+
+
 def test_parts_equal_the_pattern(spark):
     import regex
 
