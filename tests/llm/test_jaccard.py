@@ -96,3 +96,16 @@ def test_a_large_group_makes_few_pairs(spark):
         rows.append((i, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in J.drop_near_copies(docs).collect()) == kept(rows)
+
+
+def test_pipeline_finds_copies_by_simhash_alone(spark, sf, monkeypatch):
+    """What doesn't meet in the index of positional bytes isn't found: there is no other way beside it."""
+    docs, asked = spark.createDataFrame(edited(), "doc_id long, text string"), []
+
+    def none(classes):
+        asked.append(set(classes.columns))
+        return classes.selectExpr("0 as band", "fp as key", "fp").where("false")
+
+    monkeypatch.setattr(J, "meeting", none)
+    assert corpus_pipeline.near_dedup(spark, docs, sf).count() == len({J.text_key(t) for _, t in edited()})
+    assert asked and {"fp", "bits"} <= asked[0]

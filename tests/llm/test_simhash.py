@@ -146,3 +146,58 @@ def test_dropping_with_clashing_names(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, _alone long, _shared long, id long, root long")
     got = S.drop_near_duplicates(df)
     assert got.columns == df.columns and {r.doc_id for r in got.collect()} == {None, 3, *range(0, 20, 2)}
+
+
+def similar(seed):
+    """Sets of hashes: pairs at a Jaccard similarity of 0.8 to 0.9, large and small, and as many that are like none."""
+    rng, out = np.random.default_rng(seed), []
+    for n in [4, 9, 20, 60, 250, 900] * 12:
+        common, own = rng.integers(0, 1 << 64, n, np.uint64), rng.integers(0, 1 << 64, n // 5, np.uint64)
+        if n == 4:
+            own = rng.integers(0, 1 << 64, 1, np.uint64)
+            out += [np.sort(common), np.sort(np.append(common, own)), *rng.integers(0, 1 << 64, (2, 4), np.uint64)]
+            continue
+        half = len(own) // 2
+        out += [np.unique(np.concatenate([common, x])) for x in (own[:half], own[half : 2 * half])]
+        out += [rng.integers(0, 1 << 64, n, np.uint64) for _ in range(2)]
+    return out
+
+
+def test_wide_equals_plain():
+    for hashes in similar(1)[:20]:
+        bits = np.unpackbits(np.frombuffer(S.wide(hashes), np.uint8))
+        for word in (0, 1, S.LISTS // 4 - 1):
+            seen = np.zeros(64, int)
+            for h in hashes.tolist():
+                m, top = (1 << 64) - 1, h + word * 0x9E3779B97F4A7C15
+                x = top & m
+                x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+                x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+                x ^= x >> 31
+                seen += [x >> 8 * (k // 8) + 7 - k % 8 & 1 for k in range(64)]
+            vote = S._VOTE[64 * word : 64 * word + 64]
+            assert (bits[64 * word : 64 * word + 64] == ((seen + vote) * 2 > len(hashes) + 1)).all()
+
+
+def test_all_pairs_at_the_least_similarity_meet(spark):
+    """And who meets, meets as by all pairs of each list of the index."""
+    from weftline.llm import jaccard as J
+
+    sets = similar(2)
+    rows = [(i, len(s), bytearray(S.wide(s)), bytearray(J.sketch(s))) for i, s in enumerate(sets)]
+    got = S.meeting(spark.createDataFrame(rows, "fp long, size long, bits binary, sketch binary").repartition(3)).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault((r.band, r.key), set()).add(r.fp)
+    both = {(a, b) for g in groups.values() for a in g for b in g if a < b}
+    for a in range(0, len(sets), 4):
+        assert 5 * len(np.intersect1d(sets[a], sets[a + 1])) >= 4 * len(np.union1d(sets[a], sets[a + 1]))
+        assert (a, a + 1) in both
+    bits = np.array([np.frombuffer(bytes(r[2]), np.uint8) for r in rows])
+    entries = S.entries(np.arange(len(rows)), np.array([r[1] for r in rows]), bits, np.array([np.frombuffer(bytes(r[3]), np.uint8) for r in rows]))
+    want = set()
+    for a in range(len(rows)):
+        rest = np.arange(a + 1, len(rows))
+        near = rest[S.close(entries[np.full(len(rest), a)], entries[rest])]
+        want |= {(a, int(b)) for b in near if (bits[a].reshape(-1, 2) == bits[b].reshape(-1, 2)).all(axis=1).any()}
+    assert both == want

@@ -21,8 +21,19 @@ LEAST_BYTES = 8 - MOST_BITS
 #: A posting list of more fingerprints is split by further bytes. The last level leaves 12 bits free, so it has no longer lists.
 LONGEST_LIST = 4096
 
+#: Lists that a wide fingerprint is in, each of two positional bytes; of two sets with a Jaccard similarity of 0.8, 15 % of the bits
+#: differ, so that two bytes are equal with 0.073 and none of the lists has both with (1 - 0.073)**160 = 5e-6.
+LISTS = 160
+#: Bits in which the first 128 of sets at 0.8 differ at most: 19 on average, 43 or more with 2e-7.
+MOST_APART = 42
+#: Entries of a list that one task has at once, about; longer lists are dealt by leading bits of their keys.
+ENTRIES = 1 << 19
+
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _PLACES = np.arange(8, dtype=np.intp) * 256
+_WORDS = np.arange(LISTS // 4, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+_VOTE = np.random.default_rng(SEED).integers(0, 2, 16 * LISTS)
+_ENTRY = np.dtype([("key", "<u2"), ("size", "<u2"), ("bits", "<u8", 2), ("odd", "<u8", 2), ("fp", "<i8")])
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -263,3 +274,119 @@ def keep_least(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str,
     least = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), "root").distinct()
     rows = rows.join(least, (F.col("fp") == F.col("_fp")) & F.col(f"c{own}").eqNullSafe(F.col("_id"))).dropDuplicates(["root"])
     return kept.union(rows.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names))))
+
+
+def wide(hashes: np.ndarray) -> bytes:
+    """The SimHash of a set of hashes in 16 bits for each of `LISTS`: a bit is set if more than half of the hashes, mixed anew for each word, and of one vote that all sets share have it.
+
+    Without that vote small sets of even size have many ties, which a set with
+    one more element decides by that element.
+    """
+    counts = _VOTE.copy()
+    for i in range(0, len(hashes), 255):  # counts of a byte
+        x = hashes[i : i + 255, None] + _WORDS
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        counts += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(hashes) + 1).tobytes()
+
+
+def entries(fp: np.ndarray, size: np.ndarray, bits: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """What goes into the lists of classes, but for the key: sizes up to 65,535, 128 bits of the fingerprint, and the sketch folded to 128 places."""
+    rows = np.empty(len(fp), _ENTRY)
+    rows["fp"], rows["size"] = fp, np.minimum(size, 0xFFFF)
+    rows["bits"] = np.ascontiguousarray(bits[:, :16]).view("<u8")
+    rows["odd"] = np.bitwise_xor.reduce(sketch.reshape(len(fp), -1, 16), axis=1).view("<u8")
+    return rows
+
+
+def _posted(batches: Iterator[pa.RecordBatch], leading: int) -> Iterator[pa.RecordBatch]:
+    """(band, part, entries): the index of positional bytes of (fp, size, bits, sketch), what has the same `leading` bits of a list's key as one row."""
+    for batch in (b for b in batches if b.num_rows):
+        bits, sketch = (np.frombuffer(b"".join(x.as_py() for x in batch.column(i)), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+        rows, keys = entries(batch.column(0).to_numpy(), batch.column(1).to_numpy(), bits, sketch), bits.view(">u2")
+        for band in range(LISTS):
+            rows["key"] = keys[:, band]
+            dealt = rows[np.argsort(rows["key"], kind="stable")]
+            part = dealt["key"] >> np.uint16(16 - leading)
+            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            blobs = [dealt[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(dealt)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), band, np.int32)), pa.array(part[starts].astype(np.int32)), pa.array(blobs, pa.binary())], ["band", "part", "entries"])
+
+
+def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether pairs of entries may be of sets with a Jaccard similarity of 0.8.
+
+    The fingerprints' distance tells it but for two pairs in ten million; the
+    lesser set has 0.8 of the larger one's elements, and of both sets' elements
+    a ninth at most, in so many folded places at most, aren't common: two
+    bounds that are never wrong, for sizes that an entry can hold.
+    """
+    a, b = x["size"].astype(np.int64), y["size"].astype(np.int64)
+    apart, odd = (np.bitwise_count(x[c] ^ y[c]).sum(axis=1, dtype=np.int64) for c in ("bits", "odd"))
+    allowed = (5 * np.minimum(a, b) >= 4 * np.maximum(a, b)) & (9 * odd <= a + b)
+    return (apart <= MOST_APART) & (allowed | (np.maximum(a, b) == 0xFFFF))
+
+
+def alike(rows: np.ndarray, most_edges: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(fp, root): the entries that are `close` to another of the same key, and the least fp that they reach so."""
+    rows = rows[np.lexsort((rows["size"], rows["key"]))]
+    key, size, fp = np.ascontiguousarray(rows["key"]), rows["size"].astype(np.int64), np.ascontiguousarray(rows["fp"])
+    words = [np.ascontiguousarray(rows["bits"][:, i]) for i in range(2)]
+    a, b, held = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+    at, step = np.arange(len(rows)), 0
+    while len(at):
+        step += 1
+        at = at[at + step < len(rows)]
+        at = at[(key[at] == key[at + step]) & (5 * size[at] >= 4 * size[at + step])]  # sizes only grow from here on
+        for i in range(0, len(at), 1 << 16):
+            some = at[i : i + (1 << 16)]
+            some = some[sum(np.bitwise_count(w[some] ^ w[some + step]) for w in words) <= MOST_APART]
+            some = some[close(rows[some], rows[some + step])]
+            a.append(fp[some])
+            b.append(fp[some + step])
+            held += len(some)
+            if held > most_edges:
+                x, y = _forest(np.concatenate(a), np.concatenate(b))
+                a, b, held = [x], [y], 0
+    node, root = _forest(np.concatenate(a), np.concatenate(b))
+    tops = np.unique(root)
+    return np.concatenate([node, tops]), np.concatenate([root, tops])
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, key, fp): the groups of entries that are `alike`; rows of one band and part come one after another."""
+
+    def told(at: tuple[int, int], blobs: list[bytes]) -> pa.RecordBatch:
+        fp, root = alike(np.frombuffer(b"".join(blobs), _ENTRY))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), at[0], np.int32)), pa.array(root), pa.array(fp)], ["band", "key", "fp"])
+
+    was, blobs = (-1, -1), []
+    for batch in batches:
+        for band, part, entries in zip(*(batch.column(i) for i in range(3)), strict=True):
+            at = (band.as_py(), part.as_py())
+            if at != was and blobs:
+                yield told(was, blobs)
+                blobs = []
+            was = at
+            blobs.append(entries.as_py())
+    if blobs:
+        yield told(was, blobs)
+
+
+def meeting(classes: DataFrame) -> DataFrame:
+    """(band, key, fp): where the classes (fp, size, bits, sketch) of sets, bits as `wide` has them, meet others that may be at 0.8.
+
+    The index of positional bytes again, for links as wide as a Jaccard
+    similarity of 0.8, which no count of 8 bytes holds: fingerprints are
+    longer, lists have two postings (place, byte) each, so that who is in one
+    has at least that count, and what goes along in an entry says who is
+    `close`. A list is parted into the groups that closeness makes, named by
+    their least fp; who is close to none leaves nothing. sketch: the parities
+    of the set's counts by place, of a multiple of 128 places. Entries, of 44
+    bytes each, share rows.
+    """
+    leading = max(4, min(16, (classes.count() // ENTRIES).bit_length()))
+    posted = classes.select("fp", "size", "bits", "sketch").mapInArrow(lambda batches: _posted(batches, leading), "band int, part int, entries binary")
+    return posted.repartition("band", "part").sortWithinPartitions("band", "part").mapInArrow(_met, "band int, key long, fp long")
