@@ -3,6 +3,7 @@
 import pyarrow as pa
 
 from weftline.functions import text as T
+from weftline.operators import align
 
 
 def test_spans_of_characters_come_in_slices():
@@ -16,3 +17,12 @@ def test_slices_are_weighed_by_their_texts_and_lists():
     assert T.weights(pa.array([["ab", "c"], None, [], ["d"]])).tolist() == [19, 0, 0, 9]
     assert T.weights(pa.array([[1, 2], [3]]).slice(1)).tolist() == [8]
     assert list(T.runs(T.weights(pa.array(["abc", "d", "efgh"])), 4)) == [(0, 2), (2, 1)]
+
+
+def test_alignment_is_worked_out_in_slices():
+    spans = pa.array([[{"start": k, "end": k + 1} for k in range(3000)]] * 200, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+    flags, values, labels = (pa.array([[x] * 3000] * 200) for x in (True, 0.5, 7))
+    for told in (align.overlap_edges.func(iter([(spans, spans)])), align.labels_of.func(iter([(spans, spans, labels)])), align.first_overlaps.func(iter([(spans, spans, flags, values)]))):
+        parts = list(told)
+        assert sum(map(len, parts)) == 200 and max(map(len, parts)) < 100
+        assert {len(x) for part in parts for x in part} == {3000}
