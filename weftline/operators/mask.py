@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField, StructType
 
-from ..functions.text import hash_number
+from ..functions.text import hash_number, hash_numbers, in_slices
 from .metrics import IGNORED
 
 
@@ -38,20 +42,39 @@ def mask_lists(rows: DataFrame, ids: str, key: str, seed: int, share: float, mas
     """`mask_tokens` on a list of ids in each row, with the same numbers for the same key: `into` is a list of (masked, decision, input_id, label).
 
     special: a list of booleans, true where a token may not be hidden. Nothing
-    leaves its row.
+    leaves its row. The numbers are drawn in Python: Spark's functions of lists
+    aren't compiled, and each draw of theirs took several microseconds.
     """
-    number = lambda kind, pos: hash_number(f"{seed}|{kind}", F.col(key), pos)
     special_of = F.transform(ids, lambda _: F.lit(False)) if special is None else F.col(special)
-    may, hit = f"_may_{into}", f"_hit_{into}"
-    drawn = rows.withColumn(may, F.transform(special_of, lambda s: ~s)).withColumn(hit, F.transform(may, lambda m, pos: m & (number("mask", pos) < share)))
-    # a function of a list would be worked out anew for each element that looks at it: the token that is hidden if chance hides none is put between two runs
-    first, none = F.array_position(may, True).cast("int"), lambda n: F.array_repeat(F.lit(False), n)
-    forced = F.when(first > 0, F.concat(none(first - 1), F.array(F.lit(True)), none(F.size(may) - first))).otherwise(F.col(may))
-    told = drawn.withColumn(hit, F.when(F.exists(hit, lambda h: h), F.col(hit)).otherwise(forced))
-    put = lambda x, pos: F.struct(x["masked"].alias("masked"), x["token"].alias("token"), number("replace", pos).alias("decision"), pos.alias("pos"))
-    with_u = told.withColumn(into, F.transform(F.arrays_zip(F.col(ids).alias("token"), F.col(hit).alias("masked")), put)).drop(may, hit)
-    said = lambda x: F.struct(x["masked"].alias("masked"), x["decision"].alias("decision"), F.when(x["masked"], replacement(x["decision"], x["token"], mask_id, vocabulary, number("token", x["pos"]))).otherwise(x["token"]).alias("input_id"), F.when(x["masked"], x["token"]).otherwise(F.lit(IGNORED)).alias("label"))
-    return with_u.withColumn(into, F.transform(into, said))
+    token = rows.schema[ids].dataType.elementType
+    numbers, kind = pa.int64() if token.typeName() == "bigint" else pa.int32(), StructType([StructField("masked", BooleanType()), StructField("decision", DoubleType()), StructField("input_id", token), StructField("label", token)])
+
+    @in_slices(ArrayType(kind))
+    def masking(keys: pa.Array, tokens: pa.Array, specials: pa.Array) -> pa.Array:
+        counts = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0), np.int64)
+        ends = np.cumsum(counts)
+        flat, may = np.asarray(tokens.flatten(), np.int64), ~np.asarray(specials.flatten(), bool)
+        if len(flat) != len(may):
+            raise ValueError("tokens and special marks must be as many")
+        masked, decision, put = np.zeros(len(flat), bool), np.zeros(len(flat)), flat.copy()
+        for k, (name, n) in enumerate(zip(keys.to_pylist(), counts.tolist(), strict=True)):
+            if not n:
+                continue
+            own = slice(int(ends[k]) - n, int(ends[k]))
+            said = lambda what, at: hash_numbers("|".join([f"{seed}|{what}", *([] if name is None else [name])]), at)  # noqa: B023, E731
+            open_ = np.flatnonzero(may[own])
+            hit = open_[said("mask", open_) < share]
+            hit = hit if len(hit) else open_[:1]
+            u = said("replace", np.arange(n))
+            masked[own][hit], decision[own] = True, u
+            other = hit[(u[hit] >= 0.8) & (u[hit] < 0.9)]
+            put[own][hit[u[hit] < 0.8]] = mask_id
+            put[own][other] = np.floor(said("token", other) * vocabulary).astype(np.int64)
+        told = [pa.array(masked), pa.array(decision), pa.array(put, numbers), pa.array(np.where(masked, flat, IGNORED), numbers)]
+        offsets = pa.array(np.concatenate([[0], ends]), pa.int32(), mask=np.append(np.asarray(tokens.is_null()), False) if tokens.null_count else None)
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(told, ["masked", "decision", "input_id", "label"]))
+
+    return rows.withColumn(into, masking(F.col(key).cast("string"), F.col(ids), special_of))
 
 
 def mask_candidates(ids: Column, met: Column, key: Column, candidate: Column, seed: int, mask_id: int, vocabulary: int) -> Column:
