@@ -3,7 +3,7 @@
 import pyarrow as pa
 
 from weftline.functions import text as T
-from weftline.operators import align
+from weftline.operators import align, subword
 
 
 def test_spans_of_characters_come_in_slices():
@@ -26,3 +26,18 @@ def test_alignment_is_worked_out_in_slices():
         parts = list(told)
         assert sum(map(len, parts)) == 200 and max(map(len, parts)) < 100
         assert {len(x) for part in parts for x in part} == {3000}
+
+
+def test_words_are_segmented_once_for_all_texts(monkeypatch):
+    seen, lattice, cache = [], subword.Lattice([*((s, 0.0) for s in subword.SPECIALS), ("a", -1.0), ("b", -2.0), ("ab", -2.5)]), {}
+    best = subword.Lattice.best
+    monkeypatch.setattr(subword.Lattice, "best", lambda self, word, k: seen.append(word) or best(self, word, k))
+    first, second = (lattice.candidates(t, 3, cache=cache) for t in ("ab ba ab", "ba ab"))
+    assert seen == ["ab", "ba"]
+    assert len(first) == 3 and [s for s, _ in second] == [-5.5, -6.0]
+
+
+def test_pieces_are_cut_from_texts_in_one_go():
+    kind = pa.list_(pa.struct([("id", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+    texts, tokens = pa.array(["añb c", "", None, "é"]), pa.array([[(7, 0, 2), (8, 2, 3), (9, 4, 5)], [], [], [(3, 0, 1)]], kind)
+    assert [x for part in subword.spelled.func(iter([(texts, tokens)])) for x in part.to_pylist()] == ["añ b c", "", None, "é"]
