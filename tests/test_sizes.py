@@ -3,7 +3,8 @@
 import pyarrow as pa
 
 from weftline.functions import text as T
-from weftline.operators import align, subword
+from weftline.operators import align, fuse, subword
+from weftline.plans import contract
 
 
 def test_spans_of_characters_come_in_slices():
@@ -41,3 +42,14 @@ def test_pieces_are_cut_from_texts_in_one_go():
     kind = pa.list_(pa.struct([("id", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
     texts, tokens = pa.array(["añb c", "", None, "é"]), pa.array([[(7, 0, 2), (8, 2, 3), (9, 4, 5)], [], [], [(3, 0, 1)]], kind)
     assert [x for part in subword.spelled.func(iter([(texts, tokens)])) for x in part.to_pylist()] == ["añ b c", "", None, "é"]
+
+
+def test_vectors_are_opened_after_they_have_come_together(spark, sf):
+    for name in ("fused_vectors", "embedding_lookup"):
+        plan = contract.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("posexplode") == 1 and plan.index("posexplode") < plan.index("Aggregate"), name
+
+
+def test_sums_of_weighted_vectors(spark):
+    rows = spark.createDataFrame([(1, 0, 0.5, [1.0, 2.0]), (1, 1, 2.0, [3.0, 0.0]), (2, 0, 1.0, [7.0, 8.0])], "d int, candidate int, weight double, v array<float>")
+    assert sorted(map(tuple, fuse.fused_arrays(rows, ["d"], "v").collect())) == [(1, 0, 6.5), (1, 1, 1.0), (2, 0, 7.0), (2, 1, 8.0)]
