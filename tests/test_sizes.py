@@ -3,7 +3,7 @@
 import pyarrow as pa
 
 from weftline.functions import text as T
-from weftline.operators import align, fuse, subword
+from weftline.operators import align, fuse, stats, subword
 from weftline.plans import contract
 
 
@@ -53,3 +53,13 @@ def test_vectors_are_opened_after_they_have_come_together(spark, sf):
 def test_sums_of_weighted_vectors(spark):
     rows = spark.createDataFrame([(1, 0, 0.5, [1.0, 2.0]), (1, 1, 2.0, [3.0, 0.0]), (2, 0, 1.0, [7.0, 8.0])], "d int, candidate int, weight double, v array<float>")
     assert sorted(map(tuple, fuse.fused_arrays(rows, ["d"], "v").collect())) == [(1, 0, 6.5), (1, 1, 1.0), (2, 0, 7.0), (2, 1, 8.0)]
+
+
+def test_report_lines_are_printed_as_sql_prints_them(spark):
+    import duckdb
+
+    row = ("q", 0.03125, 0.00005, 1.0, 0.5, 0.25, 0.28125, 0.12345, 1.23e-09)
+    names = ["task", *(f"{c}_{x}" for c in ("baseline", "proposed") for x in ("mean", "lower", "upper")), "mean_difference", "p"]
+    got = stats.report_lines(spark.createDataFrame([row], names), ["task"]).first().line
+    want = duckdb.execute("SELECT printf('| q | %.4f [%.4f, %.4f] | %.4f [%.4f, %.4f] | %+.4f | %.4g |', ?, ?, ?, ?, ?, ?, ?, ?)", list(row[1:])).fetchone()[0]
+    assert got == want and got.endswith("| 1.23e-09 |")
