@@ -63,3 +63,18 @@ def test_report_lines_are_printed_as_sql_prints_them(spark):
     got = stats.report_lines(spark.createDataFrame([row], names), ["task"]).first().line
     want = duckdb.execute("SELECT printf('| q | %.4f [%.4f, %.4f] | %.4f [%.4f, %.4f] | %+.4f | %.4g |', ?, ?, ?, ?, ?, ?, ?, ?)", list(row[1:])).fetchone()[0]
     assert got == want and got.endswith("| 1.23e-09 |")
+
+
+def test_merges_are_fitted_away_from_the_driver(spark):
+    counts = [("ab", 1 << 30), (" ab", 3), ("xyxy", 5), (" été", 4), ("a" * 9, 2)]
+    here, apart = subword.fit_merges(counts, 300), subword.fit_merges_apart(spark.createDataFrame(counts, "word string, n long"), 300)
+    assert (here.pieces, here.ranks) == (apart.pieces, apart.ranks)
+    assert next(iter(here.ranks)) == ("a", "b") and ("x", "y") in here.ranks and ("xy", "xy") in here.ranks
+
+
+def test_vocabularies_are_fitted_on_all_training_records(monkeypatch, spark):
+    rows = spark.createDataFrame([(1, "en", "aa ab", "train"), (2, "en", "aa", "test"), (3, "es", "aa", "train")], "doc_id long, language string, text string, split string")
+    monkeypatch.setattr(contract, "_prepared", lambda *_: rows)
+    monkeypatch.setattr(contract.corpus, "training_budget", lambda *_: rows.limit(0))
+    assert {r.word: r.n for r in contract._training_counts(spark, "")[1].collect()} == {"aa": 2, " ab": 1}
+    assert "aa" in {r.piece for r in contract.bpe_vocab(spark, "").collect()}

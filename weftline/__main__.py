@@ -48,8 +48,7 @@ def _fit(lattice: bool) -> Callable[[str, str, str], None]:
         if lattice:
             made: subword.Merges | subword.Lattice = subword.fit_lattice(subword.word_counts(rows), int(pieces))
         else:
-            found = subword.part_counts(rows).toArrow()
-            made = subword.fit_merges(zip(found["word"].to_pylist(), found["n"].to_pylist(), strict=True), int(pieces))
+            made = subword.fit_merges_apart(subword.part_counts(rows), int(pieces))
         print(vocabulary.save(spark, folder, made, config_identity(settings), settings))
 
     return fit
