@@ -1,6 +1,9 @@
 """What a step holds at once doesn't follow its input."""
 
+import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.operators import align, fuse, stats, subword
@@ -78,3 +81,23 @@ def test_vocabularies_are_fitted_on_all_training_records(monkeypatch, spark):
     monkeypatch.setattr(contract.corpus, "training_budget", lambda *_: rows.limit(0))
     assert {r.word: r.n for r in contract._training_counts(spark, "")[1].collect()} == {"aa": 2, " ab": 1}
     assert "aa" in {r.piece for r in contract.bpe_vocab(spark, "").collect()}
+
+
+def test_expectations_of_many_words_equal_those_of_each():
+    lattice = subword.Lattice([("a", -1.0), ("b", -2.0), ("ab", -1.5), ("ba", -3.0), ("aba", -2.0), ("é", -4.0)])
+    words, counts = ["abab", "é", "axb", "", "baab", "a"], [3, 1, 5, 2, 1, 7]
+    want = {}
+    for w, n in zip(words, counts, strict=True):
+        for p, x in subword._expected(w, lattice)[1].items():
+            want[p] = want.get(p, 0) + n * x
+    names = [p for p, _ in lattice.pieces]
+    got = subword._expected_of(words, np.array(counts, float), subword.Arcs(names, np.array([x for _, x in lattice.pieces])))
+    assert dict(zip(names, got, strict=True)) == pytest.approx({p: want.get(p, 0.0) for p in names})
+
+
+def test_disordered_tokens_are_those_of_the_table(spark):
+    lists = [([-1, 0, 2, 1, -1], [-1, 2, 4, 3, -1]), ([5, 5], [5, 6]), ([], [])]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(lists)], "i int, a array<int>, b array<int>")
+    tokens = spark.createDataFrame([(i, k, *x) for i, (a, b) in enumerate(lists) for k, x in enumerate(zip(a, b, strict=True))], "i int, pos int, start int, end int")
+    want = {r.i: r.n for r in align.spans_in_order(tokens, ["i"]).groupBy("i").agg(F.count("*").alias("n")).collect()}
+    assert {r.i: r.n for r in df.select("i", align.disordered("a", "b").alias("n")).collect()} == {i: want.get(i, 0) for i in range(3)} == {0: 1, 1: 1, 2: 0}
